@@ -1,4 +1,4 @@
 """Query plans over the fixture tables; importing this package registers all
 of them in :mod:`tessera.plans.registry`."""
 
-from tessera.plans import features_plan, graph_plan, models_plan, stats_plan, tabular  # noqa: F401
+from tessera.plans import features_plan, graph_plan, models_plan, retrieval_plan, stats_plan, tabular  # noqa: F401
