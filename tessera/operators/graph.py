@@ -49,6 +49,44 @@ def induced_subgraph(edges: DataFrame, membership: DataFrame, node="node", commu
     return j.where(F.col("__cs") == F.col("__cd")).select("src", "dst", "weight", F.col("__cs").alias(community))
 
 
+def transit_edges(stops: DataFrame, stations: DataFrame, travel: DataFrame) -> DataFrame:
+    """Layered transit graph from ``stops(line, seq, station)``,
+    ``stations(station, transfer_time)`` and undirected
+    ``travel(station_1, station_2, travel_time)``.
+
+    Nodes: ``depart S``, ``arrive S``, ``L S`` (line L at station S) and
+    ``transfer S``.  Edges: depart -> line node and line node -> arrive (0),
+    line node -> transfer (transfer time) and transfer -> line node (0) at
+    stations served by two or more lines (hub form of the pairwise transfer
+    join: same shortest paths, linear size), and both directions of every
+    segment between consecutive stops with its travel time (looked up on the
+    unordered station pair).
+    """
+    from tessera.operators import relational as R
+
+    def node(line, station):
+        return F.concat_ws(" ", line.cast("string"), station.cast("string"))
+
+    zero = F.lit(0).cast("long")
+    st = stops.select("line", "station").distinct()
+    board = st.select(F.concat(F.lit("depart "), F.col("station").cast("string")).alias("src"),
+                      node(F.col("line"), F.col("station")).alias("dst"), zero.alias("weight"))
+    alight = st.select(node(F.col("line"), F.col("station")).alias("src"),
+                       F.concat(F.lit("arrive "), F.col("station").cast("string")).alias("dst"), zero.alias("weight"))
+    links = R.transfer_links(st, stations)
+    hub = F.concat(F.lit("transfer "), F.col("station").cast("string"))
+    xin = links.select(node(F.col("line"), F.col("station")).alias("src"), hub.alias("dst"),
+                       F.col("transfer_time").cast("long").alias("weight"))
+    xout = links.select(hub.alias("src"), node(F.col("line"), F.col("station")).alias("dst"), zero.alias("weight"))
+    seg = R.successor_join(stops).where(F.col("from_station") != F.col("to_station")).select(
+        "line", F.col("from_station").alias("a"), F.col("to_station").alias("b"))
+    segw = R.undirected_join(seg, travel)
+    fwd = segw.select(node(F.col("line"), F.col("a")).alias("src"), node(F.col("line"), F.col("b")).alias("dst"),
+                      F.col("travel_time").cast("long").alias("weight"))
+    bwd = fwd.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    return board.unionByName(alight).unionByName(xin).unionByName(xout).unionByName(fwd).unionByName(bwd)
+
+
 # ------------------------------------------------------------------ shortest paths
 def shortest_paths(edges: DataFrame, sources: DataFrame, max_iter: int = 10_000) -> DataFrame:
     """Single- or multi-source weighted shortest paths by frontier relaxation.

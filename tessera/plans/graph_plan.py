@@ -16,7 +16,7 @@ from tessera.operators import graph as G
 from tessera.operators import relational as R
 from tessera.plans.common import NATION_PAIRS_SQL, nation_pairs, tables
 from tessera.plans.registry import query
-from tessera.plans.tabular import _points_boxes, seq_stops, stations_df, stops_df
+from tessera.plans.tabular import _points_boxes, seq_stops, stations_df
 
 # ------------------------------------------------------------------ derived graphs
 _PAIRS_W_SQL = (
@@ -138,8 +138,8 @@ def edges_resolve(spark, sf_dir):
 
 
 _LAYERED_SQL = """
-WITH stops AS (SELECT DISTINCT l_orderkey AS line, l_suppkey AS station FROM lineitem),
-seq AS (SELECT l_orderkey AS line, l_linenumber AS seq, min(l_suppkey) AS station FROM lineitem GROUP BY 1, 2),
+WITH seq AS (SELECT l_orderkey AS line, l_linenumber AS seq, min(l_suppkey) AS station FROM lineitem GROUP BY 1, 2),
+stops AS (SELECT DISTINCT line, station FROM seq),
 st AS (SELECT s_suppkey AS station, s_nationkey % 5 + 1 AS transfer_time, s_nationkey FROM supplier),
 multi AS (SELECT station FROM stops GROUP BY station HAVING count(*) >= 2),
 seg AS (SELECT a.line, a.station AS s1, b.station AS s2 FROM seq a JOIN seq b
@@ -162,37 +162,18 @@ UNION ALL SELECT line || ' ' || s2, line || ' ' || s1, travel_time FROM segw
 
 
 def layered_edges(t):
-    """Layered transit graph: depart/arrive nodes per station, a node per
-    (line, station), zero-weight boarding/alighting edges, transfers through a
-    per-station transfer node (hub form, linear size), and both directions of
-    every segment with its travel time (undirected lookup, J3)."""
-    stops = stops_df(t).distinct()
-    stations = stations_df(t)
+    """Layered transit graph over the whole lineitem table; travel time of a
+    station pair = |nation difference| + 1."""
+    seq = seq_stops(t)
     nat = t.supplier.select(F.col("s_suppkey").alias("station"), "s_nationkey")
-    ls = F.concat_ws(" ", F.col("line").cast("string"), F.col("station").cast("string"))
-    zero = F.lit(0).cast("long")
-    board = stops.select(F.concat(F.lit("depart "), F.col("station").cast("string")).alias("src"), ls.alias("dst"),
-                         zero.alias("weight"))
-    alight = stops.select(ls.alias("src"), F.concat(F.lit("arrive "), F.col("station").cast("string")).alias("dst"),
-                          zero.alias("weight"))
-    links = R.transfer_links(stops, stations)
-    xfer_in = links.select(ls.alias("src"), F.concat(F.lit("transfer "), F.col("station").cast("string")).alias("dst"),
-                           F.col("transfer_time").cast("long").alias("weight"))
-    xfer_out = links.select(F.concat(F.lit("transfer "), F.col("station").cast("string")).alias("src"), ls.alias("dst"),
-                            zero.alias("weight"))
-    seg = R.successor_join(seq_stops(t)).where(F.col("from_station") != F.col("to_station")).select(
-        "line", F.col("from_station").alias("a"), F.col("to_station").alias("b"))
-    tt = seg.select(F.least("a", "b").alias("station_1"), F.greatest("a", "b").alias("station_2")).distinct()
+    seg = R.successor_join(seq).where(F.col("from_station") != F.col("to_station"))
+    tt = seg.select(F.least("from_station", "to_station").alias("station_1"),
+                    F.greatest("from_station", "to_station").alias("station_2")).distinct()
     x = nat.select(F.col("station").alias("station_1"), F.col("s_nationkey").alias("n1"))
     y = nat.select(F.col("station").alias("station_2"), F.col("s_nationkey").alias("n2"))
     travel = tt.join(x, "station_1").join(y, "station_2").select(
         "station_1", "station_2", (F.abs(F.col("n1") - F.col("n2")) + 1).cast("long").alias("travel_time"))
-    segw = R.undirected_join(seg, travel)
-    fwd = segw.select(F.concat_ws(" ", F.col("line").cast("string"), F.col("a").cast("string")).alias("src"),
-                      F.concat_ws(" ", F.col("line").cast("string"), F.col("b").cast("string")).alias("dst"),
-                      F.col("travel_time").alias("weight"))
-    bwd = fwd.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    return board.unionByName(alight).unionByName(xfer_in).unionByName(xfer_out).unionByName(fwd).unionByName(bwd)
+    return G.transit_edges(seq, stations_df(t), travel)
 
 
 @query("layered_graph", _LAYERED_SQL)

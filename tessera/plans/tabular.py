@@ -434,7 +434,7 @@ def unmatched_anti(spark, sf_dir):
 _METRIC_SQL = f"""
 SELECT n.n_nationkey, n.n_name, m.diff FROM nation n LEFT JOIN (
   SELECT country, round(max(CASE WHEN year = 2001 THEN v END) - max(CASE WHEN year = 1995 THEN v END), 2) AS diff
-  FROM (SELECT country, year, avg(value) AS v FROM {NATION_MONTHLY_SQL} s GROUP BY 1, 2) y GROUP BY country
+  FROM (SELECT country, year, sum(value) AS v FROM {NATION_MONTHLY_SQL} s GROUP BY 1, 2) y GROUP BY country
 ) m ON n.n_name = m.country
 """
 
@@ -442,7 +442,7 @@ SELECT n.n_nationkey, n.n_name, m.diff FROM nation n LEFT JOIN (
 @query("left_merge_metric", _METRIC_SQL)
 def left_merge_metric(spark, sf_dir):
     t = tables(spark, sf_dir)
-    yearly = nation_monthly(t).groupBy("country", "year").agg(F.avg("value").alias("v"))
+    yearly = nation_monthly(t).groupBy("country", "year").agg(F.sum("value").alias("v"))
     m = yearly.groupBy("country").agg(
         F.round(
             F.max(F.when(F.col("year") == 2001, F.col("v"))) - F.max(F.when(F.col("year") == 1995, F.col("v"))), 2
