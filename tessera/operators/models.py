@@ -150,7 +150,7 @@ def param_sweep(train: DataFrame, valid: DataFrame, features: Sequence[str], par
 
 
 def grid_search_cv(train: DataFrame, features: Sequence[str], depths: Sequence[int], leaves: Sequence[int],
-                   fold_col: str, label: str = "label", parallelism: int = 8):
+                   fold_col: str, label: str = "label", parallelism: int = 8, num_folds: int = 5):
     """5-fold CV over a (maxDepth x minInstancesPerNode) grid, folds given by
     ``fold_col`` (a stratified fold id), settings fitted in parallel."""
     dt = DecisionTreeClassifier(labelCol=label, featuresCol="features", seed=42, impurity="gini")
@@ -158,11 +158,8 @@ def grid_search_cv(train: DataFrame, features: Sequence[str], depths: Sequence[i
     data = assemble(features).transform(train).select("features", label, fold_col).cache()
     cv = CrossValidator(estimator=dt, estimatorParamMaps=grid,
                         evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"),
-                        foldCol=fold_col, parallelism=parallelism, seed=42)
-    try:
-        model = cv.fit(data)
-    finally:
-        pass
+                        foldCol=fold_col, numFolds=num_folds, parallelism=parallelism, seed=42)
+    model = cv.fit(data)
     rows = []
     for pm, m in zip(grid, model.avgMetrics):
         rows.append((int(pm[dt.maxDepth]), int(pm[dt.minInstancesPerNode]), float(m)))

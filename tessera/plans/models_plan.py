@@ -137,7 +137,8 @@ def ml_frames(spark, sf_dir):
     train = split.where(~F.col("is_test")).drop("is_test")
     test = split.where("is_test").drop("is_test")
     train = FE.hash_rank_select(train, "label", _IDS, seed=7, quota=FE.class_quota_fraction(0.2), out="is_valid")
-    return train, test
+    # several fits and evaluations reuse these frames: keep them in memory
+    return train.persist(), test.persist()
 
 
 @query("decision_tree")
@@ -182,8 +183,9 @@ def gbt_learning_curve(spark, sf_dir):
     rows = []
     for cls, sub in enumerate(ovr.models):
         for name, d in (("train", train.where(~F.col("is_valid"))), ("validation", train.where("is_valid"))):
-            binary = asm.transform(d).withColumn("label", (F.col("label") == cls).cast("double"))
-            for it, loss in enumerate(sub.evaluateEachIteration(binary, "logistic"), start=1):
+            lab = sub.getOrDefault(sub.labelCol)
+            binary = asm.transform(d).select("features", (F.col("label") == cls).cast("double").alias(lab))
+            for it, loss in enumerate(sub.evaluateEachIteration(binary), start=1):
                 rows.append((cls, name, it, float(loss)))
     return spark.createDataFrame(rows, "class int, split string, iteration int, log_loss double")
 

@@ -169,7 +169,7 @@ _SWEEP_T = [-1.0, 0.2, 0.3]
 @query(
     "retrieval_sweep",
     f"""SELECT cfg.k, cfg.threshold, count(*) FILTER (WHERE t.rank <= cfg.k AND t.score >= cfg.threshold) AS n_retrieved,
-  round(avg(t.score) FILTER (WHERE t.rank <= cfg.k AND t.score >= cfg.threshold), 6) AS mean_score,
+  round(sum(t.score) FILTER (WHERE t.rank <= cfg.k AND t.score >= cfg.threshold), 4) AS sum_score,
   round(avg(CAST(e.label = t.query_label AS DOUBLE)) FILTER (WHERE t.rank <= cfg.k AND t.score >= cfg.threshold), 6)
     AS precision
 FROM {_topk_sql(12)} t JOIN embeddings e ON e.vec_id = t.vec_id
@@ -187,7 +187,7 @@ def retrieval_sweep(spark, sf_dir):
     ok = (F.col("rank") <= F.col("k")) & (F.col("score") >= F.col("threshold"))
     return ex.groupBy("k", "threshold").agg(
         F.count_if(ok).alias("n_retrieved"),
-        F.round(F.avg(F.when(ok, F.col("score"))), 6).alias("mean_score"),
+        F.round(F.sum(F.when(ok, F.col("score"))), 4).alias("sum_score"),
         F.round(F.avg(F.when(ok, (F.col("label") == F.col("query_label")).cast("double"))), 6).alias("precision"))
 
 
