@@ -88,7 +88,7 @@ def transit_edges(stops: DataFrame, stations: DataFrame, travel: DataFrame) -> D
 
 
 # ------------------------------------------------------------------ shortest paths
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_iter: int = 10_000) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_iter: int = 10_000, checkpoint_every: int = 4) -> DataFrame:
     """Single- or multi-source weighted shortest paths by frontier relaxation.
 
     ``sources`` has a column ``id``.  Returns (source, node, cost, hops, pred)
@@ -97,16 +97,17 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_iter: int = 10_000)
     total order, so the result is deterministic and predecessor cycles cannot
     form even with zero-weight edges.
     """
-    if edges.where(F.col("weight") < 0).limit(1).count():
+    # the edge list is read once per iteration: materialise it first
+    e = _cut(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
+    if e.where(F.col("weight") < 0).limit(1).count():
         raise ValueError("negative edge weights are not supported")
-    e = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
     dist = sources.select(
         F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("cost"),
         F.lit(0).alias("hops"), F.lit(None).cast(sources.schema["id"].dataType).alias("pred"),
     ).distinct()
     dist = _cut(dist)
     frontier = dist
-    for _ in range(max_iter):
+    for it in range(max_iter):
         cand = frontier.join(e, frontier.node == e.src).select(
             "source", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"),
             (F.col("hops") + 1).alias("hops"), F.col("node").alias("pred"),
@@ -121,9 +122,11 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_iter: int = 10_000)
         improved = _cut(improved)
         if improved.count() == 0:
             break
-        dist = _cut(dist.join(improved.select("source", "node"), ["source", "node"], "left_anti").unionByName(improved))
+        dist = dist.join(improved.select("source", "node"), ["source", "node"], "left_anti").unionByName(improved)
+        if it % checkpoint_every == checkpoint_every - 1:
+            dist = _cut(dist)
         frontier = improved
-    return dist
+    return _cut(dist)
 
 
 def paths_to(dist: DataFrame, max_hops: int | None = None) -> DataFrame:
@@ -154,7 +157,7 @@ def paths_to(dist: DataFrame, max_hops: int | None = None) -> DataFrame:
 # ------------------------------------------------------------------ harmonic centrality
 def bfs_hops(edges: DataFrame, sources: DataFrame, max_iter: int = 10_000) -> DataFrame:
     """Unweighted hop distances (source, node, hops) from every source."""
-    e = edges.select("src", "dst").distinct()
+    e = _cut(edges.select("src", "dst").distinct())
     dist = _cut(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("hops")))
     frontier = dist
     for _ in range(max_iter):
@@ -195,7 +198,7 @@ def harmonic_hyperball(vertices: DataFrame, edges: DataFrame, lg_k: int = 12, ma
     the sketches of its out-neighbours, and the growth of the estimate, divided
     by t+1, is added to the score.  Memory per vertex is one sketch."""
     n = vertices.count()
-    e = edges.select("src", "dst").distinct()
+    e = _cut(edges.select("src", "dst").distinct())
     state = vertices.groupBy("id").agg(F.hll_sketch_agg(F.col("id"), lg_k).alias("sk"))
     state = state.select("id", "sk", F.hll_sketch_estimate("sk").cast("double").alias("cnt"),
                          F.lit(0.0).alias("score"))

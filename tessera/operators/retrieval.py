@@ -18,20 +18,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.parallel import spread
+
 
 # ------------------------------------------------------------------ chunking
 def chunk_fixed(df: DataFrame, text: str, size: int, overlap: int, keep: Sequence[str] = ()) -> DataFrame:
     """Fixed windows of ``size`` characters starting every ``size - overlap``
-    characters; ``split_id`` numbers the chunks of a row from 0."""
+    characters; ``split_id`` numbers the chunks of a row from 0.
+
+    The text is cut once into consecutive blocks of ``size - overlap``
+    characters (one linear regex pass); chunk i is block i followed by the
+    first ``overlap`` characters of block i+1.  Taking a substring of the whole
+    text per chunk would rescan the UTF-8 text from its start for every chunk.
+    """
     if not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
     step = size - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(step))
-    ex = df.select(*keep, text, F.posexplode(starts).alias("split_id", "start"))
+    blocks = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{step}}}"), 0)
+    ex = spread(df.select(*keep, text)).select(*keep, blocks.alias("__b")).select(
+        *keep, "__b", F.posexplode("__b").alias("split_id", "__blk"))
+    nxt = F.coalesce(F.try_element_at(F.col("__b"), F.col("split_id") + 2), F.lit(""))
     return ex.select(
-        *keep, "split_id", "start",
-        F.substring(F.col(text), F.col("start") + 1, size).alias("chunk"),
-    ).where(F.length("chunk") > 0)
+        *keep, "split_id", (F.col("split_id") * step).alias("start"),
+        F.concat(F.col("__blk"), F.substring(nxt, 1, overlap)).alias("chunk"),
+    )
 
 
 DEFAULT_SEPARATORS = ("\n\n", "\n", " ", "")
@@ -107,7 +117,7 @@ def chunk_recursive(df: DataFrame, id_col: str, text: str, size: int = 256, over
                     chunks.append(c)
             yield pd.DataFrame({id_col: ids, "split_id": pd.Series(sids, dtype="int32"), "chunk": chunks})
 
-    return df.select(id_col, text).mapInPandas(run, schema)
+    return spread(df.select(id_col, text)).mapInPandas(run, schema)
 
 
 # ------------------------------------------------------------------ similarity
@@ -189,7 +199,7 @@ def topk_similarity(corpus: DataFrame, id_col: str, vec_col: str, queries: DataF
             out_s += col[order].tolist()
         yield pd.DataFrame({qid: out_q, id_col: out_id, "score": out_s})
 
-    partial = corpus.select(id_col, vec_col).mapInPandas(run, schema)
+    partial = spread(corpus.select(id_col, vec_col)).mapInPandas(run, schema)
     w = Window.partitionBy(qid).orderBy(F.desc("score"), F.asc(id_col))
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

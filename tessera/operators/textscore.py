@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.parallel import spread
+
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -23,28 +25,32 @@ def tokens(text: str | Column) -> Column:
     return F.filter(F.split(F.lower(c), TOKEN_SPLIT), lambda x: x != "")
 
 
-def _ngrams(df: DataFrame, keys: list[str], toks: str, max_n: int) -> DataFrame:
-    """(keys..., n, gram, cnt) for n = 1..max_n."""
-    parts = []
-    for n in range(1, max_n + 1):
-        grams = F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), lambda i: F.array_join(F.slice(toks, i, n), " "))
-        parts.append(df.where(F.size(toks) >= n).select(*keys, F.lit(n).alias("n"), F.explode(grams).alias("gram")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
+def _ngram_structs(toks: Column, max_n: int) -> Column:
+    """Array of (n, gram) for n = 1..max_n over a token array."""
+    return F.flatten(F.transform(
+        F.sequence(F.lit(1), F.lit(max_n)),
+        lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(0))),
+                              lambda i: F.struct(n.alias("n"), F.array_join(F.slice(toks, i, n), " ").alias("gram")))))
 
 
 def bleu(pairs: DataFrame, keys: str | list[str], pred: str, ref: str, max_n: int = 4) -> DataFrame:
     """Sentence BLEU (Papineni et al. 2002) per pair: clipped n-gram
     precisions 1..4, geometric mean, brevity penalty, no smoothing (a zero
-    precision gives 0).  Returns (keys..., bleu, pred_len, ref_len)."""
+    precision gives 0).  Returns (keys..., bleu, pred_len, ref_len).
+
+    The n-grams of both sides are exploded once into (keys, n, gram, side) and
+    counted in a single aggregation, so the clipped counts need no join."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    t = pairs.select(*keys, tokens(pred).alias("pt"), tokens(ref).alias("rt"))
-    pg = _ngrams(t.select(*keys, F.col("pt").alias("tk")), keys, "tk", max_n)
-    rg = _ngrams(t.select(*keys, F.col("rt").alias("tk")), keys, "tk", max_n).withColumnRenamed("cnt", "rcnt")
-    clip = pg.join(rg, [*keys, "n", "gram"], "left").groupBy(*keys, "n").agg(
-        F.sum(F.least(F.col("cnt"), F.coalesce(F.col("rcnt"), F.lit(0)))).alias("match"), F.sum("cnt").alias("total"))
+    t = spread(pairs.select(*keys, pred, ref)).select(*keys, tokens(pred).alias("pt"), tokens(ref).alias("rt"))
+    grams = t.select(*keys, F.inline(F.concat(
+        F.transform(_ngram_structs(F.col("pt"), max_n), lambda s: F.struct(s["n"].alias("n"), s["gram"].alias("gram"),
+                                                                           F.lit(1).alias("side"))),
+        F.transform(_ngram_structs(F.col("rt"), max_n), lambda s: F.struct(s["n"].alias("n"), s["gram"].alias("gram"),
+                                                                           F.lit(0).alias("side"))))))
+    cnt = grams.groupBy(*keys, "n", "gram").agg(F.count_if(F.col("side") == 1).alias("cp"),
+                                                F.count_if(F.col("side") == 0).alias("cr"))
+    clip = cnt.where(F.col("cp") > 0).groupBy(*keys, "n").agg(
+        F.sum(F.least("cp", "cr")).alias("match"), F.sum("cp").alias("total"))
     logp = clip.groupBy(*keys).agg(
         F.sum(F.when(F.col("match") > 0, F.log(F.col("match") / F.col("total")))).alias("slog"),
         F.count_if(F.col("match") > 0).alias("n_pos"))

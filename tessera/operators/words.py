@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import letter_count
+from tessera.operators.parallel import spread
 
 # Letter scores.
 LETTER_VALUES = {
@@ -26,7 +27,7 @@ LETTER_VALUES = {
 def ascii_words(df: DataFrame, text: str) -> DataFrame:
     """Distinct lower-case words made only of the letters a-z."""
     toks = F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")).alias("word")
-    return df.select(toks).where(F.col("word").rlike("^[a-z]+$")).distinct()
+    return spread(df.select(text)).select(toks).where(F.col("word").rlike("^[a-z]+$")).distinct()
 
 
 def _rack_counts(rack: str) -> Counter:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tessera.operators.parallel import spread
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -77,4 +79,4 @@ def html_to_text(df: DataFrame, id_col: str, html_col: str, keep_cols: Sequence[
             out["text"] = [extract_text(h, **kw) for h in b[html_col]]
             yield out
 
-    return df.select(id_col, *keep_cols, html_col).mapInPandas(run, schema)
+    return spread(df.select(id_col, *keep_cols, html_col)).mapInPandas(run, schema)
