@@ -318,8 +318,9 @@ def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, ma
         mods.append(_modularity(g, sup_nodes.select(F.col("id").alias("node"), F.col("id").alias("community"))))
     out = mapping.select(
         "node", F.col("super").alias("community"),
-        F.when(F.size("hist") > 0, F.col("hist")).otherwise(F.array(F.col("node"))).alias("intermediate_communities"))
-    return out, mods
+        F.when(F.size("hist") > 0, F.col("hist")).otherwise(F.array(F.col("node").cast("long")))
+        .alias("intermediate_communities"))
+    return out.withColumn("first_level", F.try_element_at("intermediate_communities", F.lit(1))), mods
 
 
 def modularity(edges: DataFrame, communities: DataFrame, weight: str | None = None) -> float:

@@ -143,6 +143,31 @@ def doc_union_sources(spark, sf_dir):
     return back.select("source", "doc_num", F.length("text").alias("n_chars"))
 
 
+@query(
+    "head_tail",
+    "SELECT * FROM (SELECT 'head' AS part, o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5) "
+    "UNION ALL SELECT * FROM (SELECT 'tail' AS part, o_orderkey, o_totalprice FROM orders "
+    "ORDER BY o_orderkey DESC LIMIT 5)",
+)
+def head_tail(spark, sf_dir):
+    """First and last rows in an explicit order (each a partial top-k)."""
+    o = tables(spark, sf_dir).orders.select("o_orderkey", "o_totalprice")
+    head = o.orderBy("o_orderkey").limit(5).select(F.lit("head").alias("part"), "o_orderkey", "o_totalprice")
+    tail = o.orderBy(F.desc("o_orderkey")).limit(5).select(F.lit("tail").alias("part"), "o_orderkey", "o_totalprice")
+    return head.unionByName(tail)
+
+
+@query("vector_collection", "SELECT vec_id, label, embedding FROM embeddings")
+def vector_collection(spark, sf_dir):
+    """Vector collection sink: re-create (overwrite) with one part of the
+    vectors, append the rest, read the collection back."""
+    e = tables(spark, sf_dir).embeddings.select("vec_id", "label", "embedding")
+    path = scratch_path(spark, "vectors")
+    FS.write_partitioned(e.where(F.col("label") % 2 == 0), path, ["label"], mode="overwrite")
+    FS.write_partitioned(e.where(F.col("label") % 2 != 0), path, ["label"], mode="append")
+    return spark.read.parquet(path).select("vec_id", "label", "embedding")
+
+
 @query("schema_table")
 def schema_table(spark, sf_dir):
     """Schema of lineitem as rows, with non-null counts from one scan."""
