@@ -238,14 +238,15 @@ def _modularity(edges: DataFrame, comm: DataFrame) -> float:
 
 
 def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, max_levels: int = 10,
-            max_rounds: int = 50, tol: float = 1e-9) -> tuple[DataFrame, list[float]]:
+            max_rounds: int = 30, tol: float = 1e-9, max_stalls: int = 3) -> tuple[DataFrame, list[float]]:
     """Louvain communities (Blondel et al. 2008) with intermediate levels.
 
     Edges are treated as undirected.  Each round every vertex computes, for
     each neighbouring community, the modularity gain of moving there; vertices
     in the active half (a hash of id and round) take their best strictly
-    positive move, so neighbours do not swap back and forth.  A level ends when
-    no vertex moves; the graph is then contracted (community pairs summed,
+    positive move, so neighbours do not swap back and forth; a round is kept
+    only if it raises modularity.  A level ends when no vertex wants to move
+    (or after a few rejected rounds); the graph is then contracted (community pairs summed,
     self loops kept) and the next level starts.  Communities are labelled by
     their smallest original vertex id.
 
@@ -274,6 +275,8 @@ def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, ma
         k = sup_nodes.join(k, "id", "left").select("id", F.coalesce("k", F.lit(0.0)).alias("k"))
         comm = _cut(k.select("id", F.col("id").alias("c"), "k"))
         moved_any = False
+        best_q = _modularity(g, comm.select(F.col("id").alias("node"), F.col("c").alias("community")))
+        stalls = 0
         for rnd in range(max_rounds):
             tot = comm.groupBy("c").agg(F.sum("k").alias("tot"))
             nbr = g.where("src <> dst").join(comm.select(F.col("id").alias("dst"), F.col("c").alias("cj")), "dst")
@@ -296,11 +299,21 @@ def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, ma
             dec = _cut(dec)
             stats = dec.agg(F.count_if(F.col("nc") != F.col("c")).alias("moves"),
                             F.count_if("want").alias("wants")).first()
-            comm = dec.select("id", F.col("nc").alias("c"), "k")
-            if stats["moves"]:
-                moved_any = True
-            if stats["wants"] == 0 or (stats["moves"] == 0 and stats["wants"] == 0):
+            if stats["wants"] == 0:
                 break
+            if stats["moves"] == 0:
+                continue
+            # simultaneous moves can interfere: keep a round only if it raises
+            # modularity, so the level is monotone and ends
+            cand = dec.select("id", F.col("nc").alias("c"), "k")
+            q = _modularity(g, cand.select(F.col("id").alias("node"), F.col("c").alias("community")))
+            if q > best_q + tol:
+                comm, best_q, stalls = cand, q, 0
+                moved_any = True
+            else:
+                stalls += 1
+                if stalls >= max_stalls:
+                    break
         if not moved_any:
             break
         # label communities by smallest original node id
