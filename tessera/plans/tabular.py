@@ -1013,3 +1013,16 @@ def array_fold(spark, sf_dir):
     li = tables(spark, sf_dir).lineitem
     g = li.groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("qs"), F.count(F.lit(1)).alias("n_lines"))
     return g.select("l_orderkey", X.array_total("qs").alias("total_qty"), "n_lines")
+
+
+@query("geo_box")
+def geo_box(spark, sf_dir):
+    """WGS-84 search box (5 miles each way) around a point per customer; the
+    point is derived from the account balance (latitude) and nation
+    (longitude)."""
+    c = tables(spark, sf_dir).customer
+    lat = (F.col("c_acctbal") + 1000.0) / 11000.0 * 170.0 - 85.0
+    lon = F.col("c_nationkey") * 14.4 - 180.0
+    pts = c.select("c_custkey", lat.alias("lat"), lon.alias("lon"))
+    box = X.geo_box("lat", "lon", 5.0)
+    return pts.select("c_custkey", "lat", "lon", *[v.alias(k) for k, v in box.items()])

@@ -300,3 +300,55 @@ def test_recursive_chunks():
     words = [w for w in text.split() if w]
     joined = " ".join(chunks)
     assert all(w in joined for w in set(words))
+
+
+# ------------------------------------------------------------------ geodesic box
+def _vincenty_direct(lat1, lon1, bearing_deg, dist_m):
+    """Vincenty (1975) direct problem on WGS-84, degrees in and out."""
+    a, f = 6378137.0, 1 / 298.257223563
+    b = a * (1 - f)
+    phi1, alpha1 = math.radians(lat1), math.radians(bearing_deg)
+    tan_u1 = (1 - f) * math.tan(phi1)
+    cos_u1 = 1 / math.sqrt(1 + tan_u1 ** 2)
+    sin_u1 = tan_u1 * cos_u1
+    sigma1 = math.atan2(tan_u1, math.cos(alpha1))
+    sin_alpha = cos_u1 * math.sin(alpha1)
+    cos2_alpha = 1 - sin_alpha ** 2
+    u2 = cos2_alpha * (a * a - b * b) / (b * b)
+    big_a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
+    big_b = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
+    sigma = dist_m / (b * big_a)
+    for _ in range(200):
+        two_sm = 2 * sigma1 + sigma
+        ds = big_b * math.sin(sigma) * (math.cos(two_sm) + big_b / 4 * (
+            math.cos(sigma) * (-1 + 2 * math.cos(two_sm) ** 2)
+            - big_b / 6 * math.cos(two_sm) * (-3 + 4 * math.sin(sigma) ** 2) * (-3 + 4 * math.cos(two_sm) ** 2)))
+        new = dist_m / (b * big_a) + ds
+        if abs(new - sigma) < 1e-14:
+            sigma = new
+            break
+        sigma = new
+    two_sm = 2 * sigma1 + sigma
+    tmp = sin_u1 * math.sin(sigma) - cos_u1 * math.cos(sigma) * math.cos(alpha1)
+    phi2 = math.atan2(sin_u1 * math.cos(sigma) + cos_u1 * math.sin(sigma) * math.cos(alpha1),
+                      (1 - f) * math.sqrt(sin_alpha ** 2 + tmp ** 2))
+    lam = math.atan2(math.sin(sigma) * math.sin(alpha1),
+                     cos_u1 * math.cos(sigma) - sin_u1 * math.sin(sigma) * math.cos(alpha1))
+    c = f / 16 * cos2_alpha * (4 + f * (4 - 3 * cos2_alpha))
+    big_l = lam - (1 - c) * f * sin_alpha * (sigma + c * math.sin(sigma) * (
+        math.cos(two_sm) + c * math.cos(sigma) * (-1 + 2 * math.cos(two_sm) ** 2)))
+    return math.degrees(phi2), lon1 + math.degrees(big_l)
+
+
+def test_geo_box_matches_vincenty(spark):
+    pts = spark.createDataFrame([(37.8, -122.27), (-33.9, 151.2), (0.0, 179.99)], "lat double, lon double")
+    box = X.geo_box("lat", "lon", 5.0)
+    rows = pts.select("lat", "lon", *[v.alias(k) for k, v in box.items()]).collect()
+    d = 5.0 * 1609.344
+    for r in rows:
+        north = _vincenty_direct(r["lat"], r["lon"], 0.0, d)[0]
+        east = _vincenty_direct(r["lat"], r["lon"], 90.0, d)[1]
+        assert r["lat_max"] == pytest.approx(north, abs=1e-4)
+        east = (east + 180.0) % 360.0 - 180.0
+        assert r["lon_max"] == pytest.approx(east, abs=1e-4)
+    assert rows[2]["lon_max"] < -179.0  # wraps at the antimeridian
