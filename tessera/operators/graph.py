@@ -172,7 +172,7 @@ def bfs_hops(edges: DataFrame, sources: DataFrame, max_iter: int = 10_000) -> Da
     return dist
 
 
-def harmonic_exact(vertices: DataFrame, edges: DataFrame, vertex_limit: int = 100_000,
+def harmonic_exact(vertices: DataFrame, edges: DataFrame, vertex_limit: int = 20_000,
                    group: DataFrame | None = None) -> DataFrame:
     """Exact harmonic centrality sum_{u != v} 1/d(v,u) / (n - 1) by BFS from
     every vertex (O(V*E) rows, guarded by ``vertex_limit``).  With ``group``

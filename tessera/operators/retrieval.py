@@ -152,14 +152,18 @@ def topk_similarity(corpus: DataFrame, id_col: str, vec_col: str, queries: DataF
     qmat = np.array([np.asarray(r[1], dtype=np.float64) for r in qrows])
     qn = qmat / np.linalg.norm(qmat, axis=1, keepdims=True)
     spark = corpus.sparkSession
-    bq = spark.sparkContext.broadcast((qids, qn))
+    try:
+        bq = spark.sparkContext.broadcast((qids, qn))
+        get_q = lambda: bq.value
+    except Exception:  # noqa: BLE001 - no SparkContext (remote session): ship with the function
+        get_q = lambda: (qids, qn)
     id_type = corpus.schema[id_col].dataType
     q_type = queries.schema[qid].dataType
     schema = T.StructType([T.StructField(qid, q_type), T.StructField(id_col, id_type),
                            T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_q, qm = bq.value
+        ids_q, qm = get_q()
         best_ids: list[np.ndarray] = []
         best_sc: list[np.ndarray] = []
         for b in batches:

@@ -29,7 +29,8 @@ def _ngram_structs(toks: Column, max_n: int) -> Column:
     """Array of (n, gram) for n = 1..max_n over a token array."""
     return F.flatten(F.transform(
         F.sequence(F.lit(1), F.lit(max_n)),
-        lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(0))),
+        lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(1))),
+                                       lambda i: i <= F.size(toks) - n + 1),
                               lambda i: F.struct(n.alias("n"), F.array_join(F.slice(toks, i, n), " ").alias("gram")))))
 
 

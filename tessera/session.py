@@ -42,11 +42,16 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by the session; set a local one only
     when nothing is configured (tests)."""
-    sc = spark.sparkContext
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote session: the server owns the checkpoint folder
+        if conf_dir:
+            return conf_dir
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder") from None
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
