@@ -250,10 +250,10 @@ def rouge_lsum(spark, sf_dir):
 
 
 _GM_SQL = """
-WITH e AS (SELECT vec_id, embedding, vec_id // 16 AS pair_id, (vec_id // 8) % 2 AS side FROM embeddings),
-s AS (SELECT c.pair_id, c.vec_id AS ct, r.vec_id AS rt,
+WITH e AS (SELECT vec_id, embedding, vec_id // 8 AS block FROM embeddings),
+s AS (SELECT c.block AS pair_id, c.vec_id AS ct, r.vec_id AS rt,
              list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS s
-      FROM e c JOIN e r ON c.pair_id = r.pair_id AND c.side = 0 AND r.side = 1),
+      FROM e c JOIN e r ON r.block = c.block + 1),
 p AS (SELECT pair_id, avg(m) AS precision FROM (SELECT pair_id, ct, max(s) AS m FROM s GROUP BY ALL) GROUP BY ALL),
 r AS (SELECT pair_id, avg(m) AS recall FROM (SELECT pair_id, rt, max(s) AS m FROM s GROUP BY ALL) GROUP BY ALL)
 SELECT p.pair_id, round(precision, 6) AS precision, round(recall, 6) AS recall,
@@ -264,12 +264,11 @@ SELECT p.pair_id, round(precision, 6) AS precision, round(recall, 6) AS recall,
 @query("greedy_match_f1", _GM_SQL)
 def greedy_match_f1(spark, sf_dir):
     """Greedy cosine matching between two "texts" of token vectors: blocks of
-    8 consecutive embeddings, each even block paired with the next one."""
-    e = tables(spark, sf_dir).embeddings.select(
-        "vec_id", "embedding", F.floor(F.col("vec_id") / 16).alias("pair_id"),
-        (F.floor(F.col("vec_id") / 8) % 2).alias("side"))
-    cand = e.where("side = 0")
-    ref = e.where("side = 1")
+    8 consecutive embeddings, each block (candidate) against the next one
+    (reference); every block takes part, the work per pair is 8 x 8."""
+    e = tables(spark, sf_dir).embeddings.select("vec_id", "embedding", F.floor(F.col("vec_id") / 8).alias("block"))
+    cand = e.select("vec_id", "embedding", F.col("block").alias("pair_id"))
+    ref = e.select("vec_id", "embedding", (F.col("block") - 1).alias("pair_id"))
     g = TS.greedy_match(cand, ref, "pair_id", "vec_id", "embedding")
     return g.select("pair_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
