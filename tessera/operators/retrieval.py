@@ -135,7 +135,8 @@ def _round_half_away(x: np.ndarray, digits: int) -> np.ndarray:
 
 
 def topk_similarity(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame, qid: str, qvec: str,
-                    k: int, threshold: float | None = None, digits: int = 4, max_queries: int = 100_000) -> DataFrame:
+                    k: int, threshold: float | None = None, digits: int = 4, max_queries: int = 100_000,
+                    q_block: int = 1024) -> DataFrame:
     """Top-k corpus rows by cosine similarity for every query.
 
     Scores are rounded to ``digits`` (half away from zero) before ranking and
@@ -163,45 +164,41 @@ def topk_similarity(corpus: DataFrame, id_col: str, vec_col: str, queries: DataF
                            T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Streaming per-partition top-k: memory is one Arrow batch times a
+        block of queries plus k candidates per query, whatever the corpus."""
         ids_q, qm = get_q()
-        best_ids: list[np.ndarray] = []
-        best_sc: list[np.ndarray] = []
+        nq = len(ids_q)
+        best_id: list = [None] * nq
+        best_sc = [np.empty(0) for _ in range(nq)]
         for b in batches:
             if len(b) == 0:
                 continue
             m = np.stack([np.asarray(v, dtype=np.float64) for v in b[vec_col]])
-            norms = np.linalg.norm(m, axis=1)
-            sc = _round_half_away((m @ qm.T) / norms[:, None], digits)  # rows x queries
+            m = m / np.linalg.norm(m, axis=1, keepdims=True)
             ids = b[id_col].to_numpy()
-            best_ids.append(ids)
-            best_sc.append(sc)
-            if sum(len(x) for x in best_ids) > 50_000:
-                ids_all = np.concatenate(best_ids)
-                sc_all = np.concatenate(best_sc)
-                keep = set()
-                for j in range(len(ids_q)):
-                    col = sc_all[:, j]
-                    if threshold is not None:
-                        ok = np.nonzero(col >= threshold)[0]
-                    else:
-                        ok = np.arange(len(col))
-                    order = ok[np.lexsort((ids_all[ok], -col[ok]))][:k]
-                    keep.update(order.tolist())
-                idx = np.array(sorted(keep), dtype=np.int64)
-                best_ids, best_sc = [ids_all[idx]], [sc_all[idx]]
-        if not best_ids:
-            return
-        ids_all = np.concatenate(best_ids)
-        sc_all = np.concatenate(best_sc)
+            for lo in range(0, nq, q_block):
+                sc = _round_half_away(m @ qm[lo:lo + q_block].T, digits)  # rows x block
+                for jj in range(sc.shape[1]):
+                    j = lo + jj
+                    col = sc[:, jj]
+                    keep = np.ones(len(col), dtype=bool) if threshold is None else col >= threshold
+                    if len(col) > k:
+                        kth = np.partition(col, len(col) - k)[len(col) - k]
+                        keep &= col >= kth  # ties at the boundary are kept
+                    prev = best_id[j] if best_id[j] is not None else ids[:0]
+                    cid = np.concatenate([prev, ids[keep]])
+                    csc = np.concatenate([best_sc[j], col[keep]])
+                    order = np.lexsort((cid, -csc))[:k]
+                    best_id[j], best_sc[j] = cid[order], csc[order]
         out_q, out_id, out_s = [], [], []
         for j, q in enumerate(ids_q):
-            col = sc_all[:, j]
-            ok = np.nonzero(col >= threshold)[0] if threshold is not None else np.arange(len(col))
-            order = ok[np.lexsort((ids_all[ok], -col[ok]))][:k]
-            out_q += [q] * len(order)
-            out_id += ids_all[order].tolist()
-            out_s += col[order].tolist()
-        yield pd.DataFrame({qid: out_q, id_col: out_id, "score": out_s})
+            if best_id[j] is None:
+                continue
+            out_q += [q] * len(best_id[j])
+            out_id += best_id[j].tolist()
+            out_s += best_sc[j].tolist()
+        if out_q:
+            yield pd.DataFrame({qid: out_q, id_col: out_id, "score": out_s})
 
     partial = spread(corpus.select(id_col, vec_col)).mapInPandas(run, schema)
     w = Window.partitionBy(qid).orderBy(F.desc("score"), F.asc(id_col))
