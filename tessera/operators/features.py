@@ -57,11 +57,9 @@ class Vocabulary:
     @classmethod
     def fit(cls, df: DataFrame, col: str, max_categories: int = 10_000) -> "Vocabulary":
         _require(df, col)
-        distinct = df.select(col).distinct()
-        n = distinct.count()
-        if n > max_categories:
-            raise ValueError(f"{col} has {n} categories (> {max_categories}); use hashing instead")
-        vals = [r[0] for r in distinct.collect()]
+        vals = [r[0] for r in df.select(col).distinct().limit(max_categories + 1).collect()]
+        if len(vals) > max_categories:
+            raise ValueError(f"{col} has more than {max_categories} categories; use hashing instead")
         non_null = sorted(v for v in vals if v is not None)
         return cls(col, non_null + ([None] if any(v is None for v in vals) else []))
 

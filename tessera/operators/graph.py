@@ -221,13 +221,19 @@ def harmonic_hyperball(vertices: DataFrame, edges: DataFrame, lg_k: int = 12, ma
 
 
 # ------------------------------------------------------------------ Louvain
-def _modularity(edges: DataFrame, comm: DataFrame) -> float:
-    """Q = sum_c [in_c / 2m - (tot_c / 2m)^2] on a both-directions edge list."""
-    two_m = edges.agg(F.sum("weight")).first()[0] or 0.0
+def _modularity(edges: DataFrame, comm: DataFrame, two_m: float | None = None) -> float:
+    """Q = sum_c [in_c / 2m - (tot_c / 2m)^2] on a both-directions edge list.
+    ``comm`` is (node, community) and may carry the node degree as ``k``."""
+    if two_m is None:
+        two_m = edges.agg(F.sum("weight")).first()[0] or 0.0
     if two_m == 0:
         return 0.0
-    k = edges.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
-    tot = k.join(comm, "node").groupBy("community").agg(F.sum("k").alias("tot"))
+    if "k" in comm.columns:
+        tot = comm.groupBy("community").agg(F.sum("k").alias("tot"))
+        comm = comm.select("node", "community")
+    else:
+        k = edges.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
+        tot = k.join(comm, "node").groupBy("community").agg(F.sum("k").alias("tot"))
     cs = comm.select(F.col("node").alias("src"), F.col("community").alias("cs"))
     cd = comm.select(F.col("node").alias("dst"), F.col("community").alias("cd"))
     inside = edges.join(cs, "src").join(cd, "dst").where("cs = cd").groupBy(F.col("cs").alias("community")).agg(
@@ -237,8 +243,8 @@ def _modularity(edges: DataFrame, comm: DataFrame) -> float:
     return float(r or 0.0)
 
 
-def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, max_levels: int = 10,
-            max_rounds: int = 30, tol: float = 1e-9, max_stalls: int = 3) -> tuple[DataFrame, list[float]]:
+def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, max_levels: int = 6,
+            max_rounds: int = 8, tol: float = 1e-9, max_stalls: int = 3) -> tuple[DataFrame, list[float]]:
     """Louvain communities (Blondel et al. 2008) with intermediate levels.
 
     Edges are treated as undirected.  Each round every vertex computes, for
@@ -275,7 +281,7 @@ def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, ma
         k = sup_nodes.join(k, "id", "left").select("id", F.coalesce("k", F.lit(0.0)).alias("k"))
         comm = _cut(k.select("id", F.col("id").alias("c"), "k"))
         moved_any = False
-        best_q = _modularity(g, comm.select(F.col("id").alias("node"), F.col("c").alias("community")))
+        best_q = _modularity(g, comm.select(F.col("id").alias("node"), F.col("c").alias("community"), "k"), two_m)
         stalls = 0
         for rnd in range(max_rounds):
             tot = comm.groupBy("c").agg(F.sum("k").alias("tot"))
@@ -306,7 +312,7 @@ def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, ma
             # simultaneous moves can interfere: keep a round only if it raises
             # modularity, so the level is monotone and ends
             cand = dec.select("id", F.col("nc").alias("c"), "k")
-            q = _modularity(g, cand.select(F.col("id").alias("node"), F.col("c").alias("community")))
+            q = _modularity(g, cand.select(F.col("id").alias("node"), F.col("c").alias("community"), "k"), two_m)
             if q > best_q + tol:
                 comm, best_q, stalls = cand, q, 0
                 moved_any = True
@@ -328,7 +334,7 @@ def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, ma
         g = _cut(g.join(ls, "src").join(ld, "dst").groupBy(F.col("s2").alias("src"), F.col("d2").alias("dst")).agg(
             F.sum("weight").alias("weight")))
         sup_nodes = lab.select(F.col("label").alias("id")).distinct()
-        mods.append(_modularity(g, sup_nodes.select(F.col("id").alias("node"), F.col("id").alias("community"))))
+        mods.append(_modularity(g, sup_nodes.select(F.col("id").alias("node"), F.col("id").alias("community")), two_m))
     out = mapping.select(
         "node", F.col("super").alias("community"),
         F.when(F.size("hist") > 0, F.col("hist")).otherwise(F.array(F.col("node").cast("long")))
