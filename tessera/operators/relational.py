@@ -180,11 +180,28 @@ def box_range_join(points: DataFrame, boxes: DataFrame, px: str, py: str, bx_lo:
     return bx.join(pt, cond, how).drop("__gx", "__gy")
 
 
+def max_rows(df: DataFrame) -> int | None:
+    """Upper bound on the row count that the optimizer can prove (a LIMIT,
+    a global aggregate, a literal table), or None."""
+    try:
+        opt = df._jdf.queryExecution().optimizedPlan().maxRows()
+        return int(opt.get()) if opt.isDefined() else None
+    except Exception:  # noqa: BLE001 - no JVM plan access (remote session)
+        return None
+
+
+def bounded_broadcast(df: DataFrame, bound: int) -> DataFrame:
+    """Broadcast hint only when the plan proves at most ``bound`` rows;
+    otherwise leave the join strategy to the optimizer and AQE."""
+    n = max_rows(df)
+    return F.broadcast(df) if n is not None and n <= bound else df
+
+
 def membership_flag(df: DataFrame, keys: DataFrame, on: str, name: str, bound: int) -> DataFrame:
-    """0/1 flag for rows whose key is in ``keys``; ``keys`` must hold at most
-    ``bound`` rows (a top-N list), which makes the broadcast safe."""
+    """0/1 flag for rows whose key is in ``keys`` (e.g. a top-N list).  The
+    key list is broadcast when its plan proves at most ``bound`` rows."""
     flag = keys.select(on).distinct().withColumn(name, F.lit(1))
-    return df.join(F.broadcast(flag.limit(bound)), on, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
+    return df.join(bounded_broadcast(flag, bound), on, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
 
 
 def tiered_resolve(names: DataFrame, dim: DataFrame, name_col: str, dim_name: str, dim_key: str,

@@ -254,7 +254,7 @@ def cross_excl_self(spark, sf_dir):
     t = tables(spark, sf_dir)
     sp = _sp(spark, sf_dir)
     h = hubs(t).select(F.col("id").alias("node"))
-    return sp.join(F.broadcast(h), "node").where(F.col("node") != F.col("source")).select(
+    return sp.join(R.bounded_broadcast(h, 1000), "node").where(F.col("node") != F.col("source")).select(
         "source", F.col("node").alias("target"), "cost")
 
 
