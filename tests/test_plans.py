@@ -51,3 +51,15 @@ def test_no_single_partition_window(spark, sf_dir, name):
         if "Exchange SinglePartition" in line:
             nxt = lines[i + 1]
             assert "keys=[__scan_bkt" in nxt or "keys=[]" in nxt, "\n".join(lines[i:i + 3])
+
+
+def test_bounded_broadcast_only(spark, sf_dir):
+    from tessera.operators import relational as R
+    from tessera.plans.common import tables
+
+    li = tables(spark, sf_dir).lineitem
+    top = R.top_n_keys(li, "l_suppkey", 25)
+    assert R.max_rows(top) == 25
+    assert R.max_rows(li) is None
+    hinted = R.bounded_broadcast(li.select("l_suppkey"), 25)
+    assert "broadcast" not in hinted._jdf.queryExecution().analyzed().toString().lower()
