@@ -3,9 +3,9 @@ DataFrames (G*).
 
 Iterative algorithms run as a driver loop of DataFrame jobs.  Each iteration
 is a join of the frontier with the edges plus an aggregate; the state is cut
-from its lineage with a reliable ``checkpoint()`` (to the shared folder named
-by ``spark.checkpoint.dir``), so a lost executor recomputes at most one
-iteration.  The only value brought to the driver per iteration is a count.
+from its lineage by writing it as a table in the shared folder named by
+``spark.checkpoint.dir`` and reading it back, so a lost executor recomputes
+at most one iteration.  The only value brought to the driver per iteration is a count.
 """
 
 from __future__ import annotations
@@ -13,12 +13,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import scratch_path
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise iteration state as a Parquet table in the shared scratch
+    folder and read it back.  Unlike ``checkpoint()``, whose result keeps a
+    reference to the plan it came from (for statistics and constraints), the
+    re-read table starts a fresh plan, so planning time does not grow with the
+    number of iterations."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "iter")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 # ------------------------------------------------------------------ building
@@ -243,7 +250,7 @@ def _modularity(edges: DataFrame, comm: DataFrame, two_m: float | None = None) -
     return float(r or 0.0)
 
 
-def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, max_levels: int = 6,
+def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, max_levels: int = 10,
             max_rounds: int = 8, tol: float = 1e-9, max_stalls: int = 3) -> tuple[DataFrame, list[float]]:
     """Louvain communities (Blondel et al. 2008) with intermediate levels.
 
