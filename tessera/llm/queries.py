@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import quality_rules as _quality
+from tessera.llm.byte_bpe import round_trip
 from tessera.llm.common import read_table
 from tessera.llm.packing import pack_documents
 from tessera.llm.token_counts import count_tokens
@@ -18,9 +19,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op7_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op4_byte_bpe, op7_token_counts)}
 ORACLE_SQL = {"op1_quality_rules": _quality.ORACLE_SQL}
