@@ -16,6 +16,7 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -66,7 +67,7 @@ def boundaries(data: bytes, c: Chunking = Chunking()) -> list[int]:
         if s[i] <= mid:
             end = s[i]
         else:
-            while w[j] < mid:
+            while w[j] <= mid:
                 j += 1
             end = w[j]
         start = min(end, high) + 1
@@ -120,23 +121,93 @@ def _bytes(docs: DataFrame) -> DataFrame:
     )
 
 
-def _in_ranges(d: DataFrame, per_range: int) -> tuple[DataFrame, int]:
-    """Rows with a range number ``part``, ranges by descending doc_id and null
-    ids last; the first row of a range (and of the table, behind the last
-    range) also stands, marked, at the end of the range before it.
+SCHEMA = (
+    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "near_edited double, near_next double, next_doc_id long"
+)
 
-    Only the cut points and one row's key per range pass the driver: ranges
-    hold ``per_range`` rows, so both are a fixed fraction of the table.
+
+def in_order(docs: DataFrame, per_range: int = 8192) -> DataFrame:
+    """Rows (part, carried, doc_id, text) in ranges of descending doc_id (null
+    ids last, equal ids by text); the first row of each range stands again,
+    marked ``carried``, behind the range before it, that of the first range
+    behind the last.
+
+    One shuffle moves each text once.  The driver sees one cut point and one
+    id per range, a fixed fraction (1 / per_range) of the rows' ids.
     """
-    spark = d.sparkSession
-    n = d.count()
-    ranges = max(1, -(-n // per_range))
+    spark = docs.sparkSession
+    d = _bytes(docs)
+    ids = d.select("doc_id")
+    ranges = max(1, -(-ids.count() // per_range))
     shares = [k / ranges for k in range(1, ranges)]
-    cuts = sorted(set(d.stat.approxQuantile("doc_id", shares, 0.2 / ranges)), reverse=True) if shares else []
-    cuts = [int(x) for x in cuts]
-    # cuts descend: a row's part is the number of cuts above its id
-    table = spark.createDataFrame([(i, c) for i, c in enumerate(cuts)], "i int, cut long")
-    del table
-    points = F.array(*[F.lit(c) for c in sorted(cuts)]).cast("array<long>")
-    above = F.size(points) - F.size(F.filter(points, lambda c: c <= F.col("doc_id")))
-    return d.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(above)), len(cuts) + 1
+    found = ids.stat.approxQuantile("doc_id", shares, 0.1 / ranges) if shares else []
+    cuts = np.array(sorted({int(x) for x in found}), np.int64)
+
+    @F.pandas_udf("int")
+    def part(doc_id: pd.Series) -> pd.Series:
+        null = doc_id.isna().to_numpy()
+        at = len(cuts) - np.searchsorted(cuts, doc_id.fillna(0).to_numpy().astype(np.int64), side="right")
+        return pd.Series(np.where(null, len(cuts) + 1, at).astype(np.int32))
+
+    heads = sorted((r["part"], r["head"]) for r in ids.groupBy(part("doc_id").alias("part")).agg(F.max("doc_id").alias("head")).collect())
+    # one row per range: its size is that of the cut points
+    before = [(heads[k][1], heads[k - 1][0]) for k in range(len(heads))]
+    carry = F.broadcast(spark.createDataFrame(before, "head long, before int"))
+    placed = d.join(carry, d["doc_id"].eqNullSafe(carry["head"]), "left").select(
+        "doc_id", "text", F.explode(F.array_compact(F.array(
+            F.struct(part("doc_id").alias("part"), F.lit(False).alias("carried")),
+            F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("part"), F.lit(True).alias("carried"))),
+        ))).alias("to"),
+    ).select("to.part", "to.carried", "doc_id", "text")
+    return placed.repartition(len(heads) or 1, "part").sortWithinPartitions("part", "carried", F.desc_nulls_last("doc_id"), "text")
+
+
+def edit_likeness(docs: DataFrame, chunking: Chunking = Chunking()) -> DataFrame:
+    """Fingerprints of every text and of its edited text: the last half of its
+    code points replaced by the first as many of the next document's, by
+    descending doc_id, the first one's behind the last.
+
+    Null texts are empty.  Of rows with equal doc_id the next one is that with
+    the next text; null doc_ids come last.
+    """
+
+    def run(batches):
+        def rows():
+            for part in slices(batches, "text"):
+                yield from zip(*(part.column(c).to_pylist() for c in ("part", "carried", "doc_id", "text")))
+
+        def described():
+            for part, carried, doc, data in rows():
+                yield part, carried, doc, data.decode(), chunk_set(data, chunking)
+
+        def compared():
+            last = None
+            for row in described():
+                # of several carried rows (equal ids) the first one counts
+                if last and last[0] == row[0] and not last[1]:
+                    yield last, row
+                last = row
+
+        out = []
+        for (_, _, doc, text, own), (_, _, next_doc, next_text, following) in compared():
+            half = len(text) // 2
+            edited = (text[:len(text) - half] + next_text[:half]).encode()
+            changed = chunk_set(edited, chunking)
+            out.append((
+                doc, len(text), hashlib.sha256(edited).hexdigest(), as_string(own), as_string(changed),
+                likeness(own, changed), likeness(own, following), next_doc,
+            ))
+            if len(out) >= 2000:
+                yield _batch(out)
+                out = []
+        if out:
+            yield _batch(out)
+
+    return in_order(docs).mapInArrow(run, SCHEMA)
+
+
+def _batch(rows) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    fields = [f.split() for f in SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], [n for n, _ in fields])

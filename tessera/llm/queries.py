@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import quality_rules as _quality
 from tessera.llm.byte_bpe import round_trip
 from tessera.llm.common import read_table
+from tessera.llm.fingerprints import edit_likeness
 from tessera.llm.packing import pack_documents
 from tessera.llm.token_counts import count_tokens
 
@@ -27,5 +28,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op4_byte_bpe, op7_token_counts)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_likeness(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op4_byte_bpe, op7_token_counts, op10_fingerprints)}
 ORACLE_SQL = {"op1_quality_rules": _quality.ORACLE_SQL}
