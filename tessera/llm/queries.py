@@ -8,6 +8,7 @@ from tessera.llm import quality_rules as _quality
 from tessera.llm.byte_bpe import round_trip
 from tessera.llm.common import read_table
 from tessera.llm.fingerprints import edit_likeness
+from tessera.llm.licenses import scan_licenses
 from tessera.llm.packing import pack_documents
 from tessera.llm.token_counts import count_tokens
 
@@ -28,9 +29,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op4_byte_bpe, op7_token_counts, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op4_byte_bpe, op7_token_counts, op9_licenses, op10_fingerprints)}
 ORACLE_SQL = {"op1_quality_rules": _quality.ORACLE_SQL}
