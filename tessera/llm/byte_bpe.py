@@ -130,7 +130,7 @@ class Encoder:
         found = self.split(text)
         if len(self.cache) > self.limit:
             self.cache, self.joined = {}, {}
-        for p in set(found).difference(self.cache.keys()):
+        for p in set(found).difference(self.cache):
             self.cache[p] = ids = self.piece(p)
             self.joined[p] = " ".join(map(str, ids))
         return found

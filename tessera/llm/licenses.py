@@ -88,7 +88,7 @@ class Grams:
             self.cache = {}
         flat = [w for t in texts for w in t]
         cache = self.cache
-        for w in set(flat).difference(cache.keys()):
+        for w in set(flat).difference(cache):
             cache[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(cache.__getitem__, flat), np.uint64, len(flat))
         n = np.array([len(t) for t in texts], np.int64)

@@ -74,7 +74,7 @@ class ChunkCounts:
         for c in chunks:
             if c is not None:
                 new.update(c)
-        self._learn(new.difference(self.cache.keys()))
+        self._learn(new.difference(self.cache))
         get = self.cache.__getitem__
         return [
             sum(map(get, c)) if c is not None else len(self.tok.encode(t, add_special_tokens=False).ids)

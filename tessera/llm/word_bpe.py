@@ -92,7 +92,7 @@ class ChunkIds:
         for c in chunks:
             if c is not None:
                 new.update(c)
-        self._learn(new.difference(self.cache.keys()))
+        self._learn(new.difference(self.cache))
         get = self.cache.__getitem__
         return [
             b"".join(map(get, c)) if c is not None else self._pack(self.tok.encode(t, add_special_tokens=False).ids)
