@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import quality_rules as _quality
 from tessera.llm.byte_bpe import round_trip
 from tessera.llm.common import read_table
 from tessera.llm.fingerprints import edit_likeness
 from tessera.llm.licenses import scan_licenses
+from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack_documents
 from tessera.llm.token_counts import count_tokens
+from tessera.llm.toxicity import toxicity
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +24,19 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("at_fault").alias("n_sentences_at_fault"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
@@ -37,5 +49,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op4_byte_bpe, op7_token_counts, op9_licenses, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_packing, op3_toxicity, op4_byte_bpe, op6_near_dedup, op7_token_counts, op9_licenses,
+    op10_fingerprints,
+)}
 ORACLE_SQL = {"op1_quality_rules": _quality.ORACLE_SQL}
