@@ -9,6 +9,7 @@ from tessera.llm import quality_rules as _quality
 from tessera.llm.byte_bpe import round_trip
 from tessera.llm.common import read_table
 from tessera.llm.fingerprints import edit_likeness
+from tessera.llm.kneser_ney import language_model
 from tessera.llm.licenses import scan_licenses
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack_documents
@@ -33,6 +34,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model(read_table(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_packing, op3_toxicity, op4_byte_bpe, op6_near_dedup, op7_token_counts, op9_licenses,
-    op10_fingerprints,
+    op1_quality_rules, op2_packing, op3_toxicity, op4_byte_bpe, op5_language_model, op6_near_dedup,
+    op7_token_counts, op9_licenses, op10_fingerprints,
 )}
 ORACLE_SQL = {"op1_quality_rules": _quality.ORACLE_SQL}
