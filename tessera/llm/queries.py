@@ -9,6 +9,7 @@ from tessera.llm import quality_rules as _quality
 from tessera.llm.byte_bpe import round_trip
 from tessera.llm.common import read_table
 from tessera.llm.fingerprints import edit_likeness
+from tessera.llm.html_tree import main_text
 from tessera.llm.kneser_ney import language_model
 from tessera.llm.licenses import scan_licenses
 from tessera.llm.near_dedup import near_duplicates
@@ -46,6 +47,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op8_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_packing, op3_toxicity, op4_byte_bpe, op5_language_model, op6_near_dedup,
-    op7_token_counts, op9_licenses, op10_fingerprints,
+    op7_token_counts, op8_html_tree, op9_licenses, op10_fingerprints,
 )}
 ORACLE_SQL = {"op1_quality_rules": _quality.ORACLE_SQL}

@@ -8,6 +8,7 @@ one; only the others are merged, each once per worker and cache span.
 
 from __future__ import annotations
 
+import gc
 from itertools import chain
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import only, slices
-from tessera.llm.word_bpe import bare, plain, pre_tokens, shared, tokenizer
+from tessera.llm.word_bpe import bare, plain, pre_tokens, tokenizer
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -50,7 +51,7 @@ class ChunkCounts:
     """Token counts of texts; chunks and pre-tokens outside ``whole`` are
     merged once and kept, up to ``limit`` entries."""
 
-    def __init__(self, whole: frozenset[str], path: str | None = None, limit: int = 800_000):
+    def __init__(self, whole: frozenset[str], path: str | None = None, limit: int = 600_000):
         self.whole, self.limit = whole, limit
         self.tok, self.merges = tokenizer(path), bare(path)
         self.specials = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
@@ -91,7 +92,7 @@ def count_tokens(docs: DataFrame, limit: int = 2048, path: str | None = None) ->
 
     def run(batches):
         if path not in _SHARED:
-            shared(path)  # also turns the collector off
+            gc.disable()  # the cache holds no cycles
             _SHARED[path] = ChunkCounts(proved.value, path)
         counts = _SHARED[path]
         for part in slices(batches, "text"):

@@ -108,5 +108,5 @@ def shared(path: str | None = None) -> ChunkIds:
     if path not in _SHARED:
         # the caches hold no cycles; the collector would walk them again and again
         gc.disable()
-        _SHARED[path] = ChunkIds(path, limit=800_000)
+        _SHARED[path] = ChunkIds(path, limit=600_000)
     return _SHARED[path]
