@@ -10,10 +10,10 @@
   linked to the bucket's least class only: a star, not all pairs.  Candidate
   links are confirmed on the full sets.
 * A star can miss a link between two of its points that are both unlike its
-  centre.  Such points lie in different components, so buckets that still hold
-  more than one component are taken up again: members outside the bucket's
-  largest component become centres in turn (1, 2, 4, ... per bucket and round)
-  until every pair of a bucket is in one component or was compared.
+  centre.  Buckets that still hold more than one component are taken up again:
+  pairs across components, pruned by what is known of them (sizes, distances to
+  the centre, agreeing bands), are confirmed as well.  Large groups of copies
+  are one component by then and give no pairs.
 
 With 32 bands of 4, two sets of similarity 0.8 share no bucket with
 probability 5e-8.
@@ -165,69 +165,87 @@ def components(spark: SparkSession, edges: DataFrame, base: str, name: str) -> D
             return labels
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) whose full sets reach the similarity."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) with linked (the full sets reach the similarity)
+    and far (one less the similarity)."""
     sa = sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa"))
     sb = sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(sa, "a").join(sb, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("n")).filter(
-        F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent
-    ).select("a", "b")
+    i, u = F.col("i"), F.col("n") - F.col("i")
+    return pairs.join(sa, "a").join(sb, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("n")).select(
+        "a", "b", (i * 100 >= u * percent).alias("linked"), (1 - i / u).alias("far")
+    )
 
 
-def _sized(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, na, b, nb) whose set sizes allow the similarity, once each."""
-    able = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    return pairs.filter((F.col("a") != F.col("b")) & able).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _able(na: str, nb: str, percent: int):
+    """Whether set sizes allow the similarity."""
+    return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+
+
+def _pair(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
+def _class_sets(docs: DataFrame, sig: DataFrame, classes: DataFrame) -> DataFrame:
+    """(v, shingles) of the given classes, from one text of each."""
+    wanted = classes.join(sig.groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.count("doc_id").alias("ids")), "v")
+    chosen = only(docs, "doc_id", "text").join(wanted.filter("ids > 0").select("doc_id"), "doc_id", "left_semi")
+    if not wanted.filter("ids = 0").isEmpty():  # classes of rows without doc_id only
+        chosen = chosen.unionByName(only(docs, "doc_id", "text").filter("doc_id IS NULL"))
+    return full_sets(chosen).dropDuplicates(["v"])
+
+
+def _behind_centres(members: DataFrame, stars: DataFrame, comps: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
+    """Pairs that the stars left open: two members of a bucket, neither its
+    centre, in different components.
+
+    A pair is left out only if it cannot be linked: by the sizes; by the
+    triangle inequality, if its two known distances to the bucket's centre
+    differ by more than the distance of a link; or, for larger sets, if fewer
+    than two bands agree (probability 1e-6 for a link).  Pairs with a member of
+    the bucket's largest component are met from the other side only, and a pair
+    is given in the first bucket it shares, so each comes once.
+    """
+    placed = members.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp"))["comp"].alias("largest"), F.count("*").alias("comps")).filter("comps > 1")
+    known = stars.select(F.col("a").alias("ka"), F.col("b").alias("kb"), "far")
+    near = placed.filter("v <> cv").join(largest.select("bucket", "largest"), "bucket").join(
+        known, (F.least("v", "cv") == F.col("ka")) & (F.greatest("v", "cv") == F.col("kb")), "left"
+    ).join(classes.select("v", "bands"), "v").select("bucket", "v", "n", "comp", "largest", "far", "bands")
+    x, y = near.filter("comp <> largest").alias("x"), near.alias("y")
+    shared = F.array_intersect("x.bands", "y.bands")
+    apart = F.abs(F.col("x.far") - F.col("y.far")) > 1 - p.percent / 100 + 1e-9
+    found = x.join(
+        y,
+        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp"))
+        & ((F.col("y.comp") == F.col("y.largest")) | (F.col("x.v") < F.col("y.v")))
+        & _able("x.n", "y.n", p.percent) & ~F.coalesce(apart, F.lit(False))
+        & (F.array_min(shared) == F.col("x.bucket")) & ((F.least("x.n", "y.n") < 64) | (F.size(shared) >= 2)),
+    )
+    # a pair can come from two buckets' different views of largest
+    return _pair(found, "x.v", "y.v").distinct()
 
 
 def similar_classes(spark: SparkSession, docs: DataFrame, sig: DataFrame, base: str, p: Params = Params()) -> DataFrame | None:
-    """(v, comp) of the classes that are linked to another one; None if no two
-    classes share a bucket."""
+    """(v, comp) of the classes that are linked to another one; None if there
+    are none."""
     classes = sig.filter("v IS NOT NULL").groupBy("v").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     rows = classes.select("v", "n", F.explode("bands").alias("bucket"))
-    stars = rows.groupBy("bucket").agg(F.min(F.struct("v", "n")).alias("c"), F.max("v").alias("other")).filter("c.v <> other")
-    members = _written(rows.join(stars.select("bucket", F.col("c.v").alias("cv"), F.col("c.n").alias("cn")), "bucket"), spark, base, "members")
-    pairs = _written(_sized(members.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("cv").alias("b"), F.col("cn").alias("nb")), p.percent), spark, base, "pairs-0")
+    centres = rows.groupBy("bucket").agg(F.min(F.struct("v", "n")).alias("c"), F.max("v").alias("other")).filter("c.v <> other")
+    members = _written(rows.join(centres.select("bucket", F.col("c.v").alias("cv"), F.col("c.n").alias("cn")), "bucket"), spark, base, "members")
     if members.isEmpty():
         return None
-    # texts of the classes in shared buckets, one each, as full sets
-    wanted = members.select("v").distinct().join(sig.groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.count("doc_id").alias("ids"), F.count("*").alias("k")), "v")
-    named = wanted.filter("ids > 0").select("doc_id")
-    chosen = only(docs, "doc_id", "text").join(named, "doc_id", "left_semi")
-    if not wanted.filter("ids = 0").isEmpty():  # classes of rows without doc_id only
-        chosen = chosen.unionByName(only(docs, "doc_id", "text").filter("doc_id IS NULL"))
-    sets = _written(full_sets(chosen).dropDuplicates(["v"]), spark, base, "sets")
-    edges = _written(_confirmed(pairs, sets, p.percent), spark, base, "edges-0")
-    tested, done, step = [pairs], None, 0
-    while True:
-        comps = components(spark, edges, base, f"comps-{step}") if not edges.isEmpty() else None
-        placed = members.select("bucket", "v", "n")
-        placed = placed.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v")) if comps is not None else placed.withColumn("comp", F.col("v"))
-        sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-        largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp"))["comp"].alias("largest"), F.count("*").alias("comps")).filter("comps > 1")
-        open_ = placed.join(largest.select("bucket", "largest"), "bucket")
-        strays = open_.filter("comp <> largest").select("bucket", "v", "n", "comp")
-        if done is not None:
-            strays = strays.join(done, ["bucket", "v"], "left_anti")
-        group = F.pmod(F.xxhash64("v", "bucket"), F.lit(1 << step))
-        picks = strays.groupBy("bucket", group.alias("g")).agg(F.min(F.struct("v", "n", "comp")).alias("c")).select(
-            "bucket", F.col("c.v").alias("cv"), F.col("c.n").alias("cn"), F.col("c.comp").alias("cc")
-        )
-        step += 1
-        picks = _written(picks, spark, base, f"picks-{step}")
-        if picks.isEmpty():
-            return comps
-        found = open_.select("bucket", "v", "n", "comp").join(picks, "bucket").filter("comp <> cc")
-        pairs = _sized(found.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("cv").alias("b"), F.col("cn").alias("nb")), p.percent)
-        for t in tested:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
-        pairs = _written(pairs, spark, base, f"pairs-{step}")
-        tested.append(pairs)
-        picked = picks.select("bucket", F.col("cv").alias("v"))
-        done = picked if done is None else done.unionByName(picked)
-        more = _written(_confirmed(pairs, sets, p.percent), spark, base, f"edges-{step}")
-        edges = edges.unionByName(more)
+    sets = _written(_class_sets(docs, sig, members.select("v").distinct()), spark, base, "sets")
+    star = _pair(members.filter((F.col("v") != F.col("cv")) & _able("n", "cn", p.percent)), "v", "cv").distinct()
+    stars = _written(_compared(star, sets, p.percent), spark, base, "stars")
+    edges = stars.filter("linked").select("a", "b")
+    comps = components(spark, edges, base, "first")
+    behind = _behind_centres(members, stars, comps, classes, p).join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    more = _written(_compared(behind, sets, p.percent).filter("linked").select("a", "b"), spark, base, "more")
+    if more.isEmpty():
+        return comps
+    return components(spark, edges.unionByName(more), base, "second")
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
