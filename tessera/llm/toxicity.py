@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import held_out, only, slices
+from tessera.session import scratch_path
 
 _WORD = re.compile(r"[^\W\d_]+")
 _BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
@@ -32,10 +33,12 @@ _BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 
 @dataclass(frozen=True)
 class Training:
-    """``max_docs`` labelled rows per label bound the sample of the fit."""
+    """``max_docs`` labelled rows per label bound the sample of the fit;
+    up to ``max_sent`` labels (16 bytes each) are broadcast."""
 
     max_docs: int = 4000
     max_features: int = 4096
+    max_sent: int = 2_000_000
     min_docs: int = 4
     min_g: float = 10.83
     prefixes: tuple[int, ...] = (4, 5)
@@ -157,17 +160,33 @@ def fit_noisy_or(y, n, sent, feat, n_features: int, t: Training) -> tuple[np.nda
     return w[:-1], float(w[-1])
 
 
+def _table(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _attach(docs: DataFrame, labels: DataFrame, max_sent: int) -> DataFrame:
+    """docs joined to (doc_id, toxic).  Up to ``max_sent`` labels are sent to
+    all executors, so that no text is shuffled; more are joined by a shuffle."""
+    few = labels.limit(max_sent + 1).count() <= max_sent
+    return docs.join(F.broadcast(labels) if few else labels, "doc_id")
+
+
 def train(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> Model:
     """Model from the labelled documents that are not held out (crc32(doc_id as
     text) mod 3 is not 1).  Null texts, null labels and unlabelled rows are not
     used; with only one label present nothing is learnt and all scores are 0.
     """
-    lab = only(labels, "doc_id", "toxic").filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    labelled = only(docs, "doc_id", "text").filter(F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 3)).join(lab, "doc_id")
+    lab = only(labels, "doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"), 3)).groupBy("doc_id").agg(
+        F.max("toxic").cast("int").alias("toxic")
+    )
+    named = _attach(only(docs, "doc_id", "text").filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("h")), lab, t.max_sent)
     # copies of a text are one example
-    one = labelled.groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
-    labelled = labelled.join(one.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", "toxic")
-    totals = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    one = named.groupBy("h").agg(F.min(F.struct("doc_id", "toxic")).alias("r")).select("r.doc_id", "r.toxic")
+    one = _table(one, "toxicity-examples")
+    labelled = _attach(only(docs, "doc_id", "text").filter(F.col("text").isNotNull()), one, t.max_sent)
+    totals = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return Model(prefixes=t.prefixes)
     # likelihood ratio statistic of (has the feature) by (label), against min_g
@@ -185,9 +204,10 @@ def train(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> Model
     )
     index = {r["feature"]: i for i, r in enumerate(chosen)}
     mixed = F.xxhash64(F.lit("sample"), "doc_id")
-    parts = [labelled.filter(F.col("toxic") == y).orderBy(mixed, "doc_id").limit(t.max_docs).select("doc_id") for y in (0, 1)]
-    picked = parts[0].unionByName(parts[1])
-    bags = _bags(labelled.join(picked, "doc_id", "left_semi"), index, t.prefixes).to_pydict()
+    parts = [one.filter(F.col("toxic") == y).orderBy(mixed, "doc_id").limit(t.max_docs) for y in (0, 1)]
+    picked = _table(parts[0].unionByName(parts[1]), "toxicity-sample")  # 2 * max_docs rows at most
+    sample = only(docs, "doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
+    bags = _bags(sample, index, t.prefixes).to_pydict()
     order = sorted(range(len(bags["n"])), key=lambda i: (bags["toxic"][i], bags["n"][i], bags["sent"][i], bags["feat"][i]))
     y, n, sent, feat = ([bags[c][i] for i in order if bags["n"][i]] for c in ("toxic", "n", "sent", "feat"))
     w, bias = fit_noisy_or(y, n, sent, feat, len(index), t)
