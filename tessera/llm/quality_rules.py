@@ -80,14 +80,16 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("__s", F.when(n >= 4, F.sort_array(hashed)).otherwise(none))
         .withColumn("__d", F.filter(s, twice))
         .withColumn("__p", F.sort_array(F.transform("__d", lambda x: x["i"])))
-        .withColumns({
-            "n_words": n.cast("long"),
-            "word_chars": F.length(F.array_join(w, "")).cast("long"),
-            "n_symbols": F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(SYMBOLS)).cast("long"),
-            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            "n_repeat_words": F.when(k > 0, covered).otherwise(0).cast("long"),
-        })
-        .drop("__w", "__n", "__l", "__s", "__d", "__p")
+        .withColumn("__c", F.struct(
+            n.cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            F.when(k > 0, covered).otherwise(0).cast("long").alias("n_repeat_words"),
+        ))
+        # generated, so that a caller's filter stays above: pushed below, it
+        # would repeat these expressions many times over
+        .select(*docs.columns, F.inline(F.array("__c")))
     )
 
 
