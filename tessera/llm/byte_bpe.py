@@ -40,7 +40,10 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], limit: int = 2_000_000):
         self.ranks = ranks
         self.bytes = {i: b for b, i in ranks.items()}
+        self.size = {i: len(b) for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        #: the ends of tokens: a string that is none ends no token
+        self.ends = {b[i:] for b in ranks for i in range(len(b))}
         self.limit = limit
         self.pairs: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
@@ -70,6 +73,24 @@ class Vocabulary:
         return known
 
 
+    def last_token(self, data: bytes, last: list[int], i: int) -> int:
+        """Last token of data[:i + 1], given those of the shorter prefixes."""
+        ends, ranks, pairs, end = self.ends, self.ranks, self.pairs, i + 1
+        start, found = i, []
+        while start >= 0 and (part := data[start:end]) in ends:
+            if part in ranks:
+                found.append((start, ranks[part]))
+            start -= 1
+        while found:  # the longest first: mostly it is the one
+            start, t = found.pop()
+            if not start:
+                if self.is_whole(t):
+                    return t
+            elif (known := pairs.get((last[start - 1], t))) or (known is None and self.keep_apart(last[start - 1], t)):
+                return t
+        raise ValueError(f"byte {data[i]} is not in the vocabulary")
+
+
 class PrefixTable:
     """One pre-token's bytes; last[i] is the last token of its first i + 1 bytes."""
 
@@ -77,15 +98,6 @@ class PrefixTable:
         self.vocabulary, self.data, self.last = vocabulary, b"", []
         self.replace(0, 0, data)
 
-    def _entry(self, data: bytes, last: list[int], i: int) -> int:
-        v = self.vocabulary
-        get = v.ranks.get
-        for start in range(max(0, i + 1 - v.longest), i + 1):
-            t = get(data[start:i + 1])
-            if t is not None and (v.keep_apart(last[start - 1], t) if start else v.is_whole(t)):
-                return t
-        raise ValueError(f"byte {data[i]} is not in the vocabulary")
-
     def append(self, more: bytes) -> None:
         self.replace(len(self.data), len(self.data), more)
 
@@ -95,7 +107,7 @@ class PrefixTable:
         data, old = self.data[:start] + new + self.data[end:], self.last
         shift, last, same = len(new) - (end - start), old[:start], 0
         for i in range(start, len(data)):
-            last.append(self._entry(data, last, i))
+            last.append(self.vocabulary.last_token(data, last, i))
             behind = i >= start + len(new)
             same = same + 1 if behind and last[i] == old[i - shift] else 0
             if same >= self.vocabulary.longest:
@@ -105,10 +117,10 @@ class PrefixTable:
 
     def ids(self, length: int | None = None) -> list[int]:
         """Ids of the first ``length`` bytes (all by default)."""
-        i, out, size = len(self.data) if length is None else length, [], self.vocabulary.bytes
+        i, out = len(self.data) if length is None else length, []
         while i:
             out.append(self.last[i - 1])
-            i -= len(size[out[-1]])
+            i -= self.vocabulary.size[out[-1]]
         return out[::-1]
 
 
@@ -123,20 +135,40 @@ class Encoder:
         self.cache: dict[str, list[int]] = {}
         self.joined: dict[str, str] = {}
 
-    def piece(self, piece: str) -> list[int]:
-        return PrefixTable(self.vocabulary, piece.encode()).ids()
-
-    def pieces(self, text: str) -> list[str]:
-        found = self.split(text)
+    def _learn(self, new: set[str]) -> None:
+        """Encode pieces in byte order: each goes on from the entries of the
+        prefix it shares with the one before."""
+        v, last, before = self.vocabulary, [], b""
+        for data, piece in sorted((p.encode(), p) for p in new):
+            k, top = 0, min(len(before), len(data))
+            while k < top and before[k] == data[k]:
+                k += 1
+            del last[k:]
+            for i in range(k, len(data)):
+                last.append(v.last_token(data, last, i))
+            ids, i = [], len(data)
+            while i:
+                t = last[i - 1]
+                ids.append(t)
+                i -= v.size[t]
+            ids.reverse()
+            self.cache[piece] = ids
+            self.joined[piece] = " ".join(map(str, ids))
+            before = data
+
+    def split_all(self, texts: list[str]) -> list[list[str]]:
+        """Pieces of texts, all of them in the cache."""
+        found = list(map(self.split, texts))
         if len(self.cache) > self.limit:
             self.cache, self.joined = {}, {}
-        for p in set(found).difference(self.cache):
-            self.cache[p] = ids = self.piece(p)
-            self.joined[p] = " ".join(map(str, ids))
+        new = set()
+        for f in found:
+            new.update(f)
+        self._learn(new.difference(self.cache))
         return found
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.cache.__getitem__, self.pieces(text))))
+        return list(chain.from_iterable(map(self.cache.__getitem__, self.split_all([text])[0])))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids))
@@ -213,7 +245,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         encoder = _shared(path)
         for part in slices(batches, "text"):
-            ids = [encoder.encode(t) for t in part.column("text").to_pylist()]
+            ids = [list(chain.from_iterable(map(encoder.cache.__getitem__, f))) for f in encoder.split_all(part.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
@@ -242,8 +274,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         encoder = _shared(path)
         for part in slices(batches, "text"):
             n, ids_sha, text_sha = [], [], []
-            for text in part.column("text").to_pylist():
-                pieces = encoder.pieces(text)
+            for pieces in encoder.split_all(part.column("text").to_pylist()):
                 ids = list(chain.from_iterable(map(encoder.cache.__getitem__, pieces)))
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(" ".join(map(encoder.joined.__getitem__, pieces)).encode()).hexdigest())
