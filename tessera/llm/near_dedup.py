@@ -7,13 +7,12 @@
   of each bin is kept.  An empty bin takes the value of the first filled bin on
   its own pseudo-random way through all bins (optimal densification).
 * ``rows`` values make a band key.  In every bucket of a band the classes are
-  linked to the bucket's least class only: a star, not all pairs.  Candidate
+  linked to one class of the bucket only: a star, not all pairs.  Candidate
   links are confirmed on the full sets.
 * A star can miss a link between two of its points that are both unlike its
   centre.  Buckets that still hold more than one component are taken up again:
-  pairs across components, pruned by what is known of them (sizes, distances to
-  the centre, agreeing bands), are confirmed as well.  Large groups of copies
-  are one component by then and give no pairs.
+  their members outside the largest component are compared with all others of
+  the buckets with the same centre, in blocks.
 
 With 32 bands of 4, two sets of similarity 0.8 share no bucket with
 probability 5e-8.
@@ -25,6 +24,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -165,16 +165,14 @@ def components(spark: SparkSession, edges: DataFrame, base: str, name: str) -> D
             return labels
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) with linked (the full sets reach the similarity)
-    and far (one less the similarity)."""
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) whose full sets reach the similarity."""
     sa = sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa"))
     sb = sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    i, u = F.col("i"), F.col("n") - F.col("i")
-    return pairs.join(sa, "a").join(sb, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("n")).select(
-        "a", "b", (i * 100 >= u * percent).alias("linked"), (1 - i / u).alias("far")
-    )
+    return pairs.join(sa, "a").join(sb, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("n")).filter(
+        F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent
+    ).select("a", "b")
 
 
 def _able(na: str, nb: str, percent: int):
@@ -195,36 +193,61 @@ def _class_sets(docs: DataFrame, sig: DataFrame, classes: DataFrame) -> DataFram
     return full_sets(chosen).dropDuplicates(["v"])
 
 
-def _behind_centres(members: DataFrame, stars: DataFrame, comps: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
-    """Pairs that the stars left open: two members of a bucket, neither its
+def _meet(percent: int):
+    """Links between the queries (kind 1) and the members (kind 0) of a block,
+    of different components, by counting common shingles through an index."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        members, queries = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
+        out = []
+        if len(members) and len(queries):
+            sets = members["shingles"].tolist()
+            size = np.array([len(x) for x in sets])
+            owner = np.repeat(np.arange(len(sets)), size)
+            flat = np.concatenate(sets)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            v, comp = members["v"].to_numpy(), members["comp"].to_numpy()
+            for q, c, x in zip(queries["v"], queries["comp"], queries["shingles"]):
+                low, high = np.searchsorted(flat, x), np.searchsorted(flat, x, side="right")
+                n = high - low
+                # all index entries of the query's shingles in a row
+                at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(sets))
+                for k in np.flatnonzero(common * 100 >= (size + len(x) - common) * percent):
+                    if comp[k] != c:
+                        out.append((min(q, v[k]), max(q, v[k])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=object)
+
+    return run
+
+
+def _behind_centres(members: DataFrame, comps: DataFrame, sets: DataFrame, p: Params, block: int = 2_000_000) -> DataFrame:
+    """Links that the stars left open: of two members of a bucket, neither its
     centre, in different components.
 
-    A pair is left out only if it cannot be linked: by the sizes; by the
-    triangle inequality, if its two known distances to the bucket's centre
-    differ by more than the distance of a link; or, for larger sets, if fewer
-    than two bands agree (probability 1e-6 for a link).  Pairs with a member of
-    the bucket's largest component are met from the other side only, and a pair
-    is given in the first bucket it shares, so each comes once.
+    Buckets with one centre form a unit.  The members outside of a unit's
+    largest component are compared with all its members, in blocks of about
+    ``block`` shingles on either side, so a large unit is many tasks and each
+    holds two blocks; only links come out.
     """
     placed = members.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-    sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp"))["comp"].alias("largest"), F.count("*").alias("comps")).filter("comps > 1")
-    known = stars.select(F.col("a").alias("ka"), F.col("b").alias("kb"), "far")
-    near = placed.filter("v <> cv").join(largest.select("bucket", "largest"), "bucket").join(
-        known, (F.least("v", "cv") == F.col("ka")) & (F.greatest("v", "cv") == F.col("kb")), "left"
-    ).join(classes.select("v", "bands"), "v").select("bucket", "v", "n", "comp", "largest", "far", "bands")
-    x, y = near.filter("comp <> largest").alias("x"), near.alias("y")
-    shared = F.array_intersect("x.bands", "y.bands")
-    apart = F.abs(F.col("x.far") - F.col("y.far")) > 1 - p.percent / 100 + 1e-9
-    found = x.join(
-        y,
-        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp"))
-        & ((F.col("y.comp") == F.col("y.largest")) | (F.col("x.v") < F.col("y.v")))
-        & _able("x.n", "y.n", p.percent) & ~F.coalesce(apart, F.lit(False))
-        & (F.array_min(shared) == F.col("x.bucket")) & ((F.least("x.n", "y.n") < 64) | (F.size(shared) >= 2)),
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("one"), F.max("comp").alias("two")).filter("one <> two")
+    unit = placed.join(mixed.select("bucket"), "bucket").select("cv", "v", "n", "comp").distinct()
+    sizes = unit.groupBy("cv", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    largest = sizes.groupBy("cv").agg(F.max(F.struct("k", "comp", "n")).alias("m"), F.sum("n").alias("n")).select(
+        "cv", F.col("m.comp").alias("largest"), F.ceil(F.col("n") / block).cast("int").alias("blocks"),
+        F.greatest(F.ceil((F.col("n") - F.col("m.n")) / block), F.lit(1)).cast("int").alias("turns"),
     )
-    # a pair can come from two buckets' different views of largest
-    return _pair(found, "x.v", "y.v").distinct()
+    rows = unit.join(largest, "cv")
+    # a member stands in its block for every turn, a query in its turn for every block
+    as_member = rows.select("cv", "v", "comp", F.pmod(F.xxhash64("v"), "blocks").cast("int").alias("block"),
+                            F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(0).alias("kind"))
+    queries = rows.filter("comp <> largest")
+    as_query = queries.select("cv", "v", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+                              F.pmod(F.xxhash64("v", F.lit(1)), "turns").cast("int").alias("turn"), F.lit(1).alias("kind"))
+    met = as_member.unionByName(as_query).join(sets, "v")
+    return met.groupBy("cv", "block", "turn").applyInPandas(_meet(p.percent), "a binary, b binary").distinct()
 
 
 def similar_classes(spark: SparkSession, docs: DataFrame, sig: DataFrame, base: str, p: Params = Params()) -> DataFrame | None:
@@ -232,17 +255,23 @@ def similar_classes(spark: SparkSession, docs: DataFrame, sig: DataFrame, base:
     are none."""
     classes = sig.filter("v IS NOT NULL").groupBy("v").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     rows = classes.select("v", "n", F.explode("bands").alias("bucket"))
-    centres = rows.groupBy("bucket").agg(F.min(F.struct("v", "n")).alias("c"), F.max("v").alias("other")).filter("c.v <> other")
-    members = _written(rows.join(centres.select("bucket", F.col("c.v").alias("cv"), F.col("c.n").alias("cn")), "bucket"), spark, base, "members")
-    if members.isEmpty():
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1")
+    held = _written(rows.join(shared, "bucket"), spark, base, "held")
+    if held.isEmpty():
         return None
+    # a bucket's centre is the member whose buckets are the fullest: of a text
+    # and its edited copies mostly the text, which is like all of them
+    fullness = held.groupBy("v").agg(F.sum("k").alias("full"))
+    ranked = held.join(fullness, "v")
+    centres = ranked.groupBy("bucket").agg(F.max(F.struct("full", "v", "n")).alias("c"))
+    members = _written(
+        held.join(centres.select("bucket", F.col("c.v").alias("cv"), F.col("c.n").alias("cn")), "bucket").drop("k"), spark, base, "members"
+    )
     sets = _written(_class_sets(docs, sig, members.select("v").distinct()), spark, base, "sets")
     star = _pair(members.filter((F.col("v") != F.col("cv")) & _able("n", "cn", p.percent)), "v", "cv").distinct()
-    stars = _written(_compared(star, sets, p.percent), spark, base, "stars")
-    edges = stars.filter("linked").select("a", "b")
+    edges = _written(_linked(star, sets, p.percent), spark, base, "stars")
     comps = components(spark, edges, base, "first")
-    behind = _behind_centres(members, stars, comps, classes, p).join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    more = _written(_compared(behind, sets, p.percent).filter("linked").select("a", "b"), spark, base, "more")
+    more = _written(_behind_centres(members, comps, sets, p), spark, base, "more")
     if more.isEmpty():
         return comps
     return components(spark, edges.unionByName(more), base, "second")
