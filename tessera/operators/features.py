@@ -26,7 +26,7 @@ GENERIC_NAME_WORDS = [
 
 def _require(df: DataFrame, col: str) -> None:
     if col not in df.columns:
-        raise ValueError(f"Column '{col}' does not exist in the DataFrame.")
+        raise ValueError(f"no column {col!r} among {', '.join(df.columns)}")
 
 
 # F1

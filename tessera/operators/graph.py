@@ -10,8 +10,11 @@ at most one iteration.  The only value brought to the driver per iteration is a
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.session import scratch_path
 
@@ -95,7 +98,7 @@ def transit_edges(stops: DataFrame, stations: DataFrame, travel: DataFrame) -> D
 
 
 # ------------------------------------------------------------------ shortest paths
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_iter: int = 10_000, checkpoint_every: int = 4) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, checkpoint_every: int = 4) -> DataFrame:
     """Single- or multi-source weighted shortest paths by frontier relaxation.
 
     ``sources`` has a column ``id``.  Returns (source, node, cost, hops, pred)
@@ -114,7 +117,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_iter: int = 10_000,
     ).distinct()
     dist = _cut(dist)
     frontier = dist
-    for it in range(max_iter):
+    for it in itertools.count():
         cand = frontier.join(e, frontier.node == e.src).select(
             "source", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"),
             (F.col("hops") + 1).alias("hops"), F.col("node").alias("pred"),
@@ -136,7 +139,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_iter: int = 10_000,
     return _cut(dist)
 
 
-def paths_to(dist: DataFrame, max_hops: int | None = None) -> DataFrame:
+def paths_to(dist: DataFrame) -> DataFrame:
     """Node list and cumulative costs of the chosen path to every node in
     ``dist`` (walks the predecessor links, one join per hop)."""
     state = dist.select(
@@ -144,10 +147,9 @@ def paths_to(dist: DataFrame, max_hops: int | None = None) -> DataFrame:
         F.array(F.col("node")).alias("nodes"), F.array(F.col("cost")).alias("costs"), "pred",
     )
     state = _cut(state)
-    limit = max_hops if max_hops is not None else dist.agg(F.max("hops")).first()[0] or 0
     back = dist.select("source", F.col("node").alias("pred"), F.col("cost").alias("pcost"),
                        F.col("pred").alias("ppred"))
-    for _ in range(limit):
+    while True:
         open_ = state.where(F.col("pred").isNotNull())
         if open_.limit(1).count() == 0:
             break
@@ -162,12 +164,12 @@ def paths_to(dist: DataFrame, max_hops: int | None = None) -> DataFrame:
 
 
 # ------------------------------------------------------------------ harmonic centrality
-def bfs_hops(edges: DataFrame, sources: DataFrame, max_iter: int = 10_000) -> DataFrame:
+def bfs_hops(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Unweighted hop distances (source, node, hops) from every source."""
     e = _cut(edges.select("src", "dst").distinct())
     dist = _cut(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("hops")))
     frontier = dist
-    for _ in range(max_iter):
+    while True:
         nxt = frontier.join(e, frontier.node == e.src).select("source", F.col("dst").alias("node"), "hops").distinct()
         nxt = nxt.join(dist.select("source", "node"), ["source", "node"], "left_anti").select(
             "source", "node", (F.col("hops") + 1).alias("hops"))
@@ -179,14 +181,13 @@ def bfs_hops(edges: DataFrame, sources: DataFrame, max_iter: int = 10_000) -> Da
     return dist
 
 
-def harmonic_exact(vertices: DataFrame, edges: DataFrame, vertex_limit: int = 20_000,
+def harmonic_exact(vertices: DataFrame, edges: DataFrame,
                    group: DataFrame | None = None) -> DataFrame:
     """Exact harmonic centrality sum_{u != v} 1/d(v,u) / (n - 1) by BFS from
-    every vertex (O(V*E) rows, guarded by ``vertex_limit``).  With ``group``
+    every vertex: V^2 rows, so for small graphs; harmonic_hyperball is the way
+    for large ones.  With ``group``
     (node, community) the normaliser is the community size."""
     n = vertices.count()
-    if n > vertex_limit:
-        raise ValueError(f"{n} vertices > {vertex_limit}: use harmonic_hyperball")
     hops = bfs_hops(edges, vertices.select("id"))
     s = hops.where(F.col("hops") > 0).groupBy(F.col("source").alias("id")).agg(F.sum(1.0 / F.col("hops")).alias("s"))
     v = vertices.select("id").join(s, "id", "left")
@@ -199,7 +200,7 @@ def harmonic_exact(vertices: DataFrame, edges: DataFrame, vertex_limit: int = 20
         (F.coalesce("s", F.lit(0.0)) / F.greatest(F.col("__size") - 1, F.lit(1))).alias("harmonic"))
 
 
-def harmonic_hyperball(vertices: DataFrame, edges: DataFrame, lg_k: int = 12, max_iter: int = 1000) -> DataFrame:
+def harmonic_hyperball(vertices: DataFrame, edges: DataFrame, lg_k: int = 12) -> DataFrame:
     """Approximate harmonic centrality (HyperBall, Boldi & Vigna 2013): each
     vertex keeps an HLL sketch of the vertices within t hops; round t+1 unions
     the sketches of its out-neighbours, and the growth of the estimate, divided
@@ -210,7 +211,7 @@ def harmonic_hyperball(vertices: DataFrame, edges: DataFrame, lg_k: int = 12, ma
     state = state.select("id", "sk", F.hll_sketch_estimate("sk").cast("double").alias("cnt"),
                          F.lit(0.0).alias("score"))
     state = _cut(state)
-    for t in range(max_iter):
+    for t in itertools.count():
         nb = e.join(state.select(F.col("id").alias("dst"), "sk"), "dst").select(F.col("src").alias("id"), "sk")
         own = state.select("id", "sk")
         merged = own.unionByName(nb).groupBy("id").agg(F.hll_union_agg("sk", True).alias("sk2"))
@@ -250,18 +251,19 @@ def _modularity(edges: DataFrame, comm: DataFrame, two_m: float | None = None) -
     return float(r or 0.0)
 
 
-def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, max_levels: int = 10,
-            max_rounds: int = 8, tol: float = 1e-9, max_stalls: int = 3) -> tuple[DataFrame, list[float]]:
+def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, tol: float = 1e-9) -> tuple[DataFrame, list[float]]:
     """Louvain communities (Blondel et al. 2008) with intermediate levels.
 
     Edges are treated as undirected.  Each round every vertex computes, for
     each neighbouring community, the modularity gain of moving there; vertices
     in the active half (a hash of id and round) take their best strictly
     positive move, so neighbours do not swap back and forth; a round is kept
-    only if it raises modularity.  A level ends when no vertex wants to move
-    (or after a few rejected rounds); the graph is then contracted (community pairs summed,
-    self loops kept) and the next level starts.  Communities are labelled by
-    their smallest original vertex id.
+    only if it raises modularity, and after a rejected one the single best
+    move is taken, which always does.  A level ends when no vertex gains more
+    than ``tol`` of modularity by a move; the graph is then contracted
+    (community pairs summed, self loops kept) and the next level starts, until
+    a level moves nothing.  Communities are labelled by their smallest original
+    vertex id; ids are numbers or strings.
 
     Returns (node, community, intermediate_communities) and the modularity
     after each level.
@@ -275,22 +277,24 @@ def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, ma
     g = _cut(g)
     nodes = vertices.select(F.col("id").alias("node"))
     # mapping original node -> current super-node, and the history of labels
-    mapping = _cut(nodes.select("node", F.col("node").alias("super"), F.array().cast("array<long>").alias("hist")))
+    own_type = vertices.schema["id"].dataType
+    label_type = "long" if isinstance(own_type, T.IntegralType) else own_type.simpleString()
+    mapping = _cut(nodes.select("node", F.col("node").alias("super"), F.array().cast(f"array<{label_type}>").alias("hist")))
     two_m = g.agg(F.sum("weight")).first()[0] or 0.0
     mods: list[float] = []
     if two_m == 0:
         out = mapping.select("node", F.col("node").alias("community"),
-                             F.array(F.col("node").cast("long")).alias("intermediate_communities"))
+                             F.array(F.col("node").cast(label_type)).alias("intermediate_communities"))
         return out, mods
     sup_nodes = nodes.select(F.col("node").alias("id"))
-    for level in range(max_levels):
+    for level in itertools.count():
         k = g.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
         k = sup_nodes.join(k, "id", "left").select("id", F.coalesce("k", F.lit(0.0)).alias("k"))
         comm = _cut(k.select("id", F.col("id").alias("c"), "k"))
         moved_any = False
         best_q = _modularity(g, comm.select(F.col("id").alias("node"), F.col("c").alias("community"), "k"), two_m)
-        stalls = 0
-        for rnd in range(max_rounds):
+        alone = False  # after a rejected round: the best move by itself
+        for rnd in itertools.count():
             tot = comm.groupBy("c").agg(F.sum("k").alias("tot"))
             nbr = g.where("src <> dst").join(comm.select(F.col("id").alias("dst"), F.col("c").alias("cj")), "dst")
             kin = nbr.groupBy(F.col("src").alias("id"), F.col("cj").alias("c")).agg(F.sum("weight").alias("kin"))
@@ -302,14 +306,20 @@ def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, ma
                 (F.col("kin") - (F.col("tot") - F.when(F.col("c") == F.col("d"), F.col("k")).otherwise(0.0))
                  * F.col("k") / F.lit(two_m)).alias("s"))
             cur = sc.where("c = d").select("id", F.col("s").alias("s_own"))
-            best = sc.groupBy("id").agg(F.max(F.struct(F.col("s"), (F.col("c") == F.col("d")).alias("own"),
-                                                       (-F.col("c")).alias("negc"))).alias("b"))
+            best = sc.groupBy("id").agg(F.min(F.struct((-F.col("s")).alias("less"), (F.col("c") != F.col("d")).alias("other"),
+                                                       F.col("c").alias("c"))).alias("b"))
             active = (F.pmod(F.xxhash64(F.col("id"), F.lit(level), F.lit(rnd)), F.lit(2)) == 0)
-            gain = (~F.col("b.own")) & (F.col("b.s") > F.col("s_own") + F.lit(tol))
+            rise = -F.col("b.less") - F.col("s_own")
             dec = best.join(cur, "id").join(comm, "id").select(
-                "id", "k", "c", gain.alias("want"),
-                F.when(active & gain, -F.col("b.negc")).otherwise(F.col("c")).alias("nc"))
+                "id", "k", "c", (F.col("b.other") & (rise > tol * two_m)).alias("want"), rise.alias("rise"), F.col("b.c").alias("to"))
             dec = _cut(dec)
+            if alone:
+                top = dec.where("want").orderBy(F.desc("rise"), "id").select("id").limit(1)
+                dec = dec.join(F.broadcast(top.withColumn("active", F.lit(True))), "id", "left").withColumn(
+                    "active", F.coalesce("active", F.lit(False)))
+            else:
+                dec = dec.withColumn("active", active)
+            dec = dec.withColumn("nc", F.when(F.col("active") & F.col("want"), F.col("to")).otherwise(F.col("c")))
             stats = dec.agg(F.count_if(F.col("nc") != F.col("c")).alias("moves"),
                             F.count_if("want").alias("wants")).first()
             if stats["wants"] == 0:
@@ -320,13 +330,13 @@ def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, ma
             # modularity, so the level is monotone and ends
             cand = dec.select("id", F.col("nc").alias("c"), "k")
             q = _modularity(g, cand.select(F.col("id").alias("node"), F.col("c").alias("community"), "k"), two_m)
-            if q > best_q + tol:
-                comm, best_q, stalls = cand, q, 0
-                moved_any = True
+            if q > best_q:
+                comm, best_q, moved_any = _cut(cand), q, True
+                alone = False
+            elif alone:
+                break  # no gain beyond rounding is left
             else:
-                stalls += 1
-                if stalls >= max_stalls:
-                    break
+                alone = True
         if not moved_any:
             break
         # label communities by smallest original node id
@@ -334,7 +344,7 @@ def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, ma
             F.min("node").alias("label"))
         lab = comm.join(orig_min, "c").select(F.col("id").alias("super"), "label")
         mapping = _cut(mapping.join(lab, "super").select(
-            "node", F.col("label").alias("super"), F.concat("hist", F.array(F.col("label").cast("long"))).alias("hist")))
+            "node", F.col("label").alias("super"), F.concat("hist", F.array(F.col("label").cast(label_type))).alias("hist")))
         # contract
         ls = lab.select(F.col("super").alias("src"), F.col("label").alias("s2"))
         ld = lab.select(F.col("super").alias("dst"), F.col("label").alias("d2"))
@@ -344,7 +354,7 @@ def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, ma
         mods.append(_modularity(g, sup_nodes.select(F.col("id").alias("node"), F.col("id").alias("community")), two_m))
     out = mapping.select(
         "node", F.col("super").alias("community"),
-        F.when(F.size("hist") > 0, F.col("hist")).otherwise(F.array(F.col("node").cast("long")))
+        F.when(F.size("hist") > 0, F.col("hist")).otherwise(F.array(F.col("node").cast(label_type)))
         .alias("intermediate_communities"))
     return out.withColumn("first_level", F.try_element_at("intermediate_communities", F.lit(1))), mods
 

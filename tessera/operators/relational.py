@@ -159,25 +159,51 @@ def undirected_join(segments: DataFrame, table: DataFrame, a="a", b="b", s1="sta
 
 
 def box_range_join(points: DataFrame, boxes: DataFrame, px: str, py: str, bx_lo: str, bx_hi: str,
-                   by_lo: str, by_hi: str, cell: float, how: str = "left") -> DataFrame:
+                   by_lo: str, by_hi: str, cell: float, how: str = "left",
+                   x_wrap: tuple[float, float] | None = None, y_wrap: tuple[float, float] | None = None) -> DataFrame:
     """2-D inclusive box join by grid bucketing: each box is exploded into the
     grid cells it touches (<= 4 when ``cell`` >= box side), points carry their
     own cell, equi join on the cell, then the exact predicate.  A point lies in
     exactly one cell, so no duplicate pairs arise.  A hot cell is handled by
-    AQE's skew-join split of the point side."""
+    AQE's skew-join split of the point side.
+
+    With ``how='left'`` a box without a point gives one row with null point
+    columns.  ``x_wrap`` / ``y_wrap`` are the ends of a circular axis (such as
+    longitude): a box with low > high then reaches over them.
+    """
     c = F.lit(float(cell))
-    bx = boxes.select(
-        "*",
-        F.explode(F.sequence(F.floor(F.col(bx_lo) / c), F.floor(F.col(bx_hi) / c))).alias("__gx"),
-    ).select("*", F.explode(F.sequence(F.floor(F.col(by_lo) / c), F.floor(F.col(by_hi) / c))).alias("__gy"))
+
+    def ranges(lo, hi, wrap):
+        whole = F.array(F.struct(F.col(lo).alias("lo"), F.col(hi).alias("hi")))
+        kind = boxes.schema[lo].dataType
+        if wrap:
+            ends = [F.lit(w).cast(kind) for w in wrap]
+            over = F.array(F.struct(F.col(lo).alias("lo"), ends[1].alias("hi")), F.struct(ends[0].alias("lo"), F.col(hi).alias("hi")))
+            whole = F.when(F.col(lo) > F.col(hi), over).otherwise(whole)
+        return F.explode(F.filter(whole, lambda r: r["lo"] <= r["hi"]))
+
+    bx = boxes.select("*", ranges(bx_lo, bx_hi, x_wrap).alias("__rx")).select("*", ranges(by_lo, by_hi, y_wrap).alias("__ry"))
+    for grid, r in (("__gx", "__rx"), ("__gy", "__ry")):
+        bx = bx.select("*", F.explode(F.sequence(F.floor(F.col(f"{r}.lo") / c), F.floor(F.col(f"{r}.hi") / c))).alias(grid))
     pt = points.select("*", F.floor(F.col(px) / c).alias("__gx"), F.floor(F.col(py) / c).alias("__gy"))
     cond = (
         (bx["__gx"] == pt["__gx"])
         & (bx["__gy"] == pt["__gy"])
-        & pt[px].between(bx[bx_lo], bx[bx_hi])
-        & pt[py].between(bx[by_lo], bx[by_hi])
+        & pt[px].between(bx["__rx.lo"], bx["__rx.hi"])
+        & pt[py].between(bx["__ry.lo"], bx["__ry.hi"])
     )
-    return bx.join(pt, cond, how).drop("__gx", "__gy")
+    found = bx.join(pt, cond).drop("__gx", "__gy", "__rx", "__ry")
+    if how == "inner":
+        return found
+    if how != "left":
+        raise ValueError(f"how is 'inner' or 'left', not {how!r}")
+    hit = found.select(*[F.col(f"`{b}`").alias(f"__hit_{i}") for i, b in enumerate(boxes.columns)]).distinct()
+    same = [F.col(f"`{b}`").eqNullSafe(F.col(f"__hit_{i}")) for i, b in enumerate(boxes.columns)]
+    on = same[0]
+    for one in same[1:]:
+        on = on & one
+    empty = boxes.join(hit, on, "left_anti")
+    return found.unionByName(empty.select("*", *[F.lit(None).cast(points.schema[p].dataType).alias(p) for p in points.columns]))
 
 
 def max_rows(df: DataFrame) -> int | None:

@@ -23,31 +23,27 @@ def normal_sf(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2.0))
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction for the incomplete beta (Lentz's method)."""
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 400):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < 1e-15:
-            break
-    return h
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """1 + d1/(1 + d2/(1 + ...)), the continued fraction of the incomplete beta
+    function (DLMF 8.17.22), from the tail inwards; the number of terms is
+    doubled until the value stands."""
+    def to(n: int) -> float:
+        value = 1.0
+        for k in range(n, 0, -1):
+            m = k // 2
+            if k % 2:
+                d = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            else:
+                d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            value = 1.0 + d / value
+        return value
+
+    terms, before, now = 32, math.nan, to(16)
+    while not abs(now - before) <= 1e-15 * abs(now):
+        before, now, terms = now, to(terms), 2 * terms
+        if terms > 1 << 16:
+            raise ArithmeticError("the continued fraction does not settle")
+    return now
 
 
 def betainc_reg(a: float, b: float, x: float) -> float:
@@ -58,8 +54,8 @@ def betainc_reg(a: float, b: float, x: float) -> float:
     lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
     front = math.exp(lbeta)
     if x < (a + 1) / (a + b + 2):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1 - x) / b
+        return front / (_beta_fraction(a, b, x) * a)
+    return 1.0 - front / (_beta_fraction(b, a, 1 - x) * b)
 
 
 def t_two_sided_p(t: float, df: float) -> float:
@@ -126,14 +122,15 @@ def signed_rank_stats(df: DataFrame, x: str | Column, y: str | Column, digits: i
     )
 
 
-def hodges_lehmann(df: DataFrame, value: str, group: str, first, fanout: int = 64, max_passes: int = 12) -> float:
+def hodges_lehmann(df: DataFrame, value: str, group: str, first, fanout: int = 64) -> float:
     """Median of all pairwise differences x_i - y_j (x = ``first`` group),
     exact for integer-valued data, without forming the pairs.
 
     The number of pairs with x - y <= d is sum_x n_x * #{y >= x - d}; it is
     evaluated for ``fanout`` candidate d's at once by merging the shifted x
     values with the y values in one distributed prefix sum.  Each pass narrows
-    the bracket of the middle rank(s) by ``fanout``.
+    the bracket of the middle rank(s) by ``fanout``, until it holds one integer
+    (integer data) or is as narrow as doubles allow (1e-12 of its size).
     """
     d = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
     xs = d.where(F.col(group) == F.lit(first)).groupBy(F.col(value).cast("double").alias("v")).agg(
@@ -170,7 +167,7 @@ def hodges_lehmann(df: DataFrame, value: str, group: str, first, fanout: int = 6
     results = []
     for tgt in targets:
         lo, hi = lo0, hi0
-        for _ in range(max_passes):
+        while True:
             if integral and hi - lo <= 1:
                 break
             if not integral and hi - lo <= 1e-12 * max(1.0, abs(hi)):
@@ -188,6 +185,8 @@ def hodges_lehmann(df: DataFrame, value: str, group: str, first, fanout: int = 6
                     new_hi = c
                     break
                 new_lo = c
+            if (lo, hi) == (new_lo, new_hi):
+                break
             lo, hi = new_lo, new_hi
         results.append(hi)
     return float(sum(results) / len(results))

@@ -137,7 +137,7 @@ def rouge_lsum(pred: pd.Series, ref: pd.Series) -> pd.Series:
 
 def unigram_f1(pred: str | Column, ref: str | Column) -> Column:
     """Overlap F1 of the distinct tokens, native array functions."""
-    pt, rt = tokens(pred), tokens(ref)
+    pt, rt = F.array_distinct(tokens(pred)), F.array_distinct(tokens(ref))
     common = F.size(F.array_intersect(pt, rt))
     p = common / F.size(pt)
     r = common / F.size(rt)

@@ -115,13 +115,13 @@ WILDCARDS = 1
 
 def words_df(t):
     parts = WD.ascii_words(t.part, "p_name")
-    docs = WD.ascii_words(t.documents.where(F.col("lang") == "en"), "text")
+    docs = WD.ascii_words(t.documents, "text")
     return parts.unionByName(docs).distinct()
 
 
 _WORDS_SQL = """(SELECT DISTINCT w AS word FROM (
   SELECT unnest(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+')) AS w FROM part
-  UNION ALL SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) FROM documents WHERE lang = 'en')
+  UNION ALL SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) FROM documents)
   WHERE regexp_full_match(w, '[a-z]+'))"""
 
 

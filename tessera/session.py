@@ -3,20 +3,21 @@ shared folders (checkpoints, scratch output) from the session itself.
 
 On a cluster the session is created by the platform; the library never builds
 one.  ``spark.checkpoint.dir`` must then name a shared, fault-tolerant folder
-(HDFS, object store); we only fall back to a temporary folder when it is unset,
-which is the local-test case.
+(HDFS, object store); where it is unset, as in tests, a folder in the session's
+warehouse serves.
 """
 
 from __future__ import annotations
 
+import logging
 import os
-import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_LOG = logging.getLogger(__name__)
 _LOCAL_CKPT: dict[str, str] = {}
 
 
@@ -42,8 +43,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder named by the session; set a local one only
-    when nothing is configured (tests)."""
+    """Return the checkpoint folder named by the session; where none is named,
+    one in the session's warehouse folder."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
@@ -59,7 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir() or conf_dir
     key = sc.applicationId
     if key not in _LOCAL_CKPT:
-        _LOCAL_CKPT[key] = tempfile.mkdtemp(prefix="tessera-ckpt-")
+        _LOCAL_CKPT[key] = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessera-checkpoints"
+        _LOG.info("spark.checkpoint.dir is not set; using %s", _LOCAL_CKPT[key])
     sc.setCheckpointDir(_LOCAL_CKPT[key])
     return sc.getCheckpointDir() or _LOCAL_CKPT[key]
 
