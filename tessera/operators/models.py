@@ -8,15 +8,21 @@ training frame and fit settings in parallel.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.scan import running_sums
+
 
 def _log2(x: Column) -> Column:
     return F.log2(x)
@@ -98,18 +104,65 @@ def decision_tree(max_depth: int = 5, min_leaf: int = 200, seed: int = 42, label
                                   minInstancesPerNode=min_leaf, seed=seed, impurity="gini")
 
 
-def boosted_multiclass(max_iter: int = 200, step: float = 0.1, max_depth: int = 5, min_leaf: int = 10,
-                       min_gain: float = 0.0, subsample: float = 1.0, feature_subset: str = "all",
-                       validation_col: str | None = "is_valid", seed: int = 42, label: str = "label",
-                       parallelism: int = 4) -> OneVsRest:
-    """One-vs-rest gradient-boosted trees; early stopping on the rows flagged
-    by ``validation_col`` (``validationTol`` on the validation loss)."""
-    gbt = GBTClassifier(featuresCol="features", maxIter=max_iter, stepSize=step, maxDepth=max_depth,
-                        minInstancesPerNode=min_leaf, minInfoGain=min_gain, subsamplingRate=subsample,
-                        featureSubsetStrategy=feature_subset, seed=seed)
-    if validation_col:
-        gbt = gbt.setValidationIndicatorCol(validation_col)
-    return OneVsRest(classifier=gbt, labelCol=label, featuresCol="features", parallelism=parallelism)
+@dataclass
+class BoostedOneVsRest:
+    """One boosted model per class; the class of the highest score is predicted."""
+
+    models: list
+    classes: list[float]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = df
+        for k, m in enumerate(self.models):
+            for set_col in (m.setRawPredictionCol, m.setProbabilityCol, m.setPredictionCol):
+                set_col(f"__{set_col.__name__}_{k}")
+            out = m.transform(out)
+        scores = [vector_to_array(f"__setProbabilityCol_{k}")[1] for k in range(len(self.models))]
+        best = F.array_max(F.array(*[F.struct(p.alias("p"), F.lit(-c).alias("c")) for p, c in zip(scores, self.classes)]))
+        return out.select(*df.columns, (-best["c"]).alias("prediction"))
+
+
+def _binary(df: DataFrame, cls: float, label: str) -> DataFrame:
+    return df.select("features", (F.col(label) == cls).cast("double").alias(label))
+
+
+def boost_until(train: DataFrame, valid: DataFrame, patience: int, first: int = 8, tol: float = 1e-4, label: str = "label", **params):
+    """Boosted trees for a 0/1 label up to the first iteration whose validation
+    loss is the lowest (to within ``tol``), once ``patience`` further ones have
+    not lowered it by more.
+
+    The number of trees is doubled until that holds (the first trees of a
+    longer run are those of a shorter one, the seed being the same), then the
+    model is fitted with the best number.  Returns (model, losses on train,
+    losses on valid) by iteration.
+    """
+    gbt = GBTClassifier(featuresCol="features", labelCol=label, **params)
+    n = first
+    while True:
+        model = gbt.copy({gbt.maxIter: n}).fit(train)
+        loss = model.evaluateEachIteration(valid)
+        best = next(k for k, x in enumerate(loss, start=1) if x <= min(loss) + tol)
+        if best + patience <= len(loss):
+            return gbt.copy({gbt.maxIter: best}).fit(train), model.evaluateEachIteration(train), loss
+        n = max(2 * n, best + patience)
+
+
+def boosted_multiclass(train: DataFrame, valid: DataFrame, classes: Sequence[float], patience: int = 10, step: float = 0.1,
+                       max_depth: int = 5, min_leaf: int = 10, min_gain: float = 0.0, subsample: float = 1.0,
+                       feature_subset: str = "all", seed: int = 42, label: str = "label"):
+    """One-vs-rest boosted trees on assembled rows (features, label), each
+    class stopped by ``patience`` on the validation rows.  Returns the model
+    and the curve rows (class, split, iteration, log loss)."""
+    models, curve = [], []
+    for c in classes:
+        m, on_train, on_valid = boost_until(
+            _binary(train, c, label), _binary(valid, c, label), patience, label=label, stepSize=step, maxDepth=max_depth,
+            minInstancesPerNode=min_leaf, minInfoGain=min_gain, subsamplingRate=subsample, featureSubsetStrategy=feature_subset, seed=seed,
+        )
+        models.append(m)
+        for name, losses in (("train", on_train), ("validation", on_valid)):
+            curve += [(int(c), name, k, float(x)) for k, x in enumerate(losses, start=1)]
+    return BoostedOneVsRest(models, list(classes)), curve
 
 
 def fit_pipeline(train: DataFrame, features: Sequence[str], estimator):
@@ -149,19 +202,83 @@ def param_sweep(train: DataFrame, valid: DataFrame, features: Sequence[str], par
     return rows
 
 
-def grid_search_cv(train: DataFrame, features: Sequence[str], depths: Sequence[int], leaves: Sequence[int],
-                   fold_col: str, label: str = "label", parallelism: int = 8, num_folds: int = 5):
-    """5-fold CV over a (maxDepth x minInstancesPerNode) grid, folds given by
-    ``fold_col`` (a stratified fold id), settings fitted in parallel."""
-    dt = DecisionTreeClassifier(labelCol=label, featuresCol="features", seed=42, impurity="gini")
-    grid = ParamGridBuilder().addGrid(dt.maxDepth, list(depths)).addGrid(dt.minInstancesPerNode, list(leaves)).build()
-    data = assemble(features).transform(train).select("features", label, fold_col).cache()
-    cv = CrossValidator(estimator=dt, estimatorParamMaps=grid,
-                        evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"),
-                        foldCol=fold_col, numFolds=num_folds, parallelism=parallelism, seed=42)
-    model = cv.fit(data)
-    rows = []
-    for pm, m in zip(grid, model.avgMetrics):
-        rows.append((int(pm[dt.maxDepth]), int(pm[dt.minInstancesPerNode]), float(m)))
-    data.unpersist()
-    return rows
+def tree_arrays(model) -> dict[str, np.ndarray]:
+    """A fitted tree of continuous splits as arrays: feature (-1 at a leaf),
+    threshold, left, right and the prediction of every node, inner ones too."""
+    feature, threshold, left, right, value = [], [], [], [], []
+
+    def visit(node) -> int:
+        k = len(feature)
+        inner = node.getClass().getSimpleName() == "InternalNode"
+        feature.append(node.split().featureIndex() if inner else -1)
+        threshold.append(node.split().threshold() if inner else 0.0)
+        value.append(node.prediction())
+        left.append(-1)
+        right.append(-1)
+        if inner:
+            left[k] = visit(node.leftChild())
+            right[k] = visit(node.rightChild())
+        return k
+
+    visit(model._java_obj.rootNode())
+    return {"feature": np.array(feature), "threshold": np.array(threshold), "left": np.array(left), "right": np.array(right), "value": np.array(value)}
+
+
+def predict_depths(tree: dict[str, np.ndarray], x: np.ndarray, depths: Sequence[int]) -> dict[int, np.ndarray]:
+    """Predictions of the tree cut off at each of the depths.  Trees grow level
+    by level with the same choices whatever the greatest depth, so a deep tree
+    cut off predicts as a shallower one fitted directly."""
+    at, out = np.zeros(len(x), np.int64), {}
+    for depth in range(max(depths) + 1):
+        if depth in depths:
+            out[depth] = tree["value"][at]
+        f = tree["feature"][at]
+        go_left = x[np.arange(len(x)), np.maximum(f, 0)] <= tree["threshold"][at]
+        at = np.where(f < 0, at, np.where(go_left, tree["left"][at], tree["right"][at]))
+    return out
+
+
+def stratified_folds(df: DataFrame, label: str, ids: Sequence[str], num_folds: int, out: str = "fold", seed: int = 11) -> DataFrame:
+    """Fold numbers with equal shares of every class: the rank of a row in its
+    class, by a seeded hash of its ids, modulo the number of folds."""
+    mixed = df.withColumn("__mixed", F.xxhash64(F.lit(seed), *ids))
+    ranked = running_sums(mixed, [label], ["__mixed", *ids], {"__rank": F.lit(1).cast("long")})
+    return ranked.withColumn(out, F.pmod("__rank", F.lit(num_folds)).cast("int")).drop("__mixed", "__rank")
+
+
+def grid_search_cv(folded: DataFrame, features: Sequence[str], depths: Sequence[int], leaves: Sequence[int],
+                   fold_col: str, label: str = "label", num_folds: int = 5, parallelism: int = 4):
+    """Cross-validated accuracy of every (max depth, min leaf): one tree of the
+    greatest depth is fitted per (min leaf, fold), and all depths are read from
+    it.  Returns rows (max_depth, min_leaf, mean accuracy over folds)."""
+    spark = folded.sparkSession
+    data = assemble(features).transform(folded).select("features", label, fold_col, *features).persist()
+    try:
+        def fit(job):
+            leaf, fold = job
+            est = decision_tree(max(depths), leaf, label=label)
+            return tree_arrays(est.fit(data.where(F.col(fold_col) != fold).select("features", label)))
+
+        jobs = [(leaf, fold) for leaf in leaves for fold in range(num_folds)]
+        with ThreadPool(parallelism) as pool:  # trees of a few hundred nodes each
+            trees = spark.sparkContext.broadcast(dict(zip(jobs, pool.map(fit, jobs))))
+        depths, columns = list(depths), list(features)
+
+        def right(batches):
+            for b in batches:
+                x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns])
+                y, fold = b.column(label).to_numpy(zero_copy_only=False), b.column(fold_col).to_numpy(zero_copy_only=False)
+                rows = []
+                for (leaf, k), tree in trees.value.items():
+                    here = fold == k
+                    for depth, p in predict_depths(tree, x[here], depths).items():
+                        rows.append((depth, leaf, k, int((p == y[here]).sum()), int(here.sum())))
+                names = ["max_depth", "min_leaf", "fold", "hits", "n"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
+
+        hits = data.select(label, fold_col, *columns).mapInArrow(right, "max_depth long, min_leaf long, fold long, hits long, n long")
+        per_fold = hits.groupBy("max_depth", "min_leaf", "fold").agg((F.sum("hits") / F.sum("n")).alias("a"))
+        rows = per_fold.groupBy("max_depth", "min_leaf").agg(F.avg("a").alias("a")).collect()
+        return sorted((int(r["max_depth"]), int(r["min_leaf"]), float(r["a"])) for r in rows)
+    finally:
+        data.unpersist()

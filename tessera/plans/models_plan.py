@@ -141,6 +141,11 @@ def ml_frames(spark, sf_dir):
     return train.persist(), test.persist()
 
 
+def _release(*frames):
+    for f in frames:
+        f.unpersist()
+
+
 @query("decision_tree")
 def decision_tree(spark, sf_dir):
     """Tree (max depth 5, min leaf 200): accuracy and weighted F1 on train and test."""
@@ -161,33 +166,36 @@ def feature_importance(spark, sf_dir):
     return spark.createDataFrame(M.feature_importance_rows(fit.stages[-1], _FEATURES), "feature string, importance double")
 
 
+def _boosted(spark, sf_dir):
+    """Boosted trees fitted on the training rows, stopped on the validation rows."""
+    train, test = ml_frames(spark, sf_dir)
+    rows = M.assemble(_FEATURES).transform(train).select("features", "label", "is_valid").persist()
+    try:
+        model, curve = M.boosted_multiclass(rows.where(~F.col("is_valid")), rows.where("is_valid"), [0.0, 1.0, 2.0])
+    finally:
+        rows.unpersist()
+    return model, curve, train, test
+
+
 @query("gbt_multiclass")
 def gbt_multiclass(spark, sf_dir):
-    """One-vs-rest boosted trees with early stopping on the validation rows."""
-    train, test = ml_frames(spark, sf_dir)
-    fit = M.fit_pipeline(train, _FEATURES, M.boosted_multiclass(max_iter=200, max_depth=5, min_leaf=10))
+    """One-vs-rest boosted trees, each class stopped by patience on the
+    validation loss: accuracy and weighted F1."""
+    model, _, train, test = _boosted(spark, sf_dir)
     rows = []
     for name, d in (("train", train), ("test", test)):
-        m = M.evaluate(fit.transform(d))
+        m = M.evaluate(model.transform(M.assemble(_FEATURES).transform(d)))
         rows.append((name, m["accuracy"], m["weighted_f1"]))
+    _release(train, test)
     return spark.createDataFrame(rows, "split string, accuracy double, weighted_f1 double")
 
 
 @query("gbt_learning_curve")
 def gbt_learning_curve(spark, sf_dir):
     """Per-iteration log-loss on train and validation for each one-vs-rest model."""
-    train, _ = ml_frames(spark, sf_dir)
-    fit = M.fit_pipeline(train, _FEATURES, M.boosted_multiclass(max_iter=200, max_depth=5, min_leaf=10))
-    asm = fit.stages[0]
-    ovr = fit.stages[-1]
-    rows = []
-    for cls, sub in enumerate(ovr.models):
-        for name, d in (("train", train.where(~F.col("is_valid"))), ("validation", train.where("is_valid"))):
-            lab = sub.getOrDefault(sub.labelCol)
-            binary = asm.transform(d).select("features", (F.col("label") == cls).cast("double").alias(lab))
-            for it, loss in enumerate(sub.evaluateEachIteration(binary), start=1):
-                rows.append((cls, name, it, float(loss)))
-    return spark.createDataFrame(rows, "class int, split string, iteration int, log_loss double")
+    _, curve, train, test = _boosted(spark, sf_dir)
+    _release(train, test)
+    return spark.createDataFrame(curve, "class int, split string, iteration int, log_loss double")
 
 
 @query("param_sweep")
@@ -202,9 +210,10 @@ def param_sweep(spark, sf_dir):
 @query("grid_search_cv")
 def grid_search_cv(spark, sf_dir):
     """5-fold CV over max depth 4..9 x min leaf 80..280 step 20 (66 settings)."""
-    train, _ = ml_frames(spark, sf_dir)
-    folded = train.withColumn("fold", F.pmod(F.xxhash64(*_IDS, F.lit(5)), F.lit(5)).cast("int"))
+    train, test = ml_frames(spark, sf_dir)
+    folded = M.stratified_folds(train, "label", _IDS, 5)
     rows = M.grid_search_cv(folded, _FEATURES, range(4, 10), range(80, 300, 20), "fold")
+    _release(train, test)
     return spark.createDataFrame(rows, "max_depth int, min_leaf int, cv_accuracy double")
 
 
