@@ -91,7 +91,7 @@ class Words:
     """Ids of words by the memory-mapped vocabulary; ids of recent words are
     kept up to ``limit``.  Unknown words are -1."""
 
-    def __init__(self, folder: str, bits: int, limit: int = 400_000):
+    def __init__(self, folder: str, bits: int, limit: int = 200_000):
         self.table, self.limit, self.known = Segments(folder, "word", bits, np.int64), limit, {}
         place, _ = self.table.find(np.array([_signed(END)], np.int64))
         self.end = int(place[0])
@@ -147,7 +147,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), utf8(F.col("text")).alias("text"))
 
 
-def _count_words(train: DataFrame, limit: int = 400_000) -> DataFrame:
+def _count_words(train: DataFrame, limit: int = 200_000) -> DataFrame:
     def run(batches):
         counts: Counter = Counter()
 
@@ -156,7 +156,7 @@ def _count_words(train: DataFrame, limit: int = 400_000) -> DataFrame:
             return batch(key=pa.array(keys), value=pa.array(list(counts.values()), pa.int64()))
 
         docs = 0
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 2 << 20):
             for data in part.column("text").to_pylist():
                 counts.update(tokens(data))
             docs += part.num_rows
@@ -171,7 +171,7 @@ def _count_words(train: DataFrame, limit: int = 400_000) -> DataFrame:
     return train.select("text").mapInArrow(run, "key long, value long")
 
 
-def _count_pairs(train: DataFrame, folder: str, bits: int, limit: int = 4_000_000) -> DataFrame:
+def _count_pairs(train: DataFrame, folder: str, bits: int, limit: int = 3_000_000) -> DataFrame:
     def run(batches):
         words, held, size = Words(folder, bits), [], 0
 
@@ -180,7 +180,7 @@ def _count_pairs(train: DataFrame, folder: str, bits: int, limit: int = 4_000_00
             for a in range(0, len(keys), 100_000):
                 yield batch(key=pa.array(keys[a:a + 100_000]), value=pa.array(n[a:a + 100_000].astype(np.int64)))
 
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 2 << 20):
             u, w, _ = words.pairs([tokens(d) for d in part.column("text").to_pylist()])
             held.append(mix((u << 32) | w))
             size += len(u)
@@ -199,8 +199,8 @@ def fit(spark: SparkSession, train: DataFrame) -> Model:
     folder = scratch_path(spark, "kneser-ney")
     train = _texts(train)
     counts = _count_words(train)
-    # an estimate of the vocabulary sets the number of segments
-    word_bits = _bits(int(counts.agg(F.approx_count_distinct("key")).first()[0] or 0))
+    # the vocabulary has about as many segments as a shuffle has partitions
+    word_bits = int(np.ceil(np.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))))
     totals = "part int, n long, total long, n1 long, n2 long, n3 long, n4 long"
 
     def describe(part, keys, values):
@@ -350,7 +350,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         scorer = Scorer(model)
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 2 << 20):
             n, known, base, own = scorer.batch(part.column("text").to_pylist())
             yield batch(doc_id=part.column("doc_id"), n_tokens=n, n_known=known, base_score=base, score=own)
 
