@@ -34,28 +34,36 @@ def _ngram_structs(toks: Column, max_n: int) -> Column:
                               lambda i: F.struct(n.alias("n"), F.array_join(F.slice(toks, i, n), " ").alias("gram")))))
 
 
-def bleu(pairs: DataFrame, keys: str | list[str], pred: str, ref: str, max_n: int = 4) -> DataFrame:
+def bleu(pairs: DataFrame, keys: str | list[str], pred: str, ref: str | list[str], max_n: int = 4) -> DataFrame:
     """Sentence BLEU (Papineni et al. 2002) per pair: clipped n-gram
     precisions 1..4, geometric mean, brevity penalty, no smoothing (a zero
     precision gives 0).  Returns (keys..., bleu, pred_len, ref_len).
 
-    The n-grams of both sides are exploded once into (keys, n, gram, side) and
+    ``ref`` can name several reference columns: an n-gram's count is then
+    clipped by the greatest of its counts in them, and ref_len is the length
+    closest to the prediction's (the shorter of two equally close).
+
+    The n-grams of all sides are exploded once into (keys, n, gram, side) and
     counted in a single aggregation, so the clipped counts need no join."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    t = spread(pairs.select(*keys, pred, ref)).select(*keys, tokens(pred).alias("pt"), tokens(ref).alias("rt"))
-    grams = t.select(*keys, F.inline(F.concat(
-        F.transform(_ngram_structs(F.col("pt"), max_n), lambda s: F.struct(s["n"].alias("n"), s["gram"].alias("gram"),
-                                                                           F.lit(1).alias("side"))),
-        F.transform(_ngram_structs(F.col("rt"), max_n), lambda s: F.struct(s["n"].alias("n"), s["gram"].alias("gram"),
-                                                                           F.lit(0).alias("side"))))))
-    cnt = grams.groupBy(*keys, "n", "gram").agg(F.count_if(F.col("side") == 1).alias("cp"),
-                                                F.count_if(F.col("side") == 0).alias("cr"))
+    refs = [ref] if isinstance(ref, str) else list(ref)
+    sides = ["pt"] + [f"rt{k}" for k in range(len(refs))]
+    t = spread(pairs.select(*keys, pred, *refs)).select(*keys, *[tokens(c).alias(s) for c, s in zip([pred, *refs], sides)])
+
+    def side(k):
+        return F.transform(_ngram_structs(F.col(sides[k]), max_n),
+                           lambda s: F.struct(s["n"].alias("n"), s["gram"].alias("gram"), F.lit(k).alias("side")))
+
+    grams = t.select(*keys, F.inline(F.concat(*[side(k) for k in range(len(sides))])))
+    counts = [F.count_if(F.col("side") == k) for k in range(len(sides))]
+    cnt = grams.groupBy(*keys, "n", "gram").agg(counts[0].alias("cp"), F.array_max(F.array(*counts[1:])).alias("cr"))
     clip = cnt.where(F.col("cp") > 0).groupBy(*keys, "n").agg(
         F.sum(F.least("cp", "cr")).alias("match"), F.sum("cp").alias("total"))
     logp = clip.groupBy(*keys).agg(
         F.sum(F.when(F.col("match") > 0, F.log(F.col("match") / F.col("total")))).alias("slog"),
         F.count_if(F.col("match") > 0).alias("n_pos"))
-    lens = t.select(*keys, F.size("pt").alias("pred_len"), F.size("rt").alias("ref_len"))
+    near = F.array_min(F.array(*[F.struct(F.abs(F.size(s) - F.size("pt")).alias("off"), F.size(s).alias("n")) for s in sides[1:]]))
+    lens = t.select(*keys, F.size("pt").alias("pred_len"), near["n"].alias("ref_len"))
     j = lens.join(logp, keys, "left")
     bp = F.when(F.col("pred_len") > F.col("ref_len"), F.lit(1.0)).otherwise(
         F.exp(F.lit(1.0) - F.col("ref_len") / F.col("pred_len")))

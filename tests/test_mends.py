@@ -32,6 +32,21 @@ def test_equal_texts_score_one(spark):
     assert got == [1.0, 0.0, round(2 / 3, 6)]
 
 
+def test_bleu_with_two_references(spark):
+    # clipped unigrams of the textbook case: "the" stands twice in one reference, so 2 of 7 count
+    rows = [(1, "the the the the the the the", "The cat is on the mat.", "There is a cat on the mat."),
+            (2, "a cat is on the mat", "the cat is on the mat", "there is a cat on the mat"),
+            (3, "x", "y z", "w")]
+    df = spark.createDataFrame(rows, "k int, p string, r1 string, r2 string")
+    one = {r.k: (round(r.bleu, 6), r.pred_len, r.ref_len) for r in TS.bleu(df, "k", "p", ["r1", "r2"], max_n=1).collect()}
+    assert one == {1: (round(2 / 7, 6), 7, 7), 2: (1.0, 6, 6), 3: (0.0, 1, 1)}
+    # 2: bigrams "a cat", "cat is", "is on", "on the", "the mat" all stand in a reference
+    two = {r.k: round(r.bleu, 6) for r in TS.bleu(df, "k", "p", ["r1", "r2"], max_n=2).collect()}
+    assert two[2] == 1.0
+    single = {r.k: round(r.bleu, 6) for r in TS.bleu(df, "k", "p", "r1", max_n=2).collect()}
+    assert single[2] == round((5 / 6 * 4 / 5) ** 0.5, 6)
+
+
 def test_louvain_on_names(spark):
     names = ["ann", "bob", "cid", "dan", "eve", "fay"]
     v = spark.createDataFrame([(n,) for n in names], "id string")
