@@ -355,7 +355,11 @@ def train(pages: DataFrame, max_pages: int = 300, max_chars: int = 200_000, labe
         p = p.filter(F.lower("html").rlike("<(article|main)[\\s>]")).withColumn("known", F.lit(None).cast("string"))
     else:
         p = p.join(labelled.select("page_id", F.col("text").alias("known")), "page_id")
-    rows = p.orderBy(F.xxhash64("html"), "html").limit(max_pages).collect()
+    # the pages of the least hashes, copies once: only hashes are ordered, so
+    # no task sends more than the sample's own pages
+    p = p.withColumn("h", F.xxhash64("html"))
+    least = [r["h"] for r in p.select("h").distinct().orderBy("h").limit(max_pages).collect()]
+    rows = p.filter(F.col("h").isin(least)).groupBy("h").agg(F.min(F.struct("html", "known")).alias("r")).orderBy("h").select("r.html", "r.known").collect()
     trees = [parse(r["html"]) for r in rows]
     labels = [self_labels(t) if r["known"] is None else text_labels(t, r["known"]) for t, r in zip(trees, rows)]
     kept = [x for t, y in zip(trees, labels) if y is not None for x in varied(t, y)]
