@@ -214,7 +214,7 @@ def fit(spark: SparkSession, train: DataFrame) -> Model:
     n_docs = train.count()
 
     # bigrams: each segment leaves its totals (word -1) and its part of the words' figures
-    pair_bits = _bits(n_tokens, 4_000_000)
+    pair_bits = _bits(n_tokens, 2_000_000)
 
     def followers(part, keys, values):
         key = unmix(keys)
