@@ -6,7 +6,8 @@ broadcast.  A match votes for the diagonal (place in the text minus place in
 the template); votes are pre-aggregated per text, template and diagonal.
 Neighbouring diagonals are merged, which bridges inserted or missing words,
 and a span is verified by the share of the template's words that its matches
-cover.
+cover; the words that tell a license from its versions and kin (``DECIDING``)
+must be among them, in one piece.
 """
 
 from __future__ import annotations
@@ -53,6 +54,20 @@ TEMPLATES = [
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 
+# Words of a template that a span must hold as they stand.  Other
+# words between them name another license (Lesser, NonCommercial, MIT-0).
+DECIDING = {
+    "gpl-3.0": ["gnu general public", "license version 3"],
+    "gpl-2.0": ["gnu general public", "license version 2"],
+    "gpl-notice": ["gnu general public"],
+    "apache-2.0": ["version 2 0"],
+    "cc-by-nc-4.0": ["cc by nc 4 0"],
+    "cc-by-4.0": ["cc by 4 0"],
+    "cc-by-notice": ["attribution 4 0"],
+    "mit-line": ["the mit license"],
+    "mpl-2.0": ["mozilla public license", "v 2 0"],
+}
+
 K = 3
 SLACK = 3
 MIN_COVERED = 0.75
@@ -104,14 +119,28 @@ class Grams:
         return g[keep[:len(g)]].view(np.int64), np.concatenate([[0], np.cumsum(size)])
 
 
-def template_table(spark: SparkSession, templates=TEMPLATES, k: int = K) -> DataFrame:
-    """(hash, template, t_pos, t_words): one row per template k-gram."""
+def deciding_places(words: list[bytes], phrases: list[str], k: int = K) -> list[int]:
+    """Places of the k-grams of a template that hold its deciding words."""
+    out = set()
+    for phrase in phrases:
+        p = license_words(phrase)
+        at = next((i for i in range(len(words)) if words[i:i + len(p)] == p), None)
+        if at is None:
+            raise ValueError(f"{phrase!r} is not in its template")
+        # one k-gram around a phrase shorter than k, which may end the template
+        out.update(min(i, max(len(words) - k, 0)) for i in range(at, at + max(len(p) - k, 0) + 1))
+    return sorted(out)
+
+
+def template_table(spark: SparkSession, templates=TEMPLATES, k: int = K, deciding=DECIDING) -> DataFrame:
+    """(hash, template, t_pos, t_words, t_deciding): one row per template k-gram."""
     rows = []
     for label, text in templates:
         words = license_words(text)
         hashes, _ = Grams(k).of([words])
-        rows += [(int(h), label, i, len(words)) for i, h in enumerate(hashes)]
-    return spark.createDataFrame(rows, "hash long, template string, t_pos int, t_words int")
+        must = deciding_places(words, deciding.get(label, []), k)
+        rows += [(int(h), label, i, len(words), must) for i, h in enumerate(hashes)]
+    return spark.createDataFrame(rows, "hash long, template string, t_pos int, t_words int, t_deciding array<int>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -157,13 +186,14 @@ def rolling_grams(docs: DataFrame, k: int = K) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, key long, grams array<bigint>")
 
 
-def license_spans(docs: DataFrame, templates=TEMPLATES, k: int = K, slack: int = SLACK, min_covered: float = MIN_COVERED) -> DataFrame:
+def license_spans(docs: DataFrame, templates=TEMPLATES, k: int = K, slack: int = SLACK, min_covered: float = MIN_COVERED,
+                  deciding=DECIDING) -> DataFrame:
     """Verified spans: doc_id, key, template, first_word, last_word, covered."""
-    table = template_table(docs.sparkSession, templates, k)
+    table = template_table(docs.sparkSession, templates, k, deciding)
     votes = (
         rolling_grams(docs, k).select("doc_id", "key", F.posexplode("grams").alias("pos", "hash"))
         .join(F.broadcast(table), "hash")  # as many rows as the templates have words
-        .groupBy("doc_id", "key", "template", "t_words", (F.col("pos") - F.col("t_pos")).alias("diagonal"))
+        .groupBy("doc_id", "key", "template", "t_words", "t_deciding", (F.col("pos") - F.col("t_pos")).alias("diagonal"))
         # at most one element per word of the template
         .agg(F.collect_set("t_pos").alias("places"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     )
@@ -172,12 +202,13 @@ def license_spans(docs: DataFrame, templates=TEMPLATES, k: int = K, slack: int =
     runs = votes.withColumn("begins", F.when(F.coalesce(step > slack, F.lit(True)), 1).otherwise(0)).withColumn(
         "run", F.sum("begins").over(order)
     )
-    merged = runs.groupBy("doc_id", "key", "template", "t_words", "run").agg(
+    merged = runs.groupBy("doc_id", "key", "template", "t_words", "t_deciding", "run").agg(
         F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("first").alias("first_word"),
         (F.max("last") + k - 1).alias("last_word"),
     )
     words = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + k - 1))))
-    return merged.withColumn("covered", F.size(words) / F.col("t_words")).filter(F.col("covered") >= min_covered).select(
+    told = F.size(F.array_except("t_deciding", "places")) == 0
+    return merged.filter(told).withColumn("covered", F.size(words) / F.col("t_words")).filter(F.col("covered") >= min_covered).select(
         "doc_id", "key", "template", "first_word", "last_word", "covered"
     )
 

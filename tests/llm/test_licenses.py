@@ -75,3 +75,37 @@ def test_fixture_labels(spark, sf_dir):
     got = m.scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()
     assert any(r.labels != r.base_labels for r in got)
     assert all(r.score == 0 for r in got if not r.labels)
+
+
+def test_versions_and_kin_are_told_apart(spark):
+    lines = [
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"),
+        ("This work is licensed under the GNU General Public License, version 2.", "gpl,gpl-2.0"),
+        ("This work is licensed under the GNU General Public License, version 1.", "gpl"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", ""),
+        ("Licensed under the Apache License, Version 2.0.", "apache,apache-2.0"),
+        ("Licensed under the Apache License, Version 1.1.", "apache"),
+        ("Licensed under CC BY 4.0.", "cc-by,cc-by-4.0"),
+        ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0"),
+        ("Licensed under CC BY-NC-SA 4.0.", "cc-by"),
+        ("Licensed under CC BY-NC 3.0.", "cc-by"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by-notice"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ""),
+        ("Released under the MIT-0 License.", ""),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", ""),
+        # words around the deciding ones may differ
+        ("This work was licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"),
+        # both versions stand here
+        ("This work is licensed under the GNU General Public License, version 2. " + "word " * 9
+         + "This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-2.0,gpl-3.0"),
+    ]
+    docs = spark.createDataFrame([(i, f"some words before. {t} And some behind.") for i, (t, _) in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in m.scan_licenses(docs).collect()}
+    assert [got[i] for i in range(len(lines))] == [want for _, want in lines]
+
+
+def test_every_template_gives_its_label(spark):
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(m.TEMPLATES)], "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in m.scan_licenses(docs).collect()}
+    assert all(label in got[i] for i, (label, _) in enumerate(m.TEMPLATES))
+    assert set(m.DECIDING) <= {label for label, _ in m.TEMPLATES}
