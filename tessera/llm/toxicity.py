@@ -8,8 +8,8 @@ only and, since one toxic sentence explains a toxic document, finds the
 sentences at fault.
 
 Feature statistics run over all labelled training rows in Spark; the weights
-of the selected features are fitted on a bounded sample of them; every text is
-then scored whole, map-only, with the broadcast weights (at most
+of the selected features are fitted on a bounded sample of them, each label
+weighed by its rows in the full table; every text is then scored whole, map-only, with the broadcast weights (at most
 ``max_features``).
 """
 
@@ -128,14 +128,17 @@ def _bags(sample: DataFrame, index: dict[str, int], prefixes: tuple[int, ...]):
     return sample.select("text", "toxic").mapInArrow(run, "toxic int, n int, sent array<int>, feat array<int>").toArrow()
 
 
-def fit_noisy_or(y, n, sent, feat, n_features: int, t: Training) -> tuple[np.ndarray, float]:
+def fit_noisy_or(y, n, sent, feat, n_features: int, t: Training, weight=None) -> tuple[np.ndarray, float]:
     """Weights and bias that make the labels likeliest (gradient ascent with
     per-weight step sizes, ridge penalty on the weights).
 
     y: label of each bag; n: its sentences; sent, feat: for every bag, sentence
-    number and feature of each occurrence.
+    number and feature of each occurrence; weight: rows that each bag stands
+    for (1 by default).
     """
     y, n = np.asarray(y, float), np.asarray(n, np.int64)
+    share = np.ones(len(y)) if weight is None else np.asarray(weight, float)
+    share = share / max(share.sum(), 1e-300)
     starts = np.concatenate([[0], np.cumsum(n)[:-1]])
     s = np.concatenate([np.asarray(a, np.int64) + o for a, o in zip(sent, starts)] + [np.zeros(0, np.int64)])
     f = np.concatenate([np.asarray(a, np.int64) for a in feat] + [np.zeros(0, np.int64)])
@@ -152,7 +155,7 @@ def fit_noisy_or(y, n, sent, feat, n_features: int, t: Training) -> tuple[np.nda
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + math.exp(-w[-1]))
         a = np.bincount(bag, np.logaddexp(0, z), len(n)) + bare * np.logaddexp(0, w[-1])
         # a = -log(prod(1 - p)); loss is a for label 0 and -log(1 - exp(-a)) for label 1
-        d = np.where(y == 1, -1 / np.expm1(np.clip(a, 1e-9, 50)), 1.0) / max(len(y), 1)
+        d = np.where(y == 1, -1 / np.expm1(np.clip(a, 1e-9, 50)), 1.0) * share
         ds = d[bag] * p
         g = np.append(np.bincount(f, ds[s], n_features) + t.l2 * w[:-1], ds.sum() + (d * bare).sum() * p0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -210,7 +213,9 @@ def train(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> Model
     bags = _bags(sample, index, t.prefixes).to_pydict()
     order = sorted(range(len(bags["n"])), key=lambda i: (bags["toxic"][i], bags["n"][i], bags["sent"][i], bags["feat"][i]))
     y, n, sent, feat = ([bags[c][i] for i in order if bags["n"][i]] for c in ("toxic", "n", "sent", "feat"))
-    w, bias = fit_noisy_or(y, n, sent, feat, len(index), t)
+    # the sample holds equally many of both labels where both are cut: each row stands for its label's share of the table
+    stands = {k: total / min(total, t.max_docs) for k, total in totals.items()}
+    w, bias = fit_noisy_or(y, n, sent, feat, len(index), t, [stands[k] for k in y])
     return Model({f: float(w[i]) for f, i in index.items() if w[i]}, bias, t.prefixes)
 
 

@@ -111,3 +111,25 @@ def test_fixture_held_out(spark):
     pos, neg = [r.score for r in rows if r.toxic == 1], [r.score for r in rows if r.toxic == 0]
     area = np.mean([(p > q) + 0.5 * (p == q) for p in pos for q in neg])
     assert area > 0.85 and np.mean([q >= 0.7 for q in neg]) < 0.02
+
+
+def test_weighted_bags_are_repeated_bags():
+    y, n = [1, 0, 1, 0, 0], [3, 2, 1, 4, 1]
+    sent, feat = [[0, 1], [0], [0], [3], []], [[0, 1], [1], [0], [1], []]
+    t, times = m.Training(), [1, 4, 1, 4, 4]
+    rep = [[x for x, k in zip(c, times) for _ in range(k)] for c in (y, n, sent, feat)]
+    w, b = m.fit_noisy_or(y, n, sent, feat, 2, t, times)
+    w2, b2 = m.fit_noisy_or(*rep, 2, t)
+    assert w == pytest.approx(w2, abs=1e-3) and b == pytest.approx(b2, abs=1e-3)
+
+
+def test_class_share_of_the_table_survives_the_sample(spark):
+    # nothing tells the labels apart, so the score is the share of toxic rows, however few are sampled
+    r = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(r.choices([f"word{k}" for k in range(300)], k=6))) for i in range(1500)], "doc_id long, text string")
+    y = [(i, int(r.random() < 0.12)) for i in range(1500)]
+    labels = spark.createDataFrame(y, "doc_id long, toxic int")
+    true = np.mean([k for i, k in y if not _held(i)])
+    for cap in (60, 4000):
+        found = m.score(docs, m.train(docs, labels, m.Training(max_docs=cap, min_g=1e9))).agg({"score": "avg"}).first()[0]
+        assert found == pytest.approx(true, abs=0.02)
