@@ -1,26 +1,32 @@
-"""Interpolated modified Kneser-Ney model, counted in Spark.
+"""Interpolated modified Kneser-Ney model of any order, counted in Spark.
 
 * Words are 64-bit hashes; a word's id is its place among the sorted hashes of
   the training corpus.
-* A bigram's key is its two ids in one 64-bit number, run through an invertible
-  mixing: exact, and spread evenly whatever the words, so a frequent word's
-  bigrams lie in all segments and no task gets a hot key.
-* Tasks count keys in large pieces of text before the shuffle; each segment is
-  then sorted and written as arrays (keys, counts) to the shared folder.
-  Scoring workers memory-map them; nothing of the model passes the driver but
-  a dozen totals.
-* Continuation counts and the numbers of followers seen once, twice and more
-  are summed per segment, aggregated by word id and written as arrays as well.
-
-P(w | u) = max(c(u w) - D(c), 0) / c(u) + g(u) P(w), P(w) the same over
-continuation counts, interpolated with 1 / (V + 1); one share of it is the
-probability of an unknown word.  D has three values, for counts 1, 2 and more.
+* The key of an n-gram is the place of its first n - 1 words among the level
+  below and the id of its last word in one 64-bit number, run through an
+  invertible mixing: exact, and spread evenly whatever the words, so a frequent
+  word's n-grams lie in all segments and no task gets a hot key.  A text begins
+  behind one start, which only begins n-grams.
+* Tasks count keys in large pieces of text before the shuffle, level by level;
+  each segment is then sorted and written as arrays (keys, counts) to the
+  shared folder.  Workers memory-map them; nothing of the model passes the
+  driver but a dozen totals a level.
+* From the highest level down, every n-gram adds to the continuation count of
+  its last n - 1 words and to the followers (their sum, and how many count one,
+  two and more) of its first n - 1.  These are summed per segment, aggregated
+  by place and written as arrays as well.
+
+P(w | u) = max(a(u w) - D(a), 0) / a(u .) + g(u) P(w | u without its first
+word); a is the count at the highest level and for n-grams behind the start,
+else the continuation count.  The lowest level is interpolated with
+1 / (V + 1); one share of it is the probability of an unknown word.  D has three
+values a level, for counts 1, 2 and more.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.arrays import Segments, batch, map_array, segment_of, segment_writer, write_array
+from tessera.llm.arrays import Segments, batch, map_array, segment_writer, write_array
 from tessera.llm.common import held_out, only, slices, utf8
 from tessera.session import scratch_path
 
@@ -70,21 +76,29 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(k + 1 - (k + 2) * y * n[k + 1] / n[k], 0.0), k + 1.0) for k in range(3))
 
 
+BLOCK = 1 << 20
+
+
 @dataclass(frozen=True)
 class Model:
     """Where the arrays lie, and the totals.  bits: of the segment numbers of
-    words and bigrams."""
+    each level, words first; grams: n-grams of each level (words with the
+    start); d: discounts of each level; block: places an array of figures holds."""
 
     folder: str
-    word_bits: int
-    pair_bits: int
+    order: int
+    bits: tuple[int, ...]
     words: int
     tokens: int
     docs: int
-    pairs: int
-    pair_d: tuple[float, float, float]
-    word_d: tuple[float, float, float]
-    word_rest: float
+    grams: tuple[int, ...]
+    block: int
+    d: tuple[tuple[float, float, float], ...] = ()
+    word_rest: float = 1.0
+
+
+def _name(n: int) -> str:
+    return "word" if n == 1 else f"gram{n}"
 
 
 class Words:
@@ -114,19 +128,90 @@ class Words:
         get = self.known.__getitem__
         return np.fromiter((i for t in texts for i in map(get, t)), np.int64, sum(map(len, texts)))
 
-    def pairs(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(context, word, tokens per text): every text's words and its end,
-        each with the word before it; the start's id is the vocabulary size."""
+    def sequence(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of every text's words and its end in a row, place of every
+        text's first, tokens per text)."""
         n = np.array([len(t) + 1 for t in texts], np.int64)
-        at = np.cumsum(n) - 1
+        ends = np.cumsum(n)
         word = np.full(int(n.sum()), self.end, np.int64)
         inner = np.ones(len(word), bool)
-        inner[at] = False
+        inner[ends - 1] = False
         word[inner] = self.ids(texts)
-        context = np.empty_like(word)
-        context[1:] = word[:-1]
-        context[at - n + 1] = self.size
-        return context, word, n
+        return word, ends - n, n
+
+
+class Grams:
+    """The n-grams of levels 2 to ``top`` by their memory-mapped segments."""
+
+    def __init__(self, m: Model, top: int):
+        self.shift = (m.words + 1).bit_length()  # word ids and the start's, which is the vocabulary size
+        self.words = m.words
+        self.levels = {n: Segments(m.folder, _name(n), m.bits[n - 1], np.uint32) for n in range(2, top + 1)}
+
+    def keys(self, prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
+        if len(prefix) and int(prefix.max()) >> (64 - self.shift):
+            raise ValueError("places and word ids do not fit 64 bits")
+        return mix((prefix.view(np.uint64) << np.uint64(self.shift)) | word.view(np.uint64))
+
+    def parts(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the first words, id of the last) of keys."""
+        x = unmix(keys).view(np.uint64)
+        return (x >> np.uint64(self.shift)).view(np.int64), (x & np.uint64((1 << self.shift) - 1)).view(np.int64)
+
+    def find(self, n: int, prefix: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place or -1, count or 0) of n-grams; each distinct one is looked up
+        once.  Places and ids of -1 are unknown."""
+        place, count = np.full(len(word), -1, np.int64), np.zeros(len(word), np.int64)
+        here = np.flatnonzero((prefix >= 0) & (word >= 0))
+        keys, back = np.unique(self.keys(prefix[here], word[here]), return_inverse=True)
+        at, c = self.levels[n].find(keys)
+        place[here], count[here] = at[back], c[back]
+        return place, count
+
+    def chain(self, n: int, word: np.ndarray, starts: np.ndarray):
+        """For levels 2 to n: (place of the words before every token, place and
+        count with the token)."""
+        out, place = [], word
+        for k in range(2, n + 1):
+            prefix = np.empty_like(word)
+            prefix[1:] = place[:-1]
+            prefix[starts] = self.words if k == 2 else -1  # one start: nothing stands before it
+            place, count = self.find(k, prefix, word)
+            out.append((prefix, place, count))
+        return out
+
+    def rest(self, n: int, prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Place of the last n - 1 words of n-grams, given by their parts."""
+        if n == 2:
+            return word
+        level = self.levels[n - 1]
+        segment = np.searchsorted(level.offsets, prefix, side="right") - 1
+        keys = np.empty(len(prefix), np.int64)
+        order = np.argsort(segment, kind="stable")
+        ends = np.searchsorted(segment[order], np.arange(len(level.keys)), side="right")
+        a = 0
+        for i, e in enumerate(ends):
+            if e > a:
+                keys[order[a:e]] = level.keys[i][prefix[order[a:e]] - level.offsets[i]]
+            a = e
+        return self.find(n - 1, self.rest(n - 1, *self.parts(keys)), word)[0]
+
+
+class Figures:
+    """An array of figures by place, in memory-mapped blocks."""
+
+    def __init__(self, m: Model, kind: str, n: int, dtype):
+        self.size = m.block
+        self.blocks = [map_array(m.folder, f"{kind}{n}-{i}", dtype) for i in range((m.grams[n - 1] + m.block - 1) // m.block)]
+
+    def __getitem__(self, places: np.ndarray) -> np.ndarray:
+        """Values of places (-1: 0)."""
+        out, number = np.zeros(len(places)), places // self.size
+        for k in np.unique(number[places >= 0]).tolist():
+            if len(self.blocks[k]):
+                here = np.flatnonzero(number == k)
+                out[here] = self.blocks[k][places[here] % self.size]
+        return out
 
 
 def _bits(rows: int, per_segment: int = 2_000_000) -> int:
@@ -171,19 +256,26 @@ def _count_words(train: DataFrame, limit: int = 200_000) -> DataFrame:
     return train.select("text").mapInArrow(run, "key long, value long")
 
 
-def _count_pairs(train: DataFrame, folder: str, bits: int, limit: int = 3_000_000) -> DataFrame:
+def _count_grams(train: DataFrame, m: Model, n: int, limit: int = 3_000_000) -> DataFrame:
+    """Keys and counts of level n; the levels below are written."""
+
     def run(batches):
-        words, held, size = Words(folder, bits), [], 0
+        words, grams, held, size = Words(m.folder, m.bits[0]), Grams(m, n - 1), [], 0
 
         def out():
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
             for a in range(0, len(keys), 100_000):
-                yield batch(key=pa.array(keys[a:a + 100_000]), value=pa.array(n[a:a + 100_000].astype(np.int64)))
+                yield batch(key=pa.array(keys[a:a + 100_000]), value=pa.array(counts[a:a + 100_000].astype(np.int64)))
 
         for part in slices(batches, "text", 2 << 20):
-            u, w, _ = words.pairs([tokens(d) for d in part.column("text").to_pylist()])
-            held.append(mix((u << 32) | w))
-            size += len(u)
+            word, starts, _ = words.sequence([tokens(d) for d in part.column("text").to_pylist()])
+            below = grams.chain(n - 1, word, starts)
+            prefix = np.empty_like(word)
+            prefix[1:] = (below[-1][1] if below else word)[:-1]
+            prefix[starts] = m.words if n == 2 else -1
+            here = prefix >= 0
+            held.append(grams.keys(prefix[here], word[here]))
+            size += len(held[-1])
             if size > limit:
                 yield from out()
                 held, size = [], 0
@@ -193,77 +285,72 @@ def _count_pairs(train: DataFrame, folder: str, bits: int, limit: int = 3_000_00
     return train.select("text").mapInArrow(run, "key long, value long")
 
 
-def fit(spark: SparkSession, train: DataFrame) -> Model:
-    """Count a model on the texts of train (null: empty; every text ends with
-    an end token) and write its arrays."""
-    folder = scratch_path(spark, "kneser-ney")
-    train = _texts(train)
-    counts = _count_words(train)
-    # the vocabulary has about as many segments as a shuffle has partitions
-    word_bits = int(np.ceil(np.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    totals = "part int, n long, total long, n1 long, n2 long, n3 long, n4 long"
+def _by_segment(spark: SparkSession, m: Model, n: int, describe, schema: str) -> DataFrame:
+    """What describe(grams, keys, a) gives for every segment of level n, a
+    being the counts that the level's probabilities use."""
 
-    def describe(part, keys, values):
-        some = [int((values == k).sum()) for k in (1, 2, 3, 4)]
-        one = {"part": part, "n": len(keys), "total": int(values.sum())} | {f"n{k + 1}": x for k, x in enumerate(some)}
-        return pa.RecordBatch.from_pylist([one], schema=pa.schema([("part", pa.int32())] + [(c, pa.int64()) for c in list(one)[1:]]))
-
-    written = _sorted_segments(counts, word_bits).mapInArrow(segment_writer(folder, "word", np.int64, describe), totals)
-    v = written.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
-    words, n_tokens = v["n"] or 0, v["total"] or 0
-    n_docs = train.count()
-
-    # bigrams: each segment leaves its totals (word -1) and its part of the words' figures
-    pair_bits = _bits(n_tokens, 2_000_000)
-
-    def followers(part, keys, values):
-        key = unmix(keys)
-        u, w = key >> 32, key & 0xFFFFFFFF
-        ids = np.unique(np.concatenate([u, w]))
-        figures = [np.bincount(np.searchsorted(ids, w), minlength=len(ids))]
-        at = np.searchsorted(ids, u)
-        figures += [np.bincount(at[values == k], minlength=len(ids)) for k in (1, 2)]
-        figures.append(np.bincount(at[values > 2], minlength=len(ids)))
-        own = [int((values == k).sum()) for k in (1, 2, 3, 4)]
-        # totals in a row of their own: word -1
-        cols = [np.append(f, o).astype(np.int64) for f, o in zip(figures, own)]
-        return batch(word=np.append(ids, -1), cont=cols[0], n1=cols[1], n2=cols[2], n3=cols[3])
-
-    figures = _sorted_segments(_count_pairs(train, folder, word_bits), pair_bits).mapInArrow(
-        segment_writer(folder, "pair", np.uint32, followers), "word long, cont long, n1 long, n2 long, n3 long"
-    ).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("cont", "n1", "n2", "n3")])
-    path = f"{folder}/figures"
-    figures.write.parquet(path)
-    figures = spark.read.parquet(path)
-    own = figures.filter("word = -1").first()
-    pair_d = discounts([own[c] for c in ("cont", "n1", "n2", "n3")] if own else [0] * 4)
-    seen = figures.filter("word >= 0")
-    c = seen.agg(F.sum("cont").alias("all"), *[F.sum((F.col("cont") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)],
-                 F.sum((F.col("cont") > 2).cast("long")).alias("more")).first()
-    pairs = c["all"] or 0
-    word_d = discounts([c[f"n{k}"] or 0 for k in (1, 2, 3, 4)])
-    rest = sum(d * (x or 0) for d, x in zip(word_d, (c["n1"], c["n2"], c["more"]))) / pairs if pairs else 1.0
-
-    # figures by word id, in blocks of ids: arrays beside the words' own
-    block = 1 << 20
-
-    def by_id(batches):
+    def run(batches):
+        grams = Grams(m, n)
+        level = grams.levels[n]
+        cont = Figures(m, "cont", n, np.uint32) if n < m.order else None
+        for b in batches:
+            for i in b.column("id").to_pylist():
+                keys, a = np.array(level.keys[i]), np.array(level.values[i], np.int64)
+                if cont is not None:
+                    # only what begins with the start has no word before it
+                    c = cont[np.arange(len(keys)) + level.offsets[i]].astype(np.int64)
+                    a = np.where(c > 0, c, a)
+                if len(keys):
+                    yield describe(grams, keys, a)
+
+    parts = 1 << m.bits[n - 1]
+    return spark.range(0, parts, 1, parts).mapInArrow(run, schema)
+
+
+def _of_counts(x: np.ndarray) -> dict:
+    return {f"n{k}": pa.array([int((x == k).sum())], pa.int64()) for k in (1, 2, 3, 4)}
+
+
+def _sums(df: DataFrame, *names: str) -> list[int]:
+    row = df.agg(*[F.sum(c).alias(c) for c in names]).first()
+    return [row[c] or 0 for c in names]
+
+
+def _write_figures(spark: SparkSession, m: Model, n: int, d: tuple[float, float, float]) -> list[int]:
+    """Figures of level n - 1 out of level n, whose discounts are d.  Gives how
+    many of its continuation counts are 1, 2, 3, 4 and above 2, and their sum."""
+
+    def figures(grams, keys, a):
+        prefix, word = grams.parts(keys)
+        rest = grams.rest(n, prefix, word)
+        ids, at = np.unique(np.concatenate([prefix, rest]), return_inverse=True)
+        before, behind = at[:len(prefix)], at[len(prefix):]
+        count = lambda x, **k: np.bincount(x, minlength=len(ids), **k).astype(np.int64)
+        return batch(place=ids, cont=count(behind), total=count(before, weights=a), n1=count(before[a == 1]), n2=count(before[a == 2]), n3=count(before[a > 2]))
+
+    names = ("cont", "total", "n1", "n2", "n3")
+    seen = _by_segment(spark, m, n, figures, "place long, " + ", ".join(f"{c} long" for c in names)).groupBy("place").agg(
+        *[F.sum(c).alias(c) for c in names]
+    )
+    whole = np.int64 if n == 2 else np.uint32  # counts of n-grams above words are held in 32 bits
+
+    def by_place(batches):
         now, ids, rows = None, [], []
 
         def done():
             at, f = np.concatenate(ids), np.concatenate(rows, axis=1)
-            out = np.zeros((2, block))
-            out[0, at] = f[0]
-            out[1, at] = pair_d[0] * f[1] + pair_d[1] * f[2] + pair_d[2] * f[3]
-            write_array(folder, f"cont-{now}", out[0])
-            write_array(folder, f"rest-{now}", out[1])
-            return batch(block=pa.array([now], pa.int64()))
+            size = min(m.block, m.grams[n - 2] - now * m.block)
+            for kind, x, dtype in (("cont", f[0], whole), ("total", f[1], whole), ("rest", d[0] * f[2] + d[1] * f[3] + d[2] * f[4], float)):
+                out = np.zeros(size, dtype)
+                out[at] = x
+                write_array(m.folder, f"{kind}{n - 1}-{now}", out)
+            return batch(**_of_counts(f[0]), more=[int((f[0] > 2).sum())], pairs=[int(f[0].sum())])
 
         for b in batches:
             k = b.column("block").to_numpy()
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
-            data = np.array([b.column(x).to_numpy() for x in ("cont", "n1", "n2", "n3")], float)
-            word = b.column("word").to_numpy()
+            data = np.array([b.column(x).to_numpy() for x in names], float)
+            place = b.column("place").to_numpy()
             for a, e in zip(cuts[:-1], cuts[1:]):
                 if e == a:
                     continue
@@ -271,46 +358,68 @@ def fit(spark: SparkSession, train: DataFrame) -> Model:
                     yield done()
                     ids, rows = [], []
                 now = int(k[a])
-                ids.append(word[a:e] % block)
+                ids.append(place[a:e] % m.block)
                 rows.append(data[:, a:e])
         if now is not None:
             yield done()
 
-    blocks = seen.withColumn("block", F.expr(f"word div {block}"))
-    blocks.repartition((words + 1) // block + 1, "block").sortWithinPartitions("block").mapInArrow(by_id, "block long").count()
-    return Model(folder, word_bits, pair_bits, words, n_tokens, n_docs, pairs, pair_d, word_d, rest)
+    blocks = seen.withColumn("block", F.expr(f"place div {m.block}"))
+    out = ("n1", "n2", "n3", "n4", "more", "pairs")
+    return _sums(blocks.repartition(m.grams[n - 2] // m.block + 1, "block").sortWithinPartitions("block").mapInArrow(
+        by_place, ", ".join(f"{c} long" for c in out)), *out)
+
+
+def fit(spark: SparkSession, train: DataFrame, order: int = 2) -> Model:
+    """Count a model of ``order`` (2 or more) on the texts of train (null:
+    empty; every text ends with an end token) and write its arrays."""
+    if order < 2:
+        raise ValueError("order must be 2 or more")
+    folder = scratch_path(spark, "kneser-ney")
+    train = _texts(train)
+    # the vocabulary has about as many segments as a shuffle has partitions
+    word_bits = int(np.ceil(np.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))))
+
+    def describe(part, keys, values):
+        return batch(n=[len(keys)], total=[int(values.sum())])
+
+    def written(counts, n, bits):
+        return _sums(_sorted_segments(counts, bits).mapInArrow(
+            segment_writer(folder, _name(n), np.int64 if n == 1 else np.uint32, describe), "n long, total long"), "n", "total")
+
+    words, n_tokens = written(_count_words(train), 1, word_bits)
+    m = Model(folder, order, (word_bits,), words, n_tokens, train.count(), (words + 1,), BLOCK)
+    for n in range(2, order + 1):
+        bits = _bits(n_tokens, 2_000_000)
+        size, _ = written(_count_grams(train, m, n), n, bits)
+        m = replace(m, bits=(*m.bits, bits), grams=(*m.grams, size))
+    d, rest = [], 1.0
+    for n in range(order, 1, -1):
+        d.insert(0, discounts(_sums(_by_segment(spark, m, n, lambda _, keys, a: batch(**_of_counts(a)), "n1 long, n2 long, n3 long, n4 long"), "n1", "n2", "n3", "n4")))
+        *ns, more, pairs = _write_figures(spark, m, n, d[0])
+    d.insert(0, discounts(ns))
+    if pairs:
+        rest = sum(x * k for x, k in zip(d[0], (ns[0], ns[1], more))) / pairs
+    return replace(m, d=tuple(d), word_rest=rest)
 
 
 class Scorer:
     """Probabilities by a model's memory-mapped arrays."""
 
     def __init__(self, m: Model):
-        self.m, self.words = m, Words(m.folder, m.word_bits)
-        self.pairs = Segments(m.folder, "pair", m.pair_bits, np.uint32)
-        blocks = (m.words + 1 + (1 << 20) - 1) >> 20 if m.words else 0
-        self.cont = [map_array(m.folder, f"cont-{i}", float) for i in range(blocks)]
-        self.rest = [map_array(m.folder, f"rest-{i}", float) for i in range(blocks)]
-
-    @staticmethod
-    def _at(blocks: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
-        """Values of ids (-1: 0) out of blocks of 2**20."""
-        out, number = np.zeros(len(ids)), ids >> 20
-        for k, b in enumerate(blocks):
-            here = number == k
-            if len(b) and here.any():
-                out[here] = b[ids[here] & ((1 << 20) - 1)]
-        return out
+        self.m, self.words, self.grams = m, Words(m.folder, m.bits[0]), Grams(m, m.order)
+        kinds = lambda kind, dtype: {n: Figures(m, kind, n, np.int64 if n == 1 else dtype) for n in range(1, m.order)}
+        self.cont, self.total = kinds("cont", np.uint32), kinds("total", np.uint32)
+        self.rest = {n: Figures(m, "rest", n, float) for n in range(1, m.order)}
 
     def _counts(self, ids: np.ndarray) -> np.ndarray:
-        """Training count of ids; of the start it is the number of texts."""
+        """Training count of ids (-1: 0)."""
         out = np.zeros(len(ids))
         t = self.words.table
         segment = np.searchsorted(t.offsets, ids, side="right") - 1
         for k, v in enumerate(t.values):
-            here = (segment == k) & (ids >= 0) & (ids < self.m.words)
+            here = (segment == k) & (ids >= 0)
             if here.any():
                 out[here] = v[ids[here] - t.offsets[k]]
-        out[ids == self.m.words] = self.m.docs
         return out
 
     @staticmethod
@@ -320,24 +429,24 @@ class Scorer:
     def batch(self, texts: list[bytes]):
         """(tokens, known, base log10, model log10) of each text."""
         m = self.m
-        u, w, n = self.words.pairs([tokens(t) for t in texts])
-        # each distinct pair is looked up and computed once
-        keys, back = np.unique(mix((u << 32) | (w & 0xFFFFFFFF)), return_inverse=True)
-        plain = unmix(keys)
-        a, b = plain >> 32, plain & 0xFFFFFFFF
-        b = np.where(b == 0xFFFFFFFF, -1, b)
-        c = self.pairs.find(keys)[1].astype(float)
-        c[(a < 0) | (b < 0)] = 0
-        cu, cw, cont = self._counts(a), self._counts(b), self._at(self.cont, b)
-        p = m.word_rest / (m.words + 1)
-        if m.pairs:
-            p = p + np.maximum(cont - self._discount(cont, m.word_d), 0) / m.pairs
-        with np.errstate(divide="ignore", invalid="ignore"):
-            higher = np.maximum(c - self._discount(c, m.pair_d), 0) / cu + self._at(self.rest, a) / cu * p
-        score = np.log10(np.where(cu > 0, higher, p))
+        w, starts, n = self.words.sequence([tokens(t) for t in texts])
+        ids, back = np.unique(w, return_inverse=True)
+        cw, cont = self._counts(ids)[back], self.cont[1][ids][back]
+        p = np.full(len(w), m.word_rest / (m.words + 1))
+        if m.grams[1]:
+            p += np.maximum(cont - self._discount(cont, m.d[0]), 0) / m.grams[1]
+        for k, (prefix, place, count) in enumerate(self.grams.chain(m.order, w, starts), 2):
+            a = count.astype(float)
+            if k < m.order:
+                c = self.cont[k][place]
+                a = np.where(c > 0, c, a)
+            total = self.total[k - 1][prefix]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                higher = np.maximum(a - self._discount(a, m.d[k - 1]), 0) / total + self.rest[k - 1][prefix] / total * p
+            p = np.where(total > 0, higher, p)
+        score = np.log10(p)
         base = np.log10((cw + 0.5) / (m.tokens + 0.5 * (m.words + 1)))
-        starts = np.cumsum(n) - n
-        sums = [np.add.reduceat(x[back], starts) if len(n) else np.zeros(0) for x in ((cw > 0).astype(np.int64), base, score)]
+        sums = [np.add.reduceat(x, starts) if len(n) else np.zeros(0) for x in ((cw > 0).astype(np.int64), base, score)]
         return n, *sums
 
 
@@ -362,11 +471,11 @@ def perplexity(scored: DataFrame) -> DataFrame:
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
-def language_model(docs: DataFrame, mod: int = 5) -> DataFrame:
-    """Train on the rows that are not held out (crc32(doc_id as text) mod
+def language_model(docs: DataFrame, mod: int = 5, order: int = 2) -> DataFrame:
+    """Train a model of ``order`` on the rows that are not held out (crc32(doc_id as text) mod
     ``mod`` is not 1) and score all.  An empty table gives no rows."""
     spark = docs.sparkSession
-    model = fit(spark, docs.filter(~held_out(F.col("doc_id"), mod)))
+    model = fit(spark, docs.filter(~held_out(F.col("doc_id"), mod)), order)
     return perplexity(score(docs, model)).select(
         "doc_id", held_out(F.col("doc_id"), mod).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity",

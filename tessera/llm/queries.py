@@ -36,7 +36,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model(read_table(spark, sf_dir, "documents"))
+    return language_model(read_table(spark, sf_dir, "documents"), order=3)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,3 +97,71 @@ def test_mixing_is_a_bijection():
     keys = np.sort(m.mix(np.arange(-500, 500, dtype=np.int64)))
     part = arrays.segment_of(keys, 4)
     assert (np.diff(part) >= 0).all() and set(part) == set(range(16))
+
+
+def _brute_of(rows, order):
+    """Scores of any order by the definition: one start, adjusted counts."""
+    held = lambda d: zlib.crc32(str("" if d is None else d).encode()) % 5 == 1
+    start = b"^ start"
+    text = lambda t: [start] + _words(t) + [b"\n"]
+    raw = [Counter() for _ in range(order + 1)]
+    for d, t in rows:
+        if not held(d):
+            w = text(t)
+            for n in range(1, order + 1):
+                raw[n].update(tuple(w[i:i + n]) for i in range(len(w) - n + 1))
+    v = len(raw[1]) - 1
+    total = sum(raw[1].values()) - raw[1][start,]
+    a = {order: raw[order]}
+    for n in range(order - 1, 0, -1):
+        left = Counter(g[1:] for g in raw[n + 1])
+        a[n] = {g: raw[n][g] if g[0] == start else left[g] for g in raw[n] if n > 1 or g[0] != start}
+    d = {n: m.discounts([sum(x == k for x in a[n].values()) for k in (1, 2, 3, 4)]) for n in a}
+    followers, held_back = Counter(), Counter()
+    for n in range(1, order + 1):
+        for g, c in a[n].items():
+            followers[g[:-1]] += c
+            held_back[g[:-1]] += d[n][min(c, 3) - 1]
+    take = lambda c, n: max(c - (d[n][min(c, 3) - 1] if c else 0), 0)
+
+    def p(w, context):
+        lower = p(w, context[1:]) if context else 1 / (v + 1)
+        if not followers[context]:
+            return lower
+        n = len(context) + 1
+        return (take(a[n].get((*context, w), 0), n) + held_back[context] * lower) / followers[context]
+
+    out = []
+    for doc, t in rows:
+        w = text(t)
+        base = sum(math.log10((raw[1][x,] + 0.5) / (total + 0.5 * (v + 1))) for x in w[1:])
+        own = sum(math.log10(p(w[i], tuple(w[max(0, i - order + 1):i]))) for i in range(1, len(w)))
+        out.append((doc, held(doc), len(w) - 1, sum(raw[1][x,] > 0 for x in w[1:]), total, base, own))
+    return out, p, [g[0] for g in a[1]], followers
+
+
+def _mixed_rows():
+    r = np.random.default_rng(5)
+    return [(i, " ".join(f"w{k}" for k in r.zipf(1.4, 40).clip(0, 60))) for i in range(60)] + [(None, "w1 w2"), (None, None), (99, ""), (98, "w1 new w2 w1")]
+
+
+@pytest.mark.parametrize("order", [3, 4])
+def test_higher_orders(spark, monkeypatch, order):
+    monkeypatch.setattr(m, "_bits", lambda rows, per_segment=0: 3)
+    monkeypatch.setattr(m, "BLOCK", 64)
+    rows = _mixed_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _same(m.language_model(docs, order=order).collect(), _brute_of(rows, order)[0])
+
+
+def test_query_uses_two_words_of_context(spark, sf_dir):
+    from tessera.llm.queries import op5_language_model
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    _same(op5_language_model(spark, sf_dir).collect(), _brute_of(rows, 3)[0])
+
+
+def test_higher_probabilities_sum_to_one():
+    _, p, words, followers = _brute_of(_mixed_rows(), 3)
+    for u in list(followers)[:200]:
+        assert sum(p(w, u) for w in words) + p(b"unseen word", u) == pytest.approx(1)
