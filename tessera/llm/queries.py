@@ -1,10 +1,11 @@
-"""The registered queries of the ten operators, over whole tables."""
+"""The registered queries of the operators, over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import chat_format as _chat
 from tessera.llm import quality_rules as _quality
 from tessera.llm.byte_bpe import round_trip
 from tessera.llm.common import read_table
@@ -14,6 +15,7 @@ from tessera.llm.kneser_ney import language_model
 from tessera.llm.licenses import scan_licenses
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack_documents
+from tessera.llm.periodic_runs import run_digests
 from tessera.llm.token_counts import count_tokens
 from tessera.llm.toxicity import toxicity
 
@@ -59,8 +61,17 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(read_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chat.conversation_digests(_chat.with_planted(read_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_packing, op3_toxicity, op4_byte_bpe, op5_language_model, op6_near_dedup,
-    op7_token_counts, op8_html_tree, op9_licenses, op10_fingerprints,
+    op7_token_counts, op8_html_tree, op9_licenses, op10_fingerprints, op11_periodic_runs,
+    op12_chat_format,
 )}
-ORACLE_SQL = {"op1_quality_rules": _quality.ORACLE_SQL}
+ORACLE_SQL = {"op1_quality_rules": _quality.ORACLE_SQL, "op12_chat_format": _chat.ORACLE_SQL}
