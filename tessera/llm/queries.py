@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import chat_format as _chat
+from tessera.llm import hard_negatives as _negatives
 from tessera.llm import quality_rules as _quality
 from tessera.llm.byte_bpe import round_trip
 from tessera.llm.common import read_table
@@ -69,9 +70,14 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chat.conversation_digests(_chat.with_planted(read_table(spark, sf_dir, "conversations")))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _negatives.mine(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_packing, op3_toxicity, op4_byte_bpe, op5_language_model, op6_near_dedup,
     op7_token_counts, op8_html_tree, op9_licenses, op10_fingerprints, op11_periodic_runs,
-    op12_chat_format,
+    op12_chat_format, op13_hard_negatives,
 )}
-ORACLE_SQL = {"op1_quality_rules": _quality.ORACLE_SQL, "op12_chat_format": _chat.ORACLE_SQL}
+ORACLE_SQL = {"op1_quality_rules": _quality.ORACLE_SQL, "op12_chat_format": _chat.ORACLE_SQL,
+              "op13_hard_negatives": _negatives.ORACLE_SQL}
