@@ -11,8 +11,9 @@ at most one iteration.  The only value brought to the driver per iteration is a
 from __future__ import annotations
 
 import itertools
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,69 +99,129 @@ def transit_edges(stops: DataFrame, stations: DataFrame, travel: DataFrame) -> D
 
 
 # ------------------------------------------------------------------ shortest paths
-def shortest_paths(edges: DataFrame, sources: DataFrame, checkpoint_every: int = 4) -> DataFrame:
-    """Single- or multi-source weighted shortest paths by frontier relaxation.
+class _Bucketed:
+    """A table whose rows stay dealt by a key, so that joins and aggregates on
+    it move only the other side.  Rows may be added, also from what was read
+    of it; ``drop`` forgets it."""
+
+    def __init__(self, df: DataFrame, *key: str):
+        self.spark, self.key = df.sparkSession, key
+        self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"tessera_{uuid.uuid4().hex}"
+        self.add(df, path=scratch_path(self.spark, "bucketed"))
+
+    def add(self, df: DataFrame, **options) -> None:
+        df.repartition(self.parts, *self.key).write.mode("append").bucketBy(self.parts, *self.key).options(**options).saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+_BEST = ("cost", "hops", "pred")
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, delta: float | None = None) -> DataFrame:
+    """Single- or multi-source weighted shortest paths by delta-stepping
+    (Meyer and Sanders 2003).
 
     ``sources`` has a column ``id``.  Returns (source, node, cost, hops, pred)
     for every reachable node; unreachable nodes have no row (never cost 0).
     Ties on cost prefer fewer hops, then the smaller predecessor, which is a
     total order, so the result is deterministic and predecessor cycles cannot
     form even with zero-weight edges.
+
+    Costs are settled in buckets of width ``delta`` (four times the mean
+    positive weight): within a bucket only edges of at most delta are followed,
+    again and again, the heavier ones once when the bucket is settled.  Edges
+    lie dealt by their start and distances by (source, node), so a round
+    shuffles the frontier and what it reaches, never edges or distances, and
+    adds the improved rows alone.
     """
-    # the edge list is read once per iteration: materialise it first
-    e = _cut(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
-    if e.where(F.col("weight") < 0).limit(1).count():
-        raise ValueError("negative edge weights are not supported")
-    dist = sources.select(
-        F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("cost"),
-        F.lit(0).alias("hops"), F.lit(None).cast(sources.schema["id"].dataType).alias("pred"),
-    ).distinct()
-    dist = _cut(dist)
-    frontier = dist
-    for it in itertools.count():
-        cand = frontier.join(e, frontier.node == e.src).select(
-            "source", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"),
-            (F.col("hops") + 1).alias("hops"), F.col("node").alias("pred"),
-        )
-        best = cand.groupBy("source", "node").agg(F.min(F.struct("cost", "hops", "pred")).alias("b"))
-        cur = dist.select("source", "node", F.struct("cost", "hops", "pred").alias("c"))
-        improved = (
-            best.join(cur, ["source", "node"], "left")
-            .where(F.col("c").isNull() | (F.col("b") < F.col("c")))
-            .select("source", "node", "b.cost", "b.hops", "b.pred")
-        )
-        improved = _cut(improved)
-        if improved.count() == 0:
-            break
-        dist = dist.join(improved.select("source", "node"), ["source", "node"], "left_anti").unionByName(improved)
-        if it % checkpoint_every == checkpoint_every - 1:
-            dist = _cut(dist)
-        frontier = improved
-    return _cut(dist)
+    out = _Bucketed(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")), "src")
+    dist = None
+    try:
+        low, top, mean = out.read().agg(F.min("weight"), F.max("weight"), F.avg(F.when(F.col("weight") > 0, F.col("weight")))).first()
+        if low is not None and low < 0:
+            raise ValueError("negative edge weights are not supported")
+        delta = float(delta or 4 * (mean or 1.0))
+        dist = _Bucketed(sources.select(
+            F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("cost"),
+            F.lit(0).alias("hops"), F.lit(None).cast(sources.schema["id"].dataType).alias("pred"), F.lit(0).alias("round"),
+        ).distinct(), "source", "node")
+        rounds = itertools.count(1)
+
+        def best(df: DataFrame) -> DataFrame:
+            """The row that counts of each (source, node)."""
+            return df.groupBy("source", "node").agg(F.min(F.struct(*_BEST)).alias("b")).select("source", "node", "b.*")
+
+        def relax(frontier: DataFrame, which) -> tuple[DataFrame, float | None]:
+            """Follows edges of the frontier; the improved rows, added to
+            ``dist``, and their least cost (None: nothing improved)."""
+            reached = frontier.join(out.read().where(which), F.col("node") == F.col("src")).select(
+                "source", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"),
+                (F.col("hops") + 1).alias("hops"), F.col("node").alias("pred"))
+            now = best(dist.read()).select("source", "node", F.struct(*_BEST).alias("c"))
+            nth, seen = next(rounds), Observation()
+            improved = (
+                best(reached).join(now, ["source", "node"], "left")
+                .where(F.col("c").isNull() | (F.struct(*_BEST) < F.col("c"))).drop("c").withColumn("round", F.lit(nth)))
+            dist.add(improved.observe(seen, F.min("cost").alias("least")))
+            return dist.read().where(F.col("round") == nth).drop("round"), seen.get["least"]
+
+        at = 0.0
+        while at is not None:
+            end = (at // delta + 1) * delta
+            here = (F.col("cost") >= F.lit(at)) & (F.col("cost") < F.lit(end))
+            frontier, least = best(dist.read()).where(here), at
+            while least is not None and least < end:
+                frontier, least = relax(frontier.where(here), F.col("weight") <= F.lit(delta))
+            if top is not None and top > delta:
+                relax(best(dist.read()).where(here), F.col("weight") > F.lit(delta))
+            at = best(dist.read()).where(F.col("cost") >= F.lit(end)).agg(F.min("cost")).first()[0]
+        return _cut(best(dist.read()))
+    finally:
+        out.drop()
+        if dist:
+            dist.drop()
+
+
+def _by_doubling(state: DataFrame, join: dict) -> DataFrame:
+    """Pointer doubling along predecessors: ``state`` has source, node and up
+    (null at the start of a path) and what is gathered from node back to, but
+    not including, up; ``join`` says how a column of the ancestor (``a_*``) and
+    of the node are joined.  Rounds: the logarithm of the longest path."""
+    state = _cut(state)
+    names = list(join)
+    while not state.where("up IS NOT NULL").isEmpty():
+        up = state.select("source", F.col("node").alias("up"), F.col("up").alias("a_up"), *[F.col(n).alias(f"a_{n}") for n in names])
+        open_ = state.where("up IS NOT NULL").join(up, ["source", "up"])
+        step = open_.select("source", "node", F.col("a_up").alias("up"), *[join[n].alias(n) for n in names])
+        state = _cut(state.where("up IS NULL").unionByName(step))
+    return state
 
 
-def paths_to(dist: DataFrame) -> DataFrame:
+def paths_to(dist: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Node list and cumulative costs of the chosen path to every node in
-    ``dist`` (walks the predecessor links, one join per hop)."""
-    state = dist.select(
-        "source", F.col("node").alias("target"), F.col("node").alias("cur"), F.col("cost").alias("total"),
-        F.array(F.col("node")).alias("nodes"), F.array(F.col("cost")).alias("costs"), "pred",
-    )
-    state = _cut(state)
-    back = dist.select("source", F.col("node").alias("pred"), F.col("cost").alias("pcost"),
-                       F.col("pred").alias("ppred"))
-    while True:
-        open_ = state.where(F.col("pred").isNotNull())
-        if open_.limit(1).count() == 0:
-            break
-        done = state.where(F.col("pred").isNull())
-        step = open_.join(back, ["source", "pred"]).select(
-            "source", "target", F.col("pred").alias("cur"), "total",
-            F.concat(F.array(F.col("pred")), F.col("nodes")).alias("nodes"),
-            F.concat(F.array(F.col("pcost")), F.col("costs")).alias("costs"), F.col("ppred").alias("pred"),
-        )
-        state = _cut(done.unionByName(step))
-    return state.select("source", "target", "total", "nodes", "costs")
+    ``dist``, or to the ``targets`` (column ``id``) alone."""
+    pointers = dist.select("source", "node", F.col("pred").alias("up"), F.array("node").alias("nodes"), F.array("cost").alias("costs"))
+    both = {"nodes": F.concat("a_nodes", "nodes"), "costs": F.concat("a_costs", "costs")}
+    found = _by_doubling(pointers, both)
+    if targets is not None:
+        found = found.join(targets.select(F.col("id").alias("node")).distinct(), "node")
+    return found.select("source", F.col("node").alias("target"), F.element_at("costs", -1).alias("total"), "nodes", "costs")
+
+
+def path_sums(dist: DataFrame, values: DataFrame) -> DataFrame:
+    """Sum of ``values`` (node, value; 0 where missing) over the nodes of the
+    chosen path to every node: source, target, path_sum.  One number per row
+    is carried, whatever the length of the paths."""
+    own = dist.select("source", "node", F.col("pred").alias("up")).join(values.select("node", F.col("value").alias("total")), "node", "left")
+    own = own.select("source", "node", "up", F.coalesce("total", F.lit(0)).alias("total"))
+    found = _by_doubling(own, {"total": F.col("a_total") + F.col("total")})
+    return found.select("source", F.col("node").alias("target"), F.col("total").alias("path_sum"))
 
 
 # ------------------------------------------------------------------ harmonic centrality

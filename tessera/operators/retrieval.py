@@ -2,10 +2,11 @@
 
 Chunking is a per-row transformation (native ``sequence``/``substring`` for
 fixed windows, ``mapInPandas`` for the recursive splitter).  Similarity search
-scores every corpus vector against a bounded query set inside each partition
+scores every corpus vector against a small query set inside each partition
 with one matrix product (Arrow batches), keeps a partial top-k per query and
 partition, and merges the partial lists with a per-query ``row_number``; the
-merge sees at most k rows per query per partition.
+merge sees at most k rows per query per partition.  Large query sets and the
+nearest-neighbour index are in ``vector_index``.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators import vector_index as VI
 from tessera.operators.parallel import spread
 
 
@@ -129,26 +131,23 @@ def centroids(df: DataFrame, key: str, vec: str) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("query_vec"))
 
 
-def _round_half_away(x: np.ndarray, digits: int) -> np.ndarray:
-    f = 10.0 ** digits
-    return np.sign(x) * np.floor(np.abs(x) * f + 0.5) / f
-
-
 def topk_similarity(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame, qid: str, qvec: str,
-                    k: int, threshold: float | None = None, digits: int = 4, max_queries: int = 100_000,
+                    k: int, threshold: float | None = None, digits: int = 4, broadcast_queries: int = 1024,
                     q_block: int = 1024) -> DataFrame:
     """Top-k corpus rows by cosine similarity for every query.
 
     Scores are rounded to ``digits`` (half away from zero) before ranking and
-    ties go to the smaller corpus id, so the order is total.  The query set is
-    small by contract (checked against ``max_queries``) and is shipped to the
-    tasks once; the corpus is never shuffled before the per-partition top-k.
+    ties go to the smaller corpus id, so the order is total.  A query set of at
+    most ``broadcast_queries`` rows is shipped to the tasks and the corpus is
+    not shuffled before the per-partition top-k; a larger one stays a table and
+    meets the corpus in blocks (``vector_index.exact_topk``).  For an index in
+    place of a full scan see ``vector_index``.
     """
-    qrows = queries.select(qid, qvec).orderBy(qid).limit(max_queries + 1).collect()
-    if len(qrows) > max_queries:
-        raise ValueError("query set larger than max_queries")
+    qrows = queries.select(qid, qvec).limit(broadcast_queries + 1).collect()
+    if len(qrows) > broadcast_queries:
+        return VI.exact_topk(corpus, id_col, vec_col, queries, qid, qvec, k, threshold, digits)
     if not qrows:
-        raise ValueError("empty query set")
+        return VI.exact_topk(corpus.limit(0), id_col, vec_col, queries, qid, qvec, k, threshold, digits)
     qids = [r[0] for r in qrows]
     qmat = np.array([np.asarray(r[1], dtype=np.float64) for r in qrows])
     qn = qmat / np.linalg.norm(qmat, axis=1, keepdims=True)
@@ -177,7 +176,7 @@ def topk_similarity(corpus: DataFrame, id_col: str, vec_col: str, queries: DataF
             m = m / np.linalg.norm(m, axis=1, keepdims=True)
             ids = b[id_col].to_numpy()
             for lo in range(0, nq, q_block):
-                sc = _round_half_away(m @ qm[lo:lo + q_block].T, digits)  # rows x block
+                sc = VI.round_half_away(m @ qm[lo:lo + q_block].T, digits)  # rows x block
                 for jj in range(sc.shape[1]):
                     j = lo + jj
                     col = sc[:, jj]

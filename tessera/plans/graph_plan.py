@@ -1,11 +1,14 @@
 """Graph queries (G*, J12-J14, W12, A15) on graphs derived from the tables.
 
 * Nation graph: vertex = nation; edge c -> s when customers of nation c buy
-  from suppliers of nation s, weight = floor(min line price) of that pair;
-  only pairs cheaper than the average pair are kept (a sparse, weighted,
-  directed graph).  Hubs = the three nations with most customers.
+  from suppliers of nation s, weight = floor(min line price) of that pair; all
+  pairs.  Hubs = the three nations with most customers.
+* Neighbour graph: of each nation the edges to its five cheapest partners (the
+  usual sparse graph of nearest neighbours), for what looks at hops or
+  communities and would say nothing on a complete graph.
 * Transit graph (G3): line = order, station = supplier, stop sequence =
-  line number, as the layered depart/arrive/line-station graph.
+  line number, as the layered depart/arrive/line-station graph of all lines.
+  Transit hubs = the three stations with most lines.
 """
 
 from __future__ import annotations
@@ -23,7 +26,10 @@ _PAIRS_W_SQL = (
     f"(SELECT c_nationkey AS src, s_nationkey AS dst, CAST(floor(min(l_extendedprice)) AS BIGINT) AS weight "
     f"FROM {NATION_PAIRS_SQL} p WHERE c_nationkey <> s_nationkey GROUP BY 1, 2)"
 )
-EDGES_SQL = f"(SELECT * FROM {_PAIRS_W_SQL} w WHERE weight < (SELECT avg(weight) FROM {_PAIRS_W_SQL} w2))"
+EDGES_SQL = _PAIRS_W_SQL
+NEAR = 5
+NEAR_SQL = (f"(SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight, dst) AS nth "
+            f"FROM {_PAIRS_W_SQL} w) WHERE nth <= {NEAR})")
 HUBS_SQL = "(SELECT c_nationkey AS id FROM customer GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3)"
 _SP_SQL = f"""
 WITH RECURSIVE e AS {EDGES_SQL}, hubs AS {HUBS_SQL},
@@ -40,10 +46,12 @@ sp(source, node, cost) USING KEY (source, node) AS (
 
 def nation_edges(t):
     p = nation_pairs(t).where(F.col("c_nationkey") != F.col("s_nationkey"))
-    w = p.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(
+    return p.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(
         F.floor(F.min("l_extendedprice")).alias("weight"))
-    avg_w = w.agg(F.avg("weight")).scalar()
-    return w.where(F.col("weight") < avg_w)
+
+
+def near_edges(t):
+    return R.top_k_per_group(nation_edges(t), "src", [F.asc("weight"), F.asc("dst")], NEAR).select("src", "dst", "weight")
 
 
 def nation_vertices(t):
@@ -198,14 +206,8 @@ def shortest_path_routes(spark, sf_dir):
 def path_attr_sum(spark, sf_dir):
     """Sum of a vertex attribute (customers per nation) along each hub route."""
     t = tables(spark, sf_dir)
-    routes = G.paths_to(_sp(spark, sf_dir))
-    pop = t.customer.groupBy(F.col("c_nationkey").alias("node")).agg(F.count(F.lit(1)).alias("pop"))
-    ex = routes.select("source", "target", F.posexplode("nodes").alias("pos", "node"))
-    j = ex.join(pop, "node", "left").groupBy("source", "target").agg(
-        F.sort_array(F.collect_list(F.struct("pos", F.coalesce("pop", F.lit(0)).alias("pop")))).alias("ps"))
-    return j.select("source", "target",
-                    F.aggregate(F.transform("ps", lambda s: s["pop"]), F.lit(0).cast("long"),
-                                lambda a, x: a + x).alias("path_population"))
+    pop = t.customer.groupBy(F.col("c_nationkey").alias("node")).agg(F.count(F.lit(1)).alias("value"))
+    return G.path_sums(_sp(spark, sf_dir), pop).withColumnRenamed("path_sum", "path_population")
 
 
 _THRESHOLDS = [1000, 1200, 1500, 2000]
@@ -258,10 +260,95 @@ def cross_excl_self(spark, sf_dir):
         "source", F.col("node").alias("target"), "cost")
 
 
+# ------------------------------------------------------------------ paths on the transit graph
+_TRANSIT_SQL = f"""
+WITH RECURSIVE g AS MATERIALIZED ({{layered}}),
+start AS (SELECT 'depart ' || station AS id FROM (
+  SELECT station, count(DISTINCT line) AS n FROM (SELECT l_orderkey AS line, l_linenumber AS seq, min(l_suppkey) AS station
+    FROM lineitem GROUP BY 1, 2) GROUP BY 1 ORDER BY n DESC, station LIMIT 3)),
+sp(source, node, cost, hops, pred) USING KEY (source, node) AS (
+  SELECT id, id, CAST(0 AS DOUBLE), 0, CAST(NULL AS VARCHAR) FROM start
+  UNION
+  (SELECT c.source, c.node, c.b.cost, c.b.hops, c.b.pred FROM (
+     SELECT s.source, g.dst AS node,
+            min(struct_pack(cost := s.cost + g.weight, hops := s.hops + 1, pred := s.node)) AS b
+     FROM sp s JOIN g ON s.node = g.src GROUP BY ALL) c
+   LEFT JOIN recurring.sp r ON r.source = c.source AND r.node = c.node
+   WHERE r.cost IS NULL OR c.b < struct_pack(cost := r.cost, hops := r.hops, pred := r.pred)))
+""".format(layered=_LAYERED_SQL)
+
+
+def _transit(spark, sf_dir):
+    """Distances from the departures of the three busiest stations to every
+    node of the layered graph."""
+    t = tables(spark, sf_dir)
+    lines = seq_stops(t).select("line", "station").distinct()
+    busiest = R.top_n_keys(lines.select("station"), "station", 3).select(
+        F.concat(F.lit("depart "), F.col("station").cast("string")).alias("id"))
+    return G.shortest_paths(layered_edges(t), busiest)
+
+
+@query("transit_paths", _TRANSIT_SQL + "SELECT source, node, cost, hops, pred FROM sp")
+def transit_paths(spark, sf_dir):
+    """Cheapest way, its changes and the stop before, to every node of the
+    layered graph over all lines."""
+    return _transit(spark, sf_dir)
+
+
+@query("transit_routes", _TRANSIT_SQL + """, walk(source, target, cur, nodes) AS (
+  SELECT source, node, pred, [node] FROM sp WHERE node LIKE 'arrive %'
+  UNION ALL SELECT w.source, w.target, s.pred, list_prepend(w.cur, w.nodes) FROM walk w
+    JOIN sp s ON s.source = w.source AND s.node = w.cur)
+SELECT w.source, w.target, s.cost AS total, w.nodes FROM walk w JOIN sp s ON s.source = w.source AND s.node = w.target
+WHERE w.cur IS NULL""")
+def transit_routes(spark, sf_dir):
+    """Station-to-station routes: every node on the way to each arrival."""
+    return G.paths_to(_transit(spark, sf_dir)).where(F.col("target").startswith("arrive ")).select("source", "target", "total", "nodes")
+
+
+@query("transit_path_sum", _TRANSIT_SQL + """, walk(source, target, cur, n) AS (
+  SELECT source, node, pred, CAST(0 AS BIGINT) FROM sp WHERE node LIKE 'arrive %'
+  UNION ALL SELECT w.source, w.target, s.pred, w.n + CASE WHEN w.cur LIKE 'transfer %' THEN 1 ELSE 0 END FROM walk w
+    JOIN sp s ON s.source = w.source AND s.node = w.cur)
+SELECT source, target, n AS n_transfers FROM walk WHERE cur IS NULL""")
+def transit_path_sum(spark, sf_dir):
+    """Transfers on the way to each arrival: an attribute of the nodes summed
+    along the chosen paths."""
+    dist = _transit(spark, sf_dir)
+    hubs_ = dist.select("node").distinct().select("node", F.col("node").startswith("transfer ").cast("long").alias("value"))
+    return G.path_sums(dist, hubs_).where(F.col("target").startswith("arrive ")).select("source", "target", F.col("path_sum").alias("n_transfers"))
+
+
+_MINUTES = [5, 10, 15, 20]
+
+
+@query(
+    "transit_reachable",
+    _TRANSIT_SQL + "SELECT sp.source, v.minutes, count(*) FILTER (WHERE sp.cost <= v.minutes) AS n_stations FROM sp CROSS JOIN (VALUES "
+    + ", ".join(f"({m})" for m in _MINUTES) + ") v(minutes) WHERE sp.node LIKE 'arrive %' GROUP BY 1, 2",
+)
+def transit_reachable(spark, sf_dir):
+    """Stations within so many minutes of each hub."""
+    sp = _transit(spark, sf_dir).where(F.col("node").startswith("arrive "))
+    one = sp.groupBy("source").agg(*[F.count_if(F.col("cost") <= x).alias(f"m{x}") for x in _MINUTES])
+    return one.select("source", F.inline(F.array(*[F.struct(F.lit(x).alias("minutes"), F.col(f"m{x}").alias("n_stations")) for x in _MINUTES])))
+
+
+@query(
+    "transit_nearest_hub",
+    _TRANSIT_SQL + "SELECT node, source AS hub, cost FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY cost, source) AS rn "
+    "FROM sp WHERE node LIKE 'arrive %') WHERE rn = 1",
+)
+def transit_nearest_hub(spark, sf_dir):
+    """The hub from which each station is reached soonest."""
+    sp = _transit(spark, sf_dir).where(F.col("node").startswith("arrive "))
+    return R.argmin_per_group(sp, "node", ["cost", "source"], ["cost", "source"]).select("node", F.col("source").alias("hub"), "cost")
+
+
 # ------------------------------------------------------------------ centrality / communities
 _BFS_SQL = f"""
-WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM {EDGES_SQL} a UNION ALL
-                                                    SELECT dst, src FROM {EDGES_SQL} b){{extra}}),
+WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM {NEAR_SQL} a UNION ALL
+                                                    SELECT dst, src FROM {NEAR_SQL} b){{extra}}),
 bfs(source, node, hops) USING KEY (source, node) AS (
   SELECT n_nationkey, n_nationkey, 0 FROM nation
   UNION
@@ -280,9 +367,9 @@ bfs(source, node, hops) USING KEY (source, node) AS (
     "GROUP BY 1",
 )
 def harmonic_centrality(spark, sf_dir):
-    """Unweighted harmonic closeness on the two-way nation graph."""
+    """Unweighted harmonic closeness on the two-way neighbour graph."""
     t = tables(spark, sf_dir)
-    h = G.harmonic_exact(nation_vertices(t), G.two_way(nation_edges(t)))
+    h = G.harmonic_exact(nation_vertices(t), G.two_way(near_edges(t)))
     return h.select(F.col("id").cast("int").alias("id"), F.round("harmonic", 6).alias("harmonic"))
 
 
@@ -290,18 +377,18 @@ def harmonic_centrality(spark, sf_dir):
 def harmonic_hyperball(spark, sf_dir):
     """HyperBall estimate of the same centrality (HLL sketches per vertex)."""
     t = tables(spark, sf_dir)
-    return G.harmonic_hyperball(nation_vertices(t), G.two_way(nation_edges(t)))
+    return G.harmonic_hyperball(nation_vertices(t), G.two_way(near_edges(t)))
 
 
 @query(
     "induced_subgraph",
-    f"SELECT e.src, e.dst, e.weight, a.n_regionkey AS community FROM {EDGES_SQL} e "
+    f"SELECT e.src, e.dst, e.weight, a.n_regionkey AS community FROM {NEAR_SQL} e "
     f"JOIN nation a ON e.src = a.n_nationkey JOIN nation b ON e.dst = b.n_nationkey WHERE a.n_regionkey = b.n_regionkey",
 )
 def induced_subgraph(spark, sf_dir):
     t = tables(spark, sf_dir)
     m = t.nation.select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("community"))
-    return G.induced_subgraph(nation_edges(t), m)
+    return G.induced_subgraph(near_edges(t), m)
 
 
 @query(
@@ -320,7 +407,7 @@ def community_centers(spark, sf_dir):
     one harmonic run over all communities at once, then top-1 per community."""
     t = tables(spark, sf_dir)
     m = t.nation.select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("community"))
-    sub = G.induced_subgraph(G.two_way(nation_edges(t)), m)
+    sub = G.induced_subgraph(G.two_way(near_edges(t)), m)
     h = G.harmonic_exact(nation_vertices(t), sub.select("src", "dst", "weight"), group=m)
     top = R.top_k_per_group(h, "community", [F.desc("harmonic"), F.asc("id")], 1)
     return top.select("community", F.col("id").cast("int").alias("center"), F.round("harmonic", 6).alias("closeness"))
@@ -328,7 +415,7 @@ def community_centers(spark, sf_dir):
 
 @query("louvain")
 def louvain(spark, sf_dir):
-    """Louvain communities of the nation graph (unweighted, as undirected)."""
+    """Louvain communities of the neighbour graph (unweighted, as undirected)."""
     t = tables(spark, sf_dir)
-    out, _ = G.louvain(nation_vertices(t), nation_edges(t))
+    out, _ = G.louvain(nation_vertices(t), near_edges(t))
     return out

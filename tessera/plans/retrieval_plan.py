@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import retrieval as RT
 from tessera.operators import textscore as TS
+from tessera.operators import vector_index as VI
 from tessera.plans.common import tables
 from tessera.plans.registry import query
 
@@ -103,19 +104,66 @@ def retrieve_mmr(spark, sf_dir):
     return RT.mmr_rerank(full, "query_label", "vec_id", "embedding", "query_vec", 6, 0.5)
 
 
+def _every_50th(t):
+    """The stated query set: every vector whose id is divisible by 50."""
+    return t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+
+_EVERY_50TH_SQL = """(SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]),
+           CAST(q.embedding AS DOUBLE[])), 4) AS score
+    FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0)) WHERE rank <= 10)"""
+
+
+@query("retrieve_blocks", f"SELECT * FROM {_EVERY_50TH_SQL} t")
+def retrieve_blocks(spark, sf_dir):
+    """Exact top-10 of a query table against every vector, in blocks."""
+    t = tables(spark, sf_dir)
+    return VI.exact_topk(t.embeddings, "vec_id", "embedding", _every_50th(t), "query_id", "query_vec", 10).select(
+        "query_id", "vec_id", "score", "rank")
+
+
+def _indexed(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    index = VI.build_index(t.embeddings, "vec_id", "embedding")
+    q = _every_50th(t)
+    probes = VI.probes_for(index, q, "query_id", "query_vec", 10, target=0.95)
+    return VI.search(index, q, "query_id", "query_vec", 10, probes), q
+
+
+@query("retrieve_index")
+def retrieve_index(spark, sf_dir):
+    """Top-10 of the same query table through the inverted file over all
+    vectors, with as many probed cells as 0.95 of the neighbours need."""
+    return _indexed(spark, sf_dir)[0].select("query_id", "vec_id", "score", "rank")
+
+
+@query("retrieve_index_recall")
+def retrieve_index_recall(spark, sf_dir):
+    """Share of the exact top-10 that the index finds, per rank."""
+    found, q = _indexed(spark, sf_dir)
+    exact = VI.exact_topk(tables(spark, sf_dir).embeddings, "vec_id", "embedding", q, "query_id", "query_vec", 10)
+    hit = found.select("query_id", "vec_id", F.lit(1).alias("hit"))
+    return exact.join(hit, ["query_id", "vec_id"], "left").groupBy("rank").agg(
+        F.count(F.lit(1)).alias("n_exact"), F.count("hit").alias("n_found"))
+
+
 def _context(spark, sf_dir, k=4):
+    """Context per question; a retrieved vector without a document counts as
+    an empty text and stays among the sources."""
     t = tables(spark, sf_dir)
     top = _topk(spark, sf_dir, k)
     docs = t.documents.select(F.col("doc_id").alias("vec_id"), "text")
-    j = top.join(docs, "vec_id")
+    j = top.join(docs, "vec_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
     ctx = RT.context_of(j, "query_label", "rank", "text")
     src = j.groupBy("query_label").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda s: s["vec_id"]).alias("sources"))
     return ctx.join(src, "query_label")
 
 
-_CTX_SQL = f"""(SELECT t.query_label, string_agg(d.text, chr(10) || chr(10) ORDER BY t.rank) AS context,
-  list(t.vec_id ORDER BY t.rank) AS sources FROM {_topk_sql(4)} t JOIN documents d ON d.doc_id = t.vec_id
+_CTX_SQL = f"""(SELECT t.query_label, string_agg(coalesce(d.text, ''), chr(10) || chr(10) ORDER BY t.rank) AS context,
+  list(t.vec_id ORDER BY t.rank) AS sources FROM {_topk_sql(4)} t LEFT JOIN documents d ON d.doc_id = t.vec_id
   GROUP BY t.query_label)"""
 
 
