@@ -13,7 +13,7 @@ from __future__ import annotations
 import itertools
 import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -312,22 +312,60 @@ def _modularity(edges: DataFrame, comm: DataFrame, two_m: float | None = None) -
     return float(r or 0.0)
 
 
-def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, tol: float = 1e-9) -> tuple[DataFrame, list[float]]:
+def _independent_movers(g: DataFrame, dec: DataFrame, two_m: float, *salt) -> DataFrame:
+    """Which vertices of ``dec`` (id, k, c, to, rise, want) may move at once so
+    that modularity rises: (id, nc), the community after the round.
+
+    Two neighbours' moves are in each other's way only if one of them is in
+    the community that the other wants (otherwise an edge between movers is
+    worth at least what both counted on).  Wanting vertices get a hashed
+    priority, and those that come before all neighbours in their way stay
+    candidates: an independent set of these conflicts.  Two movers into (or out of) one community still lower each other's gain,
+    by k k' / 2m.  Priorities fall into levels that double in number; a
+    candidate moves if its rise exceeds its loss to all candidates of its own
+    and earlier levels at either community.  The very first one always may, so
+    every round with a wanting vertex raises modularity.
+    """
+    prio = F.xxhash64(F.col("id"), *map(F.lit, salt))
+    want = dec.where("want").select("id", "k", "c", "to", "rise", F.struct(prio.alias("p"), "id").alias("prio"))
+    there = want.select(F.col("id").alias("dst"), F.col("c").alias("c2"), F.col("to").alias("to2"), F.col("prio").alias("other"))
+    here = want.select(F.col("id").alias("src"), F.col("c").alias("c1"), F.col("to").alias("to1"))
+    near = g.where("src <> dst").join(there, "dst").join(here, "src").where("c2 = to1 OR c1 = to2")
+    first = near.groupBy(F.col("src").alias("id")).agg(F.min("other").alias("first"))
+    cand = want.join(first, "id", "left").where(F.col("first").isNull() | (F.col("prio") < F.col("first")))
+    # levels 0, 1, 2, ...: a candidate's level grows by one as its priority's distance from the least doubles
+    share = (F.col("prio.p").cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
+    cand = cand.withColumn("level", F.greatest(F.lit(0), F.floor(F.lit(40.0) + F.log2(F.greatest(share, F.lit(1e-12))))).cast("int"))
+    cand = _cut(cand.select("id", "k", "c", "to", "rise", "prio", "level"))
+
+    def before(side: str) -> DataFrame:
+        """Sum of k of the candidates up to a level, per community (a community has at most 41 levels)."""
+        sums = cand.groupBy(side, "level").agg(F.sum("k").alias("k_level"))
+        upto = Window.partitionBy(side).orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return sums.select(side, "level", F.sum("k_level").over(upto).alias(f"k_{side}"))
+
+    least = cand.agg(F.min("prio").alias("least"))
+    priced = cand.join(before("to"), ["to", "level"]).join(before("c"), ["c", "level"]).join(F.broadcast(least))
+    loss = F.col("k") * (F.col("k_to") + F.col("k_c") - 2 * F.col("k")) / F.lit(two_m)
+    moving = priced.where((F.col("rise") > loss) | (F.col("prio") == F.col("least"))).select("id", F.col("to").alias("nc"))
+    return dec.select("id", "c", "k").join(moving, "id", "left").select("id", F.coalesce("nc", "c").alias("c"), "k", F.col("nc").isNotNull().alias("moved"))
+
+
+def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, tol: float = 1e-9,
+            trace: list | None = None) -> tuple[DataFrame, list[float]]:
     """Louvain communities (Blondel et al. 2008) with intermediate levels.
 
     Edges are treated as undirected.  Each round every vertex computes, for
-    each neighbouring community, the modularity gain of moving there; vertices
-    in the active half (a hash of id and round) take their best strictly
-    positive move, so neighbours do not swap back and forth; a round is kept
-    only if it raises modularity, and after a rejected one the single best
-    move is taken, which always does.  A level ends when no vertex gains more
-    than ``tol`` of modularity by a move; the graph is then contracted
-    (community pairs summed, self loops kept) and the next level starts, until
-    a level moves nothing.  Communities are labelled by their smallest original
-    vertex id; ids are numbers or strings.
+    each neighbouring community, the modularity gain of moving there, and an
+    independent set of those that gain moves (``_independent_movers``), which
+    raises modularity, so no round has to be taken back.  A level ends when no
+    vertex gains more than ``tol`` of modularity by a move; the graph is then
+    contracted (community pairs summed, self loops kept) and the next level
+    starts, until a level moves nothing.  Communities are labelled by their
+    smallest original vertex id; ids are numbers or strings.
 
     Returns (node, community, intermediate_communities) and the modularity
-    after each level.
+    after each level; ``trace`` gets (level, round, vertices moved).
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     base = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), w.alias("w")).where("a <> b")
@@ -353,8 +391,6 @@ def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, to
         k = sup_nodes.join(k, "id", "left").select("id", F.coalesce("k", F.lit(0.0)).alias("k"))
         comm = _cut(k.select("id", F.col("id").alias("c"), "k"))
         moved_any = False
-        best_q = _modularity(g, comm.select(F.col("id").alias("node"), F.col("c").alias("community"), "k"), two_m)
-        alone = False  # after a rejected round: the best move by itself
         for rnd in itertools.count():
             tot = comm.groupBy("c").agg(F.sum("k").alias("tot"))
             nbr = g.where("src <> dst").join(comm.select(F.col("id").alias("dst"), F.col("c").alias("cj")), "dst")
@@ -362,42 +398,22 @@ def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, to
             own = comm.select("id", "c", F.lit(0.0).alias("kin"))
             opts = own.unionByName(kin).groupBy("id", "c").agg(F.sum("kin").alias("kin"))
             me = comm.select("id", F.col("c").alias("d"), "k")
-            sc = opts.join(me, "id").join(tot, "c").select(
-                "id", "c", "d",
-                (F.col("kin") - (F.col("tot") - F.when(F.col("c") == F.col("d"), F.col("k")).otherwise(0.0))
-                 * F.col("k") / F.lit(two_m)).alias("s"))
-            cur = sc.where("c = d").select("id", F.col("s").alias("s_own"))
-            best = sc.groupBy("id").agg(F.min(F.struct((-F.col("s")).alias("less"), (F.col("c") != F.col("d")).alias("other"),
-                                                       F.col("c").alias("c"))).alias("b"))
-            active = (F.pmod(F.xxhash64(F.col("id"), F.lit(level), F.lit(rnd)), F.lit(2)) == 0)
+            score = F.col("kin") - (F.col("tot") - F.when(F.col("c") == F.col("d"), F.col("k")).otherwise(0.0)) * F.col("k") / F.lit(two_m)
+            sc = opts.join(me, "id").join(tot, "c").select("id", "c", "d", "k", score.alias("s"))
+            best = sc.groupBy("id").agg(
+                F.min(F.struct((-F.col("s")).alias("less"), (F.col("c") != F.col("d")).alias("other"), F.col("c").alias("c"))).alias("b"),
+                F.max(F.when(F.col("c") == F.col("d"), F.col("s"))).alias("s_own"), F.first("d").alias("c"), F.first("k").alias("k"))
             rise = -F.col("b.less") - F.col("s_own")
-            dec = best.join(cur, "id").join(comm, "id").select(
-                "id", "k", "c", (F.col("b.other") & (rise > tol * two_m)).alias("want"), rise.alias("rise"), F.col("b.c").alias("to"))
-            dec = _cut(dec)
-            if alone:
-                top = dec.where("want").orderBy(F.desc("rise"), "id").select("id").limit(1)
-                dec = dec.join(F.broadcast(top.withColumn("active", F.lit(True))), "id", "left").withColumn(
-                    "active", F.coalesce("active", F.lit(False)))
-            else:
-                dec = dec.withColumn("active", active)
-            dec = dec.withColumn("nc", F.when(F.col("active") & F.col("want"), F.col("to")).otherwise(F.col("c")))
-            stats = dec.agg(F.count_if(F.col("nc") != F.col("c")).alias("moves"),
-                            F.count_if("want").alias("wants")).first()
-            if stats["wants"] == 0:
+            seen = Observation()
+            dec = best.select("id", "k", "c", (F.col("b.other") & (rise > tol * two_m)).alias("want"), rise.alias("rise"), F.col("b.c").alias("to"))
+            dec = _cut(dec.observe(seen, F.count_if("want").alias("wants")))
+            if not seen.get["wants"]:
                 break
-            if stats["moves"] == 0:
-                continue
-            # simultaneous moves can interfere: keep a round only if it raises
-            # modularity, so the level is monotone and ends
-            cand = dec.select("id", F.col("nc").alias("c"), "k")
-            q = _modularity(g, cand.select(F.col("id").alias("node"), F.col("c").alias("community"), "k"), two_m)
-            if q > best_q:
-                comm, best_q, moved_any = _cut(cand), q, True
-                alone = False
-            elif alone:
-                break  # no gain beyond rounding is left
-            else:
-                alone = True
+            moved = Observation()
+            comm = _cut(_independent_movers(g, dec, two_m, level, rnd).observe(moved, F.count_if("moved").alias("n")).drop("moved"))
+            moved_any = True
+            if trace is not None:
+                trace.append((level, rnd, moved.get["n"]))
         if not moved_any:
             break
         # label communities by smallest original node id
