@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.quantiles import exact_quantiles
 from tessera.operators.scan import global_row_number, midranks
 
 
@@ -286,30 +287,28 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str]) -> DataFr
 
 
 def describe(df: DataFrame, cols: Sequence[str], exact: bool = True, digits: int = 6) -> DataFrame:
-    """count, mean, sd, min, quartiles, max per column, long format.  The exact
-    percentile keeps a value->count map per group (memory grows with distinct
-    values), so use ``exact=False`` for high-cardinality columns at scale."""
-    structs = []
+    """count, mean, sd, min, quartiles, max per column, long format; quartiles
+    are exact (``quantiles``) or, with ``exact=False``, from a sketch."""
+    qs = [0.25, 0.5, 0.75]
+    quartiles = exact_quantiles(df, cols, qs) if exact else None
     aggs = []
     for i, c in enumerate(cols):
-        q = (F.percentile(F.col(c), [0.25, 0.5, 0.75]) if exact
-             else F.percentile_approx(F.col(c), [0.25, 0.5, 0.75], 10000))
-        aggs += [
-            F.count(c).alias(f"n{i}"), F.avg(c).alias(f"mean{i}"), F.stddev_samp(c).alias(f"sd{i}"),
-            F.min(c).cast("double").alias(f"min{i}"), q.alias(f"q{i}"), F.max(c).cast("double").alias(f"max{i}"),
-        ]
-    one = df.agg(*aggs)
+        aggs += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"mean{i}"), F.stddev_samp(c).alias(f"sd{i}"),
+                 F.min(c).cast("double").alias(f"min{i}"), F.max(c).cast("double").alias(f"max{i}")]
+        if not exact:
+            aggs.append(F.percentile_approx(F.col(c).cast("double"), qs, 10000).alias(f"q{i}"))
+    structs = []
     for i, c in enumerate(cols):
         r = lambda x: F.round(x, digits)
+        q = [F.lit(x).cast("double") for x in quartiles[c]] if exact else [F.col(f"q{i}")[j] for j in range(3)]
         structs.append(
             F.struct(
                 F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n"), r(F.col(f"mean{i}")).alias("mean"),
                 r(F.col(f"sd{i}")).alias("sd"), r(F.col(f"min{i}")).alias("min"),
-                r(F.col(f"q{i}")[0]).alias("q25"), r(F.col(f"q{i}")[1]).alias("q50"),
-                r(F.col(f"q{i}")[2]).alias("q75"), r(F.col(f"max{i}")).alias("max"),
+                r(q[0]).alias("q25"), r(q[1]).alias("q50"), r(q[2]).alias("q75"), r(F.col(f"max{i}")).alias("max"),
             )
         )
-    return one.select(F.inline(F.array(*structs)))
+    return df.agg(*aggs).select(F.inline(F.array(*structs)))
 
 
 def fixed_histogram(df: DataFrame, col: str, width: float) -> DataFrame:

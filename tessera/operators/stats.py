@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -122,15 +123,15 @@ def signed_rank_stats(df: DataFrame, x: str | Column, y: str | Column, digits: i
     )
 
 
-def hodges_lehmann(df: DataFrame, value: str, group: str, first, fanout: int = 64) -> float:
-    """Median of all pairwise differences x_i - y_j (x = ``first`` group),
-    exact for integer-valued data, without forming the pairs.
+def difference_ranks(df: DataFrame, value: str, group: str, first, ranks: Sequence[int], fanout: int = 64) -> list[float]:
+    """The differences x_i - y_j (x = ``first`` group) at the 1-based ``ranks``
+    of all pairs in order, without forming the pairs; exact for integer-valued
+    data, to 1e-12 of the bracket's size otherwise.
 
     The number of pairs with x - y <= d is sum_x n_x * #{y >= x - d}; it is
-    evaluated for ``fanout`` candidate d's at once by merging the shifted x
-    values with the y values in one distributed prefix sum.  Each pass narrows
-    the bracket of the middle rank(s) by ``fanout``, until it holds one integer
-    (integer data) or is as narrow as doubles allow (1e-12 of its size).
+    evaluated for about ``fanout`` candidate d's of all ranks at once by merging
+    the shifted x values with the y values in one distributed prefix sum.  Each
+    pass narrows the bracket of every rank.
     """
     d = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
     xs = d.where(F.col(group) == F.lit(first)).groupBy(F.col(value).cast("double").alias("v")).agg(
@@ -140,11 +141,9 @@ def hodges_lehmann(df: DataFrame, value: str, group: str, first, fanout: int = 6
     st = xs.agg(F.min("v"), F.max("v"), F.sum("n")).first()
     sy = ys.agg(F.min("v"), F.max("v"), F.sum("n")).first()
     if st[2] is None or sy[2] is None:
-        return float("nan")
-    nx, ny = st[2], sy[2]
-    total = nx * ny
+        return [float("nan")] * len(ranks)
+    ny = sy[2]
     integral = d.agg(F.bool_and(F.col(value).cast("double") == F.floor(F.col(value)))).first()[0]
-    targets = [(total + 1) // 2] if total % 2 == 1 else [total // 2, total // 2 + 1]
 
     def counts_le(cands: list[float]) -> list[int]:
         """#pairs with x - y <= c for each candidate c."""
@@ -162,34 +161,62 @@ def hodges_lehmann(df: DataFrame, value: str, group: str, first, fanout: int = 6
         got = {r["k"]: r["cnt"] for r in per.collect()}
         return [int(got.get(i, 0)) for i in range(len(cands))]
 
-    lo0 = st[0] - sy[1] - 1.0  # count(lo0) = 0
-    hi0 = st[1] - sy[0]        # count(hi0) = total
-    results = []
-    for tgt in targets:
-        lo, hi = lo0, hi0
-        while True:
-            if integral and hi - lo <= 1:
-                break
-            if not integral and hi - lo <= 1e-12 * max(1.0, abs(hi)):
-                break
-            step = (hi - lo) / fanout
-            cands = [lo + step * (i + 1) for i in range(fanout - 1)]
+    # no pair lies at or below the lower end, all at or below the upper one
+    brackets = {r: (st[0] - sy[1] - 1.0, st[1] - sy[0]) for r in ranks}
+    total = st[2] * ny
+    counts = {b: n for lo, hi in brackets.values() for b, n in ((lo, 0), (hi, total))}
+    if any(not 1 <= r <= total for r in ranks):
+        raise ValueError(f"ranks go from 1 to {total}")
+
+    def open_(lo: float, hi: float) -> bool:
+        return hi - lo > (1 if integral else 1e-12 * max(1.0, abs(hi)))
+
+    while todo := sorted({b for b in brackets.values() if open_(*b)}):
+        steps = max(fanout // len(todo), 3)
+        cands = set()
+        for lo, hi in todo:
+            inner = [lo + (hi - lo) / steps * (i + 1) for i in range(steps - 1)]
             if integral:
-                cands = sorted({math.floor(c) for c in cands if lo < math.floor(c) < hi})
-                if not cands:
-                    cands = [lo + 1]
-            cnts = counts_le(cands)
-            new_lo, new_hi = lo, hi
-            for c, k in zip(cands, cnts):
-                if k >= tgt:
-                    new_hi = c
-                    break
-                new_lo = c
-            if (lo, hi) == (new_lo, new_hi):
-                break
-            lo, hi = new_lo, new_hi
-        results.append(hi)
-    return float(sum(results) / len(results))
+                inner = [c for c in map(math.floor, inner) if lo < c < hi] or [lo + 1]
+            cands |= {float(c) for c in inner if lo < c < hi}
+        if not cands:  # neighbouring doubles
+            break
+        cands = sorted(cands)
+        counts |= zip(cands, counts_le(cands))
+        known = sorted(counts)
+        for r in brackets:
+            at = next(i for i, c in enumerate(known) if counts[c] >= r)
+            assert counts[known[at - 1]] < r <= counts[known[at]], "the bracket lost its rank"
+            brackets[r] = (known[at - 1], known[at])
+    return [float(brackets[r][1]) for r in ranks]
+
+
+def hodges_lehmann(df: DataFrame, value: str, group: str, first, fanout: int = 64) -> float:
+    """Median of all pairwise differences x_i - y_j (x = ``first`` group)."""
+    return location_shift(df, value, group, first, None, fanout)[0]
+
+
+def location_shift(df: DataFrame, value: str, group: str, first, level: float | None = 0.95, fanout: int = 64) -> tuple[float, float, float]:
+    """Location shift with its confidence interval: (estimate, lower, upper).
+
+    The bounds are the differences of rank C and n_x n_y + 1 - C, with C =
+    floor(n_x n_y / 2 - z sd), at least 1, sd the tie-corrected standard
+    deviation of the rank-sum statistic and z the normal quantile of the level
+    (Hollander and Wolfe); estimate and bounds are selected together.
+    ``level=None`` leaves the bounds out (NaN).
+    """
+    row = rank_sum_stats(df, value, group, first).first()
+    nan = float("nan")
+    if not row["n_x"] or not row["n_y"]:
+        return nan, nan, nan
+    total = int(row["n_x"] * row["n_y"])
+    ranks = [(total + 1) // 2, total // 2 + 1]
+    if level is not None:
+        z = NormalDist().inv_cdf((1 + level) / 2)
+        c = max(1, math.floor(total / 2 - z * math.sqrt(row["var_w"])))
+        ranks += [c, total + 1 - c]
+    got = difference_ranks(df, value, group, first, ranks, fanout)
+    return (got[0] + got[1]) / 2, *(got[2:] or (nan, nan))
 
 
 # ------------------------------------------------------------------ t-tests

@@ -58,6 +58,20 @@ def hodges_lehmann(spark, sf_dir):
     return spark.createDataFrame([(float(est),)], "shift double")
 
 
+@query(
+    "location_shift",
+    _RS_HIST + f""", c AS (SELECT CAST(n_x * n_y AS BIGINT) AS total, CAST(greatest(1, floor(n_x * n_y / 2.0 - 1.959963984540054 * sqrt(
+    n_x * n_y / 12.0 * ((n_x + n_y + 1) - ties / ((n_x + n_y) * (n_x + n_y - 1)))))) AS BIGINT) AS c FROM a),
+o AS (SELECT list_sort(list(x.v - y.v)) AS l FROM (SELECT v FROM d WHERE g = 0) x CROSS JOIN (SELECT v FROM d WHERE g = 1) y)
+SELECT (l[(total + 1) // 2] + l[total // 2 + 1]) / 2.0 AS shift, CAST(l[c] AS DOUBLE) AS lower, CAST(l[total + 1 - c] AS DOUBLE) AS upper
+FROM o CROSS JOIN c""",
+)
+def location_shift(spark, sf_dir):
+    """Location shift of n_chars with its 95 % interval."""
+    j = docs_labels(tables(spark, sf_dir))
+    return spark.createDataFrame([ST.location_shift(j, "n_chars", "quality", 0)], "shift double, lower double, upper double")
+
+
 @query(
     "signed_rank",
     """
