@@ -12,10 +12,10 @@ import math
 from collections.abc import Sequence
 from statistics import NormalDist
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.linear import OLSFit, vif  # noqa: F401 - the fits belong to the tests' interface
 from tessera.operators.scan import midranks, running_sums
 
 
@@ -245,110 +245,5 @@ def paired_t_stats(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ OLS
-class OLSFit:
-    """Least squares from one Gram-matrix aggregate; HC3 errors from a second
-    pass with (X'X)^-1 inlined as literals.  p (number of terms) must be small."""
-
-    MAX_TERMS = 60
-
-    def __init__(self, df: DataFrame, y: Column, terms: dict[str, Column], intercept: bool = True):
-        self.terms = (["(Intercept)"] if intercept else []) + list(terms)
-        if len(self.terms) > self.MAX_TERMS:
-            raise ValueError("too many terms for a driver-side solve")
-        xs = ([F.lit(1.0)] if intercept else []) + [c.cast("double") for c in terms.values()]
-        self.xcols = [f"__x{i}" for i in range(len(xs))]
-        self.data = df.select(y.cast("double").alias("__y"), *[c.alias(n) for c, n in zip(xs, self.xcols)]).dropna()
-        p = len(xs)
-        aggs = [F.count(F.lit(1)).alias("n"), F.sum("__y").alias("sy"), F.sum(F.col("__y") * F.col("__y")).alias("syy")]
-        for i in range(p):
-            aggs.append(F.sum(F.col(self.xcols[i]) * F.col("__y")).alias(f"xy{i}"))
-            for j in range(i, p):
-                aggs.append(F.sum(F.col(self.xcols[i]) * F.col(self.xcols[j])).alias(f"xx{i}_{j}"))
-        r = self.data.agg(*aggs).first()
-        self.n = int(r["n"])
-        self.p = p
-        xtx = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                xtx[i, j] = xtx[j, i] = r[f"xx{i}_{j}"]
-        xty = np.array([r[f"xy{i}"] for i in range(p)])
-        self.xtx_inv = np.linalg.inv(xtx)
-        self.coef = self.xtx_inv @ xty
-        ssr = r["syy"] - 2 * self.coef @ xty + self.coef @ xtx @ self.coef
-        sst = r["syy"] - r["sy"] ** 2 / self.n
-        self.df_resid = self.n - p
-        self.sigma2 = ssr / self.df_resid
-        self.se = np.sqrt(np.diag(self.xtx_inv) * self.sigma2)
-        self.r2 = 1 - ssr / sst
-        self.adj_r2 = 1 - (1 - self.r2) * (self.n - 1) / self.df_resid
-        self._hc3 = None
-
-    def fitted(self) -> Column:
-        out = F.lit(0.0)
-        for b, c in zip(self.coef, self.xcols):
-            out = out + F.lit(float(b)) * F.col(c)
-        return out
-
-    def leverage(self) -> Column:
-        out = F.lit(0.0)
-        for i in range(self.p):
-            for j in range(self.p):
-                m = float(self.xtx_inv[i, j])
-                if m != 0.0:
-                    out = out + F.lit(m) * F.col(self.xcols[i]) * F.col(self.xcols[j])
-        return out
-
-    def hc3(self) -> np.ndarray:
-        if self._hc3 is None:
-            e = F.col("__y") - self.fitted()
-            w = F.pow(e / (F.lit(1.0) - self.leverage()), 2)
-            aggs = [F.sum(w * F.col(self.xcols[i]) * F.col(self.xcols[j])).alias(f"m{i}_{j}")
-                    for i in range(self.p) for j in range(i, self.p)]
-            r = self.data.agg(*aggs).first()
-            meat = np.zeros((self.p, self.p))
-            for i in range(self.p):
-                for j in range(i, self.p):
-                    meat[i, j] = meat[j, i] = r[f"m{i}_{j}"]
-            self._hc3 = self.xtx_inv @ meat @ self.xtx_inv
-        return self._hc3
-
-    def robust_se(self) -> np.ndarray:
-        return np.sqrt(np.diag(self.hc3()))
-
-    def summary_rows(self) -> list[tuple]:
-        rows = []
-        rse = self.robust_se()
-        for i, term in enumerate(self.terms):
-            t = self.coef[i] / self.se[i]
-            rows.append((term, float(self.coef[i]), float(self.se[i]), float(t),
-                         float(t_two_sided_p(t, self.df_resid)), float(rse[i])))
-        return rows
-
-    def diagnostics(self) -> DataFrame:
-        """Per-row fitted, residual, standardised residual, leverage, Cook's D."""
-        fit = self.fitted()
-        h = self.leverage()
-        e = F.col("__y") - fit
-        s = math.sqrt(self.sigma2)
-        std = e / (F.lit(s) * F.sqrt(F.lit(1.0) - h))
-        cook = F.pow(std, 2) / F.lit(float(self.p)) * h / (F.lit(1.0) - h)
-        return self.data.select(fit.alias("fitted"), e.alias("residual"), std.alias("std_residual"),
-                                h.alias("leverage"), cook.alias("cooks_d"))
-
-
 def stars(p: float) -> str:
     return "***" if p < 0.001 else "**" if p < 0.01 else "*" if p < 0.05 else ""
-
-
-def vif(df: DataFrame, cols: Sequence[str]) -> list[tuple[str, float]]:
-    """Variance inflation factors = diagonal of the inverse correlation
-    matrix of the predictors (one aggregate of all pairwise correlations)."""
-    k = len(cols)
-    aggs = [F.corr(cols[i], cols[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(i + 1, k)]
-    r = df.agg(*aggs).first() if aggs else None
-    m = np.eye(k)
-    for i in range(k):
-        for j in range(i + 1, k):
-            m[i, j] = m[j, i] = r[f"c{i}_{j}"]
-    inv = np.linalg.inv(m)
-    return [(c, float(inv[i, i])) for i, c in enumerate(cols)]

@@ -210,7 +210,25 @@ def ols_diagnostics(spark, sf_dir):
     """Per-row diagnostics table behind residual/QQ/leverage/Cook's plots."""
     li = tables(spark, sf_dir).lineitem
     y, models = _models(li)
-    return ST.OLSFit(li, y, models["model_3"]).diagnostics()
+    return ST.OLSFit(li, y, models["model_3"], keep=["l_orderkey", "l_linenumber"]).diagnostics()
+
+
+@query("ols_qq")
+def ols_qq(spark, sf_dir):
+    """The same rows with their normal quantiles, and the line's key to trace
+    a high Cook's D."""
+    li = tables(spark, sf_dir).lineitem
+    y, models = _models(li)
+    return ST.OLSFit(li, y, models["model_2"], factors={"flag": F.col("l_returnflag")}, keep=["l_orderkey", "l_linenumber"]).qq_pairs()
+
+
+@query("gvif")
+def gvif(spark, sf_dir):
+    """Generalised VIF of ln(quantity), tax and the factor return flag."""
+    li = tables(spark, sf_dir).lineitem
+    y, models = _models(li)
+    fit = ST.OLSFit(li, y, models["model_2"], factors={"flag": F.col("l_returnflag")})
+    return spark.createDataFrame(fit.gvif(), "term string, gvif double, df int, scaled double")
 
 
 @query("model_table")
