@@ -8,7 +8,6 @@ common subsequence, which is an Arrow ``pandas_udf`` over pairs.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,27 +72,37 @@ def bleu(pairs: DataFrame, keys: str | list[str], pred: str, ref: str | list[str
 
 
 # ------------------------------------------------------------------ ROUGE-Lsum
-def _lcs_table(a: list[str], b: list[str]) -> np.ndarray:
-    t = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i in range(1, len(a) + 1):
-        ai = a[i - 1]
-        row, prev = t[i], t[i - 1]
-        for j in range(1, len(b) + 1):
-            row[j] = prev[j - 1] + 1 if ai == b[j - 1] else max(prev[j], row[j - 1])
-    return t
+def _lcs_rows(a: list[str], b: list[str]) -> list[int]:
+    """Rows of the table of common-subsequence lengths as bit vectors: bit j
+    of row i is set where the length of a[:i] and b[:j + 1] is one more than
+    that of a[:i] and b[:j].  A row takes a few whole-word operations (Hyyro
+    2004)."""
+    places: dict[str, int] = {}
+    for j, token in enumerate(b):
+        places[token] = places.get(token, 0) | 1 << j
+    whole = (1 << len(b)) - 1
+    same, rows = whole, [0]
+    for token in a:
+        hit = same & places.get(token, 0)
+        if hit:
+            same = ((same + hit) | (same - hit)) & whole
+        rows.append(whole ^ same)
+    return rows
 
 
 def _lcs_indices(a: list[str], b: list[str]) -> set[int]:
-    """Indices into ``a`` of one longest common subsequence with ``b``."""
-    t = _lcs_table(a, b)
+    """Indices into ``a`` of one longest common subsequence with ``b``: from
+    the end, matches first, then the shorter ``a`` where it loses nothing."""
+    rows = _lcs_rows(a, b)
     i, j, out = len(a), len(b), set()
-    while i > 0 and j > 0:
+    left = rows[i].bit_count()  # length for a[:i] and b[:j]
+    while left:
         if a[i - 1] == b[j - 1]:
             out.add(i - 1)
+            i, j, left = i - 1, j - 1, left - 1
+        elif rows[i] >> (j - 1) & 1 or (rows[i - 1] & ((1 << j) - 1)).bit_count() == left:
             i -= 1
-            j -= 1
-        elif t[i - 1, j] >= t[i, j - 1]:
-            i -= 1
+            left = (rows[i] & ((1 << j) - 1)).bit_count()
         else:
             j -= 1
     return out

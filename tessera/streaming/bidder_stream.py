@@ -1,10 +1,13 @@
 """Bidder state as a stateful stream (K5).
 
-``groupBy(bidder, user).applyInPandasWithState`` keeps (draws, wins, cost,
-cost_seen, clicks) per key in the state store; within a micro-batch the rows
-of a key are processed in (ts, event_id) order.  Rows arriving in a later
-micro-batch are applied in arrival order, so replaying a log in time order
-gives exactly the batch result of :func:`tessera.operators.auction.bidder_state`.
+``transformWithStateInPandas`` keeps per (bidder, user) the running (draws,
+wins, cost, cost_seen, clicks) and a list of the rows that the watermark has
+not passed yet.  An event-time timer per key fires when it has; the rows below
+the watermark are then taken in (ts, event_id) order, applied and emitted.
+Rows may thus arrive in any order within the watermark's delay, over any
+number of micro-batches, and give exactly the batch result of
+:func:`tessera.operators.auction.bidder_state`; later ones are dropped by the
+watermark.  Memory per key is the rows of one delay.
 """
 
 from __future__ import annotations
@@ -14,8 +17,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 STATE_SCHEMA = T.StructType([
     T.StructField("draws", T.LongType()), T.StructField("wins", T.LongType()),
@@ -39,54 +43,122 @@ def _round_half_even(x: float, digits: int = 3) -> float:
     return float(Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_EVEN))
 
 
-def make_handler(threshold: float, first_bid: float = 0.5):
-    def rule(w: np.ndarray, c: np.ndarray) -> np.ndarray:
+PENDING_SCHEMA = T.StructType([
+    T.StructField("ts", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("value", T.DoubleType()),
+])
+
+
+class Bidder(StatefulProcessor):
+    """Running state and rows in waiting of one (event_type, user_id)."""
+
+    def __init__(self, threshold: float, first_bid: float = 0.5):
+        self.threshold, self.first_bid = threshold, first_bid
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", STATE_SCHEMA)
+        self.waiting = handle.getListState("waiting", PENDING_SCHEMA)
+        self.due = handle.getValueState("due", T.StructType([T.StructField("ms", T.LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            part = part[part["event_id"].notna()]
+            if not len(part):
+                continue
+            micros = part["micros"].to_numpy()
+            self.waiting.appendList(list(zip(micros.tolist(), part["event_id"].astype("int64").tolist(), part["value"].tolist())))
+            first = int(micros.min()) if first is None else min(first, int(micros.min()))
+        if first is not None:
+            self._wake(first // 1000 + 1)
+        yield from ()
+
+    def _wake(self, ms: int) -> None:
+        """One timer per key, at the earliest row in waiting."""
+        if self.due.exists():
+            known = self.due.get()[0]
+            if known <= ms:
+                return
+            self.handle.deleteTimer(known)
+        self.handle.registerTimer(ms)
+        self.due.update((ms,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get())
+        ready = [r for r in rows if r[0] < limit]
+        rest = [tuple(r) for r in rows[len(ready):]]
+        self.due.clear()
+        if rest:
+            self.waiting.put(rest)
+            self._wake(rest[0][0] // 1000 + 1)
+        else:
+            self.waiting.clear()
+        if ready:
+            yield self._applied(key, ready)
+
+    def _rule(self, w: np.ndarray, c: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(w == 0, 1.0, np.where((w < threshold) & (c == 0), 1.0 / (2.0 * w), c / w))
-
-    def handle(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        draws0, wins0, cost0, seen0, clicks0 = state.get if state.exists else (0, 0, 0.0, 0.0, 0)
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="mergesort")
-        won = (rows["value"].to_numpy() >= 50).astype(np.int64)
-        price = rows["value"].to_numpy() / 100
-        click = (won.astype(bool) & (rows["event_id"].to_numpy() % 3 == 0)).astype(np.int64)
-        draws = draws0 + np.arange(1, len(rows) + 1)
-        wins = wins0 + np.cumsum(won)
-        clicks = clicks0 + np.cumsum(click)
-        cost = cost0 + np.cumsum(price * won)
-        seen = seen0 + np.cumsum(price)
-        bid = np.where(draws == 1, first_bid, rule(wins - won, clicks - click))
-        nxt = rule(wins, clicks)
-        out = pd.DataFrame({
-            "event_type": rows["event_type"].to_numpy(), "user_id": rows["user_id"].to_numpy(),
-            "event_id": rows["event_id"].to_numpy(), "ts": rows["ts"].to_numpy(), "draws": draws, "wins": wins,
-            "cost": cost, "cost_seen": seen, "clicks": clicks,
-            "bid": [_round_half_even(x) for x in bid], "next_bid": [_round_half_even(x) for x in nxt],
+            return np.where(w == 0, 1.0, np.where((w < self.threshold) & (c == 0), 1.0 / (2.0 * w), c / w))
+
+    def _applied(self, key, ready: list) -> pd.DataFrame:
+        draws0, wins0, cost0, seen0, clicks0 = self.run.get() if self.run.exists() else (0, 0, 0.0, 0.0, 0)
+        micros, event_id, value = (np.array(c) for c in zip(*ready))
+        won = (value >= 50).astype(np.int64)
+        price = value / 100
+        click = ((value >= 50) & (event_id % 3 == 0)).astype(np.int64)
+        draws = draws0 + np.arange(1, len(ready) + 1)
+        wins, clicks = wins0 + np.cumsum(won), clicks0 + np.cumsum(click)
+        cost, seen = cost0 + np.cumsum(price * won), seen0 + np.cumsum(price)
+        bid = np.where(draws == 1, self.first_bid, self._rule(wins - won, clicks - click))
+        self.run.update((int(draws[-1]), int(wins[-1]), float(cost[-1]), float(seen[-1]), int(clicks[-1])))
+        return pd.DataFrame({
+            "event_type": key[0], "user_id": key[1], "event_id": event_id, "ts": pd.to_datetime(micros, unit="us"),
+            "draws": draws, "wins": wins, "cost": cost, "cost_seen": seen, "clicks": clicks,
+            "bid": [_round_half_even(x) for x in bid], "next_bid": [_round_half_even(x) for x in self._rule(wins, clicks)],
         })
-        state.update((int(draws[-1]), int(wins[-1]), float(cost[-1]), float(seen[-1]), int(clicks[-1])))
-        yield out
 
-    return handle
+    def close(self) -> None:
+        pass
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def run_bidder_stream(spark: SparkSession, source_dir: str, schema: T.StructType, threshold: float,
-                      sink_dir: str, checkpoint_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+                      sink_dir: str, checkpoint_dir: str, delay: str, max_files_per_trigger: int = 1) -> DataFrame:
     """Replay a folder of event files through the stateful query
     (``availableNow``), write the per-event output to ``sink_dir`` and return
-    it as a batch DataFrame."""
-    reader = spark.readStream.schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    events = reader.parquet(source_dir).select("event_type", "user_id", "event_id", "ts", "value")
-    out = events.groupBy("event_type", "user_id").applyInPandasWithState(
-        make_handler(threshold), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    q = (out.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", checkpoint_dir)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
+    it as a batch DataFrame.  ``delay`` is how far a row may come behind the
+    latest one; rows without an event_id only move the watermark (a filter
+    would be pushed below it)."""
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
+    events = events.select("event_type", "user_id", "event_id", F.col("ts").cast("timestamp").alias("at"), "value")
+    events = events.withWatermark("at", delay).withColumn("micros", F.unix_micros("at"))
+    out = events.groupBy("event_type", "user_id").transformWithStateInPandas(
+        Bidder(threshold), OUT_SCHEMA, "Append", "EventTime")
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)  # timers and lists need it; read when the query starts
+    try:
+        q = (out.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", checkpoint_dir)
+             .outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
     return spark.read.schema(OUT_SCHEMA).parquet(sink_dir)
 
 
 def write_replay_files(events: DataFrame, path: str, n_files: int) -> None:
-    """Write a log as ``n_files`` files, each a contiguous time range."""
-    events.repartitionByRange(n_files, "ts", "event_id").sortWithinPartitions("ts", "event_id").write.mode(
-        "overwrite").parquet(path)
+    """Write a log as files that are shuffled in time: every row lands in a
+    file by a hash, so each file spans the whole log.  Two last files close the
+    log with one row of no event_id each, a year and more behind the last: the
+    first moves the watermark, the second brings the batch that sees it."""
+    events.repartition(n_files, F.xxhash64("event_id")).write.mode("overwrite").parquet(path)
+    for days in (366, 367):
+        last = events.agg((F.max("ts") + F.expr(f"INTERVAL {days} DAYS")).alias("ts"))
+        last.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields]).write.mode(
+            "append").parquet(path)
