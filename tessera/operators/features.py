@@ -1,7 +1,8 @@
 """Feature engineering and encoders (F*): fit on one frame, apply to any.
 
-Fitted state (category vocabularies) is small and bounded by a cardinality
-guard; it is collected once and applied as native column expressions.
+Fitted categories are a table with ordinals (``Dictionary``), joined where
+they are applied; only one column per category needs a small vocabulary on the
+driver, as its plan has that many columns.
 Sampling and splits are exact and distributed: rows are ranked inside their
 class by a seeded hash, using a two-level histogram so no class is ever sorted
 in a single task.
@@ -13,9 +14,13 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.scan import global_row_number
+from tessera.session import scratch_path
+
 # The generic words that mark a pet name as invalid (matched
 # case-insensitively as substrings).
 GENERIC_NAME_WORDS = [
@@ -63,39 +68,105 @@ class Vocabulary:
         non_null = sorted(v for v in vals if v is not None)
         return cls(col, non_null + ([None] if any(v is None for v in vals) else []))
 
+    @property
+    def size(self) -> int:
+        return len(self.values)
+
     def ordinal(self) -> Column:
         """1-based position in the vocabulary; 0 for unseen values."""
         c = F.col(self.column)
-        expr = None
-        for i, v in enumerate(self.values, start=1):
-            cond = c.isNull() if v is None else (c == F.lit(v))
-            expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-        return expr.otherwise(F.lit(0)) if expr is not None else F.lit(0)
+        known = [v for v in self.values if v is not None]
+        found = F.lit(0)
+        if known:
+            found = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, v in enumerate(known, 1) for x in (v, i)]), c), F.lit(0))
+        return F.when(c.isNull(), F.lit(len(self.values) if None in self.values else 0)).otherwise(found)
+
+    def encode(self, df: DataFrame, out: str) -> DataFrame:
+        return df.withColumn(out, self.ordinal())
+
+
+@dataclass
+class Dictionary:
+    """All categories of one column as a table (value, ordinal): ordinals from
+    1 in the order of the values, nulls last.  Any number of categories; the
+    driver sees their count and the few hot values."""
+
+    column: str
+    table: DataFrame
+    size: int
+    hot: dict
+
+    BROADCAST = 50_000  # rows up to which the table is sent to the tasks
+
+    @classmethod
+    def fit(cls, df: DataFrame, col: str) -> "Dictionary":
+        _require(df, col)
+        spark = df.sparkSession
+        path = scratch_path(spark, "dictionary")
+        counts = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        known = global_row_number(counts.where("value IS NOT NULL"), ["value"], "ordinal")
+        known.write.parquet(path)
+        n = spark.read.parquet(path).count()
+        counts.where("value IS NULL").withColumn("ordinal", F.lit(n + 1).cast("long")).write.mode("append").parquet(path)
+        table = spark.read.parquet(path)
+        size, total = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        # a value with more than its part of the rows is dealt over several tasks; there are at most as many as parts
+        part = max(total / int(spark.conf.get("spark.sql.shuffle.partitions")), 1.0)
+        hot = {r.value: math.ceil(r.n / part) for r in table.where((F.col("n") > part) & F.col("value").isNotNull()).collect()}
+        return cls(col, table.select("value", "ordinal"), size, hot)
+
+    def encode(self, df: DataFrame, out: str) -> DataFrame:
+        """``df`` with the ordinal of its value as ``out``; 0 for unseen values."""
+        d = self.table.select(F.col("value").alias("__value"), F.col("ordinal").alias("__ordinal"))
+        if self.size <= self.BROADCAST:
+            j = df.join(F.broadcast(d), F.col(self.column).eqNullSafe(F.col("__value")), "left")
+        else:
+            salts = F.lit(1)
+            if self.hot:
+                salts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in self.hot.items() for x in kv]), F.col("__value")), F.lit(1))
+            spread = d.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+            rows = df.withColumn("__value", F.col(self.column)).withColumn("__salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int"))
+            same = rows["__value"].eqNullSafe(spread["__value"]) & (rows["__salt"] == spread["__salt"])
+            j = rows.join(spread, same, "left")
+        return j.select(*[df[c] for c in df.columns], F.coalesce("__ordinal", F.lit(0)).alias(out))
+
+
+def one_hot_vector(df: DataFrame, dictionary: Dictionary, out: str, keep_original: bool = True) -> DataFrame:
+    """One sparse 0/1 vector per row, one place per category; all zeros for
+    unseen values."""
+    n = dictionary.size
+    place = dictionary.encode(df, "__ordinal").withColumn("__place", F.when(F.col("__ordinal") > 0, F.col("__ordinal") - 1).otherwise(F.lit(n)).cast("double"))
+    places = dictionary.table.select((F.col("ordinal") - 1).cast("double").alias("__place"))
+    coder = OneHotEncoder(inputCol="__place", outputCol=out, handleInvalid="keep", dropLast=True).fit(places)
+    coded = coder.transform(place).drop("__ordinal", "__place")
+    return coded if keep_original else coded.drop(dictionary.column)
 
 
 # F2 / F3
-def one_hot(df: DataFrame, vocab: Vocabulary, keep_original: bool = False) -> DataFrame:
-    """``{col}_{i}`` 0/1 columns, i = 1-based vocabulary position; unseen
-    values get all zeros."""
+def one_hot(df: DataFrame, vocab: Vocabulary, keep_original: bool = False, named: bool = False) -> DataFrame:
+    """``{col}_{i}`` 0/1 columns, i = 1-based vocabulary position, or
+    ``{col}_{value}`` (``{col}_nan`` for nulls) if ``named``; unseen values get
+    all zeros.  For more categories than columns are handy: ``one_hot_vector``."""
     c = F.col(vocab.column)
     cols = []
     for i, v in enumerate(vocab.values, start=1):
         cond = c.isNull() if v is None else (c == F.lit(v))
-        cols.append(F.coalesce(cond.cast("int"), F.lit(0)).alias(f"{vocab.column}_{i}"))
+        name = ("nan" if v is None else v) if named else i
+        cols.append(F.coalesce(cond.cast("int"), F.lit(0)).alias(f"{vocab.column}_{name}"))
     base = df.columns if keep_original else [x for x in df.columns if x != vocab.column]
     return df.select(*base, *cols)
 
 
 # F4
-def binary_encode(df: DataFrame, vocab: Vocabulary) -> DataFrame:
+def binary_encode(df: DataFrame, dictionary: Dictionary | Vocabulary) -> DataFrame:
     """Base-2 digits of the ordinal (most significant first) as
     ``{col}_0 .. {col}_{k-1}``; unseen values (ordinal 0) are all zeros."""
-    n_bits = max(1, int(math.floor(math.log2(len(vocab.values)))) + 1) if vocab.values else 1
-    o = vocab.ordinal()
+    n_bits = max(1, dictionary.size.bit_length())
     cols = [
-        F.shiftright(o, n_bits - 1 - i).bitwiseAND(F.lit(1)).alias(f"{vocab.column}_{i}") for i in range(n_bits)
+        F.shiftright("__ordinal", n_bits - 1 - i).bitwiseAND(F.lit(1)).cast("int").alias(f"{dictionary.column}_{i}") for i in range(n_bits)
     ]
-    return df.select(*[x for x in df.columns if x != vocab.column], *cols)
+    coded = dictionary.encode(df, "__ordinal")
+    return coded.select(*[x for x in df.columns if x != dictionary.column], *cols)
 
 
 # F5

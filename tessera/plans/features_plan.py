@@ -49,6 +49,37 @@ def onehot_fit_apply(spark, sf_dir):
     )
 
 
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query(
+    "onehot_named",
+    "SELECT o_orderkey, o_orderpriority, "
+    + ", ".join(f"CAST(o_orderpriority = '{v}' AS INTEGER) AS \"o_orderpriority_{v}\"" for v in _PRIORITIES) + " FROM orders",
+)
+def onehot_named(spark, sf_dir):
+    """One column per value, named after it, beside the original column."""
+    o, train = _orders_split(tables(spark, sf_dir))
+    vocab = FE.Vocabulary.fit(train, "o_orderpriority", max_categories=1000)
+    return FE.one_hot(o.select("o_orderkey", "o_orderpriority"), vocab, keep_original=True, named=True)
+
+
+@query(
+    "onehot_vector",
+    "WITH v AS (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey) - 1 AS place, count(*) OVER () AS n FROM "
+    "(SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01')) "
+    "SELECT o.o_orderkey, v.place, (SELECT count(*) FROM v) AS n_places FROM orders o LEFT JOIN v ON o.o_custkey = v.o_custkey",
+)
+def onehot_vector(spark, sf_dir):
+    """Sparse vectors over all customers of the training years, as the place of
+    the one (null: a customer not seen then) and the vector's length."""
+    o = tables(spark, sf_dir).orders.select("o_orderkey", "o_orderdate", "o_custkey")
+    known = FE.Dictionary.fit(o.where(F.col("o_orderdate") < ts("1997-01-01")), "o_custkey")
+    coded = FE.one_hot_vector(o.select("o_orderkey", "o_custkey"), known, "v", keep_original=False)
+    v = F.unwrap_udt("v")
+    return coded.select("o_orderkey", F.get(v["indices"], 0).cast("long").alias("place"), v["size"].cast("long").alias("n_places"))
+
+
 _BRAND_SQL = """
 WITH v AS (SELECT p_brand, CAST(row_number() OVER (ORDER BY p_brand) AS INTEGER) AS o
            FROM (SELECT DISTINCT p_brand FROM part WHERE p_size <= 25)),
@@ -66,8 +97,8 @@ FROM part p LEFT JOIN v ON p.p_brand = v.p_brand
 )
 def binary_encode(spark, sf_dir):
     p = tables(spark, sf_dir).part.select("p_partkey", "p_brand", "p_size")
-    vocab = FE.Vocabulary.fit(p.where(F.col("p_size") <= 25), "p_brand", max_categories=100_000)
-    return FE.binary_encode(p.select("p_partkey", "p_brand"), vocab)
+    known = FE.Dictionary.fit(p.where(F.col("p_size") <= 25), "p_brand")
+    return FE.binary_encode(p.select("p_partkey", "p_brand"), known)
 
 
 @query(
