@@ -103,6 +103,17 @@ def rank_sum_test(row) -> dict:
     return {"z": z, "p_value": 2 * min(normal_sf(z), 1 - normal_sf(z)) if var > 0 else float("nan")}
 
 
+def signed_rank_test(row) -> dict:
+    """z and two-sided p of ``signed_rank_stats`` (normal approximation with
+    continuity correction, tie-corrected variance)."""
+    return rank_sum_test({"w": row["v"], "mean_w": row["mean_v"], "var_w": row["var_v"]})
+
+
+def paired_t_test(row) -> dict:
+    """t and two-sided p of ``paired_t_stats``."""
+    return {"t": row["t"], "p_value": t_two_sided_p(row["t"], row["df"])}
+
+
 def signed_rank_stats(df: DataFrame, x: str | Column, y: str | Column, digits: int = 10) -> DataFrame:
     """Wilcoxon signed-rank V for paired x, y: differences rounded to
     ``digits`` (so float noise does not split ties), zeros dropped, mid-ranks

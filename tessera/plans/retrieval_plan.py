@@ -89,9 +89,9 @@ def retrieve_topk(spark, sf_dir):
     return _topk(spark, sf_dir, 4).select("query_label", "vec_id", "score", "rank")
 
 
-@query("retrieve_threshold", f"SELECT * FROM {_topk_sql(4, 0.3)} t")
+@query("retrieve_threshold", f"SELECT * FROM {_topk_sql(4, 0.36)} t")
 def retrieve_threshold(spark, sf_dir):
-    return _topk(spark, sf_dir, 4, threshold=0.3).select("query_label", "vec_id", "score", "rank")
+    return _topk(spark, sf_dir, 4, threshold=0.36).select("query_label", "vec_id", "score", "rank")
 
 
 @query("retrieve_mmr")
@@ -211,7 +211,7 @@ def prompts_by_audience(spark, sf_dir):
 
 
 _SWEEP_K = [2, 4, 6, 8, 10, 12]
-_SWEEP_T = [-1.0, 0.2, 0.3]
+_SWEEP_T = [-1.0, 0.36, 0.4]
 
 
 @query(

@@ -79,9 +79,9 @@ def climate_dir(spark, sf_dir) -> str:
 
 @query("scan_dir_keyed")
 def scan_dir_keyed(spark, sf_dir):
-    """Directory of per-country files read at once; the key comes from the
-    folder name; lines and data lines per key."""
-    lines = FS.read_dir_lines(spark, climate_dir(spark, sf_dir))
+    """Directory of per-country files read at once; the key is the name of the
+    file; lines and data lines per key."""
+    lines = FS.read_dir_lines(spark, climate_dir(spark, sf_dir), "country", encoded=True)
     return lines.groupBy("country").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if(~F.col("value").contains("%") & (F.trim("value") != "")).alias("n_data_lines"),
@@ -90,13 +90,13 @@ def scan_dir_keyed(spark, sf_dir):
 
 @query("parse_climate")
 def parse_climate(spark, sf_dir):
-    lines = FS.read_dir_lines(spark, climate_dir(spark, sf_dir))
+    lines = FS.read_dir_lines(spark, climate_dir(spark, sf_dir), "country", encoded=True)
     return FS.parse_anomalies(lines, "country")
 
 
 @query("parse_baseline")
 def parse_baseline(spark, sf_dir):
-    files = FS.read_dir_files(spark, climate_dir(spark, sf_dir))
+    files = FS.read_dir_files(spark, climate_dir(spark, sf_dir), "country", encoded=True)
     return FS.parse_baselines(files, "country", first_line=54)
 
 

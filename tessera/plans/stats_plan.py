@@ -90,6 +90,22 @@ def signed_rank(spark, sf_dir):
     return s.select("n", *[F.round(c, 6).alias(c) for c in ("v", "mean_v", "var_v")])
 
 
+@query("signed_rank_test")
+def signed_rank_test(spark, sf_dir):
+    """Signed-rank z and two-sided p of l_discount vs l_tax."""
+    row = ST.signed_rank_stats(tables(spark, sf_dir).lineitem, "l_discount", "l_tax").first()
+    res = ST.signed_rank_test(row)
+    return spark.createDataFrame([(float(row["v"]), float(res["z"]), float(res["p_value"]))], "v double, z double, p_value double")
+
+
+@query("paired_t_test")
+def paired_t_test(spark, sf_dir):
+    """Paired t with its two-sided p."""
+    row = ST.paired_t_stats(tables(spark, sf_dir).lineitem, "l_discount", "l_tax").first()
+    res = ST.paired_t_test(row)
+    return spark.createDataFrame([(float(row["t"]), int(row["df"]), float(res["p_value"]))], "t double, df long, p_value double")
+
+
 @query(
     "welch_t",
     f"""

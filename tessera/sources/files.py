@@ -7,9 +7,10 @@ the cluster names, never a machine-local temp folder.
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,15 +48,32 @@ def scratch_table_name(prefix: str) -> str:
 
 
 # ------------------------------------------------------------------ keyed text directories
-def read_dir_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of every file under ``path`` with the file path; a ``key=value``
+def file_key(ending: str = ".txt", encoded: bool = False) -> Column:
+    """The key that a file is named after: its name without the ending, URL
+    decoded once more if it was written by ``write_keyed_text``."""
+    plus = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))  # a URI's plus is a plus
+    name = F.regexp_replace(F.url_decode(plus), re.escape(ending) + "$", "")
+    return F.url_decode(name) if encoded else name
+
+
+def _read_dir(spark: SparkSession, path: str, key: str | None, ending: str, encoded: bool, **options) -> DataFrame:
+    path_of = F.col("_metadata.file_path")
+    if key is None:
+        return spark.read.text(path, **options).withColumn("file", path_of)
+    found = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter=f"*{ending}", **options)
+    return found.select("value", path_of.alias("file"), file_key(ending, encoded).alias(key))
+
+
+def read_dir_lines(spark: SparkSession, path: str, key: str | None = None, ending: str = ".txt", encoded: bool = False) -> DataFrame:
+    """Lines of every file under ``path`` with the file path and, as ``key``,
+    the name of the file without its ending; without ``key`` a ``key=value``
     folder level becomes a column by partition discovery."""
-    return spark.read.text(path).withColumn("file", F.col("_metadata.file_path"))
+    return _read_dir(spark, path, key, ending, encoded)
 
 
-def read_dir_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file (whole text); for per-key files of bounded size."""
-    return spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
+def read_dir_files(spark: SparkSession, path: str, key: str | None = None, ending: str = ".txt", encoded: bool = False) -> DataFrame:
+    """The same with one row per file (whole text); for files of bounded size."""
+    return _read_dir(spark, path, key, ending, encoded, wholetext=True)
 
 
 # ------------------------------------------------------------------ climate text files
@@ -145,11 +163,32 @@ def climate_lines(series: DataFrame, key: str, header_lines: int = 53) -> DataFr
     return comments.unionByName(blanks).unionByName(b1).unionByName(b2).unionByName(b3).unionByName(rows)
 
 
-def write_keyed_text(lines: DataFrame, key: str, path: str) -> None:
-    """One text file per key (``key=value`` folders), lines in ``line_no``
-    order: all lines of a key go to one task, sorted before writing."""
-    (lines.repartition(key).sortWithinPartitions(key, "line_no").select(key, "text")
-     .write.mode("overwrite").partitionBy(key).text(path))
+def write_keyed_text(lines: DataFrame, key: str, path: str, ending: str = ".txt") -> None:
+    """One text file per key, named after it (URL-encoded), lines in
+    ``line_no`` order: all lines of a key go to one task, sorted before
+    writing.  The driver renames one file per key."""
+    spark = lines.sparkSession
+    parts = f"{path.rstrip('/')}/_by_key"
+    (lines.withColumn("__key", F.url_encode(key)).repartition("__key").sortWithinPartitions("__key", "line_no").select("__key", "text")
+     .write.mode("overwrite").partitionBy("__key").option("maxRecordsPerFile", 0).text(parts))
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(parts)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for folder in fs.listStatus(root):
+        name = folder.getPath().getName()
+        if folder.isDirectory() and name.startswith("__key="):
+            for f in fs.listStatus(folder.getPath()):
+                if f.getPath().getName().startswith("part-"):
+                    plain = url_unescaped(name[len("__key="):])
+                    fs.rename(f.getPath(), hadoop.Path(path, plain + ending))
+    fs.delete(root, True)
+
+
+def url_unescaped(folder: str) -> str:
+    """A partition folder's value: Spark escapes the percent sign once more."""
+    from urllib.parse import unquote
+
+    return unquote(folder)
 
 
 # ------------------------------------------------------------------ partitioned sinks

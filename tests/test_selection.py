@@ -39,3 +39,25 @@ def test_location_shift(spark, draw, size):
     want = (float(np.median(pairs)), pairs[c - 1], pairs[size * size - c])
     assert ST.location_shift(d, "v", "g", 0) == pytest.approx(want, rel=1e-9, abs=1e-9)
     assert all(math.isnan(v) for v in ST.location_shift(d.where("g = 0"), "v", "g", 0))
+
+
+def test_p_values(spark):
+    r = random.Random(4)
+    rows = [(round(r.gauss(0.3, 1), 1), round(r.gauss(0, 1), 1)) for _ in range(80)]
+    d = spark.createDataFrame(rows, "a double, b double")
+    diffs = [round(a - b, 10) for a, b in rows if round(a - b, 10)]
+    size = sorted(map(abs, diffs))
+    rank = {v: size.index(v) + (size.count(v) + 1) / 2 for v in size}
+    v, n = sum(rank[abs(x)] for x in diffs if x > 0), len(diffs)
+    var = n * (n + 1) * (2 * n + 1) / 24 - sum(size.count(x) ** 3 - size.count(x) for x in set(size)) / 48
+    z = (v - n * (n + 1) / 4 - math.copysign(0.5, v - n * (n + 1) / 4)) / math.sqrt(var)
+    got = ST.signed_rank_test(ST.signed_rank_stats(d, "a", "b").first())
+    assert got["z"] == pytest.approx(z) and got["p_value"] == pytest.approx(2 * (1 - NormalDist().cdf(abs(z))))
+    paired = ST.paired_t_test(ST.paired_t_stats(d, "a", "b").first())
+    x = np.array([a - b for a, b in rows])
+    t = x.mean() / (x.std(ddof=1) / math.sqrt(80))
+    assert paired["t"] == pytest.approx(t)
+    # the density of t with 79 degrees of freedom, integrated beyond |t|
+    grid = np.linspace(abs(t), 60, 400_001)
+    density = np.exp(math.lgamma(40) - math.lgamma(39.5)) / math.sqrt(79 * math.pi) * (1 + grid**2 / 79) ** -40.0
+    assert paired["p_value"] == pytest.approx(2 * float(((density[1:] + density[:-1]) / 2 * np.diff(grid)).sum()), rel=1e-6)
