@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.quantiles import exact_quantiles
+from tessera.operators.quantiles import quantiles_and
 from tessera.operators.scan import global_row_number, midranks
 
 
@@ -290,25 +290,22 @@ def describe(df: DataFrame, cols: Sequence[str], exact: bool = True, digits: int
     """count, mean, sd, min, quartiles, max per column, long format; quartiles
     are exact (``quantiles``) or, with ``exact=False``, from a sketch."""
     qs = [0.25, 0.5, 0.75]
-    quartiles = exact_quantiles(df, cols, qs) if exact else None
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"mean{i}"), F.stddev_samp(c).alias(f"sd{i}"),
-                 F.min(c).cast("double").alias(f"min{i}"), F.max(c).cast("double").alias(f"max{i}")]
-        if not exact:
-            aggs.append(F.percentile_approx(F.col(c).cast("double"), qs, 10000).alias(f"q{i}"))
-    structs = []
+        aggs += [F.count(c).alias(f"__n{i}"), F.avg(c).alias(f"__mean{i}"), F.stddev_samp(c).alias(f"__sd{i}"),
+                 F.min(c).cast("double").alias(f"__min{i}"), F.max(c).cast("double").alias(f"__max{i}")]
+    if exact:
+        quartiles, row = quantiles_and(df, cols, qs, aggs)
+    else:
+        row = df.agg(*aggs, *[F.percentile_approx(F.col(c).cast("double"), qs, 10000).alias(f"__q{i}") for i, c in enumerate(cols)]).first()
+        quartiles = {c: row[f"__q{i}"] or [None] * len(qs) for i, c in enumerate(cols)}
+    rows = []
     for i, c in enumerate(cols):
-        r = lambda x: F.round(x, digits)
-        q = [F.lit(x).cast("double") for x in quartiles[c]] if exact else [F.col(f"q{i}")[j] for j in range(3)]
-        structs.append(
-            F.struct(
-                F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n"), r(F.col(f"mean{i}")).alias("mean"),
-                r(F.col(f"sd{i}")).alias("sd"), r(F.col(f"min{i}")).alias("min"),
-                r(q[0]).alias("q25"), r(q[1]).alias("q50"), r(q[2]).alias("q75"), r(F.col(f"max{i}")).alias("max"),
-            )
-        )
-    return df.agg(*aggs).select(F.inline(F.array(*structs)))
+        numbers = {"mean": row[f"__mean{i}"], "sd": row[f"__sd{i}"], "min": row[f"__min{i}"],
+                   **dict(zip(("q25", "q50", "q75"), quartiles[c])), "max": row[f"__max{i}"]}
+        rounded = [F.round(F.lit(x).cast("double"), digits).alias(name) for name, x in numbers.items()]
+        rows.append(F.struct(F.lit(c).alias("column_name"), F.lit(row[f"__n{i}"]).cast("long").alias("n"), *rounded))
+    return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
 
 
 def fixed_histogram(df: DataFrame, col: str, width: float) -> DataFrame:

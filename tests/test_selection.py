@@ -11,8 +11,9 @@ from tessera.operators import quantiles as Q
 from tessera.operators import stats as ST
 
 
-@pytest.mark.parametrize("accuracy,rows", [(10_000, 4_000_000), (20, 10)])
-def test_exact_quantiles(spark, monkeypatch, accuracy, rows):
+@pytest.mark.parametrize("accuracy,rows,few", [(1000, 4_000_000, 20_000), (1000, 4_000_000, 3), (20, 10, 3)])
+def test_exact_quantiles(spark, monkeypatch, accuracy, rows, few):
+    monkeypatch.setattr(Q, "_FEW_VALUES", few)
     monkeypatch.setattr(Q, "_ACCURACY", accuracy)
     monkeypatch.setattr(Q, "_BRACKET_ROWS", rows)  # small: brackets are narrowed and missed ones opened again
     r = random.Random(1)
