@@ -145,6 +145,7 @@ def _packer(size: int, end: int, path: str | None):
             for part in slices(batches, "text"):
                 for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.texts(part.column("text").to_pylist())):
                     yield doc, ids + tail
+            encoder.clear()
 
         # sequences of different splits never meet: the split number leads
         sequence, rows = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40, []

@@ -9,14 +9,15 @@ lower case and white space, a chunk is encoded once and reused; any other text
 
 from __future__ import annotations
 
-import gc
 import json
 import re
-import struct
 from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 MODEL = "word_bpe_49k.json"
@@ -59,54 +60,104 @@ def pre_tokens(chunk: str) -> list[str]:
 class ChunkIds:
     """Packed little-endian unsigned 32-bit ids of texts.
 
-    ``cache`` holds those of chunks and pre-tokens; it starts anew at ``limit``
-    entries, so memory stays bounded whatever the vocabulary of the corpus.
+    Those of chunks are kept in two generations of up to ``limit`` entries: when
+    the younger is full, the older goes, so memory is bounded whatever the
+    vocabulary of the corpus, and what is in use stays.
     """
 
-    def __init__(self, path: str | None = None, limit: int = 500_000):
+    def __init__(self, path: str | None = None, limit: int = 150_000):
         self.tok, self.merges = tokenizer(path), bare(path)
         self.specials = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
         self.limit = limit
-        self.cache: dict[str, bytes] = {}
+        vocab = self.merges.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a pre-token
+        self.last[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _pack(self, ids) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
 
-    def _learn(self, chunks: set[str]) -> None:
-        parts = {c: pre_tokens(c) for c in chunks}
-        new = [p for p in set(chain.from_iterable(parts.values())) if p not in self.cache]
+    def _pack(self, ids) -> bytes:
+        return np.array(ids, "<u4").tobytes()
+
+    def _merged(self, parts: list[str]) -> list[bytes]:
+        """Ids of pre-tokens, encoded together and cut where one ends."""
+        found = self.merges.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0]
+        ids = np.array(found.ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+        if len(ends) != len(parts) or ends[-1] != 4 * len(ids):  # an end inside a pre-token: each by itself
+            return [self._pack(e.ids) for e in self.merges.encode_batch_fast(parts, add_special_tokens=False)]
+        data, ends = ids.tobytes(), ends.tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that neither generation holds."""
+        parts = [pre_tokens(c) for c in chunks]
+        known: dict[str, bytes] = {"": b""}
+        new = []
+        for p in set(chain.from_iterable(parts)):
+            ids = self.young.get(p) or self.old.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                known[p] = ids
         for a in range(0, len(new), 20_000):
             some = new[a:a + 20_000]
-            for p, e in zip(some, self.merges.encode_batch_fast(some, add_special_tokens=False)):
-                self.cache[p] = self._pack(e.ids)
-        get = self.cache.__getitem__
-        for c, ps in parts.items():
-            if len(ps) != 1 or ps[0] != c:
-                self.cache[c] = b"".join(map(get, ps))
+            known.update(zip(some, self._merged(some)))
+        get = known.__getitem__
+        return {c: get(c) if len(ps) == 1 and ps[0] == c else b"".join(map(get, ps)) for c, ps in zip(chunks, parts)}
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks."""
+        young, old = self.young, self.old
+        found = [young.get(c) for c in chunks]
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = []
+        for i in missing:
+            found[i] = old.get(chunks[i])
+            if found[i] is None:
+                new.append(i)
+        learnt = self._learn([chunks[i] for i in new])
+        for i in new:
+            found[i] = learnt[chunks[i]]
+        for a in range(0, len(missing), self.limit):
+            if len(self.young) > self.limit:
+                self.young, self.old = {}, self.young
+            self.young.update((chunks[i], found[i]) for i in missing[a:a + self.limit])
+        return found
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        chunks = [t.lower().split() if plain(t, self.specials) else None for t in texts]
-        if len(self.cache) > self.limit:
-            self.cache = {}
-        new = set()
-        for c in chunks:
-            if c is not None:
-                new.update(c)
-        self._learn(new.difference(self.cache))
-        get = self.cache.__getitem__
-        return [
-            b"".join(map(get, c)) if c is not None else self._pack(self.tok.encode(t, add_special_tokens=False).ids)
-            for c, t in zip(chunks, texts)
-        ]
+        fit = [plain(t, self.specials) for t in texts]
+        lists = pc.ascii_split_whitespace(pa.array([t.lower() for t, ok in zip(texts, fit) if ok], pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        ids = self._chunks(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        start = np.cumsum(size) - size
+        flat, which = np.frombuffer(b"".join(ids), "<u4"), coded.indices.to_numpy()
+        ends = np.cumsum(size[which])
+        # of each id of the texts, its place among those of the distinct chunks
+        at = np.repeat(start[which] - ends + size[which], size[which])
+        at += np.arange(len(at))
+        data = flat[at].tobytes()
+        bounds = 4 * np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        cuts = iter(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+        out = []
+        for t, ok in zip(texts, fit):
+            if ok:
+                a, b = next(cuts)
+                out.append(data[a:b])
+            else:
+                out.append(self._pack(self.tok.encode(t, add_special_tokens=False).ids))
+        return out
 
 
 _SHARED: dict[str | None, ChunkIds] = {}
 
 
 def shared(path: str | None = None) -> ChunkIds:
-    """The worker process's own encoder: its cache serves task after task."""
+    """The worker process's own encoder, loaded once.  A task calls ``clear`` at
+    its end, so that an idle worker keeps the vocabulary only."""
     if path not in _SHARED:
-        # the caches hold no cycles; the collector would walk them again and again
-        gc.disable()
-        _SHARED[path] = ChunkIds(path, limit=600_000)
+        _SHARED[path] = ChunkIds(path)
     return _SHARED[path]

@@ -78,6 +78,20 @@ def test_ids_equal_the_library():
     assert chunks.texts(texts) == [chunks._pack(tok.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_ids_do_not_depend_on_the_generations():
+    """Generations far smaller than the vocabulary, slice after slice."""
+    r, tok = random.Random(7), tokenizer()
+    small, large = ChunkIds(limit=20), ChunkIds()
+    for _ in range(30):
+        words = ["".join(r.choices("abcdé.,'1_", k=r.randint(1, 6))) for _ in range(60)]
+        texts = [" ".join(r.choices(words, k=r.randint(0, 80))) for _ in range(8)]
+        want = [large._pack(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert small.texts(texts) == want == large.texts(texts)
+        assert len(small.young) <= 40 + 60 and len(small.old) <= 40 + 60
+    small.clear()
+    assert small.texts([]) == [] and small.texts(["", " \n"]) == [b"", b""] and small.texts(texts) == want
+
+
 def test_documents(spark, sf_dir):
     odd = [(None, "no id"), (-1, None), (-2, ""), (-3, "many words here " * 9000), (-4, "<|startoftext|>")]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
