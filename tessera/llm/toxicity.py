@@ -9,8 +9,9 @@ sentences at fault.
 
 Feature statistics run over all labelled training rows in Spark; the weights
 of the selected features are fitted on a bounded sample of them, each label
-weighed by its rows in the full table; every text is then scored whole, map-only, with the broadcast weights (at most
-``max_features``).
+weighed by its rows in the full table; every text is then scored whole, map-only,
+with the broadcast weights: at most ``max_features``, those whose presence tells
+most about the label.
 """
 
 from __future__ import annotations
@@ -33,12 +34,13 @@ _BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 
 @dataclass(frozen=True)
 class Training:
-    """``max_docs`` labelled rows per label bound the sample of the fit;
-    up to ``max_sent`` labels (16 bytes each) are broadcast."""
+    """``max_docs`` labelled rows per label bound the sample of the fit,
+    ``max_features`` the classifier; 2 ** ``bitmap_bits`` bits tell the scans which
+    documents may have a label, whatever the number of labels."""
 
     max_docs: int = 4000
     max_features: int = 4096
-    max_sent: int = 2_000_000
+    bitmap_bits: int = 24
     min_docs: int = 4
     min_g: float = 10.83
     prefixes: tuple[int, ...] = (4, 5)
@@ -169,11 +171,23 @@ def _table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _attach(docs: DataFrame, labels: DataFrame, max_sent: int) -> DataFrame:
-    """docs joined to (doc_id, toxic).  Up to ``max_sent`` labels are sent to
-    all executors, so that no text is shuffled; more are joined by a shuffle."""
-    few = labels.limit(max_sent + 1).count() <= max_sent
-    return docs.join(F.broadcast(labels) if few else labels, "doc_id")
+def _possible(docs: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
+    """Rows of docs whose doc_id may be among those of ids: all that are, few
+    others.  A bitmap of 2 ** bits hashed ids, as at most 2 ** (bits - 6) rows of
+    64 bits, is sent to the scan."""
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << bits))
+    place, bit = F.floor(slot / 64).cast("long"), F.expr("shiftleft(1L, cast(`__slot` % 64 AS int))")
+    marks = ids.select(slot.alias("__slot")).select(F.floor(F.col("__slot") / 64).cast("long").alias("__place"), bit.alias("__bit"))
+    marks = marks.groupBy("__place").agg(F.bit_or("__bit").alias("__bits"))
+    names = docs.columns
+    rows = docs.withColumn("__place", place).withColumn("__slot", slot).withColumn("__bit", bit)
+    return rows.join(F.broadcast(marks), "__place").filter(F.col("__bits").bitwiseAND(F.col("__bit")) != 0).select(*names)
+
+
+def _attach(docs: DataFrame, labels: DataFrame, bits: int) -> DataFrame:
+    """docs joined to (doc_id, toxic): one plan at every size.  Only rows that
+    may have a label, by the bitmap, go into the join."""
+    return _possible(docs, labels, bits).join(labels, "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> Model:
@@ -184,11 +198,12 @@ def train(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> Model
     lab = only(labels, "doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"), 3)).groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("toxic")
     )
-    named = _attach(only(docs, "doc_id", "text").filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("h")), lab, t.max_sent)
+    # the copies' hashes alone decide which rows are examples: no text is shuffled for that
+    named = _attach(only(docs, "doc_id", "text").filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("h")), lab, t.bitmap_bits)
     # copies of a text are one example
     one = named.groupBy("h").agg(F.min(F.struct("doc_id", "toxic")).alias("r")).select("r.doc_id", "r.toxic")
     one = _table(one, "toxicity-examples")
-    labelled = _attach(only(docs, "doc_id", "text").filter(F.col("text").isNotNull()), one, t.max_sent)
+    labelled = _attach(only(docs, "doc_id", "text").filter(F.col("text").isNotNull()), one, t.bitmap_bits)
     totals = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return Model(prefixes=t.prefixes)
@@ -281,3 +296,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, t: Trai
     return score(docs, train(docs, labels, t)).select(
         "doc_id", held_out(F.col("doc_id"), 3).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "at_fault"
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, t: Training = Training()) -> DataFrame:
+    """The rows of docs that are not predicted toxic, all their columns as they
+    are: each row is scored and decided where it is read.
+
+    Null, empty and blank texts score 0 and stay; rows that share a doc_id are
+    decided each by its own text, repeated rows alike.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, t))
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for part in slices(batches, "text"):
+            clean = [scorer.text(x or "")[0] < threshold for x in part.column("text").to_pylist()]
+            yield part.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -133,3 +133,39 @@ def test_class_share_of_the_table_survives_the_sample(spark):
     for cap in (60, 4000):
         found = m.score(docs, m.train(docs, labels, m.Training(max_docs=cap, min_g=1e9))).agg({"score": "avg"}).first()[0]
         assert found == pytest.approx(true, abs=0.02)
+
+
+def test_bitmap_keeps_all_labelled_rows(spark):
+    docs = spark.range(20000).selectExpr("id AS doc_id", "'x' AS text", "id AS __placed").union(
+        spark.createDataFrame([(None, "x", 1)], "doc_id long, text string, __placed long"))
+    ids = spark.range(0, 20000, 40).selectExpr("cast(id AS int) AS doc_id")
+    got = [r.doc_id for r in m._possible(docs, ids, 16).collect()]
+    assert set(range(0, 20000, 40)) <= set(got) and len(got) == len(set(got)) < 900
+    assert m._possible(docs, ids, 16).columns == docs.columns
+    assert m._possible(docs, ids.limit(0), 16).isEmpty()
+
+
+def test_more_labels_than_bits(spark):
+    """A full bitmap sends every row to the join; the model is the same."""
+    docs, labels = _corpus(300, 4)
+    d = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    one = m.train(d, lab)
+    assert one.weights and one == m.train(d, lab, m.Training(bitmap_bits=6))
+
+
+def test_rows_left_are_those_not_predicted(spark):
+    """Whole rows stay, with columns named like the operator's own, nulls and
+    repeated rows; rows of one doc_id are told apart by their texts."""
+    docs, labels = _corpus(400, 5)
+    bad = next(t for i, t, at in docs if at)
+    rows = [(i, t, 0.5, "a", [i]) for i, t, _ in docs] + [(None, None, None, None, None), (-1, "", 1.0, "b", []), (-2, bad, 0.0, "c", [1]), (-2, "word1 word2.", 0.0, "c", [2])]
+    d = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, score double, toxic string, at_fault array<long>")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    scored = m.score(d, m.train(d, lab)).select("doc_id", "score").collect()
+    got = m.without_toxic(d, lab)
+    assert got.schema == d.schema
+    left = got.collect()
+    assert len(left) == sum(r.score < 0.7 for r in scored) < len(scored)
+    assert [tuple(r) for r in left if r.doc_id == -2] == [(-2, "word1 word2.", 0.0, "c", [2])]
+    assert {r.doc_id for r in left} >= {None, -1} and m.without_toxic(d.limit(0), lab).isEmpty()
