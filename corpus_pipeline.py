@@ -13,7 +13,7 @@ from tessera.llm.common import keep_rows, read_table
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality_rules import quality_rules
-from tessera.llm.toxicity import toxicity
+from tessera.llm.toxicity import without_toxic
 from tessera.session import scratch_path
 
 
@@ -24,9 +24,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic by a model trained on the
-    labelled ones among them."""
-    found = toxicity(docs, read_table(spark, sf_dir, "labels"))
-    return keep_rows(docs, found.filter("predicted = 0"))
+    labelled ones among them; null and empty texts stay, every row is decided by
+    its own text."""
+    return without_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
