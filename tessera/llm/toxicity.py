@@ -185,8 +185,9 @@ def _possible(docs: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
 
 
 def _attach(docs: DataFrame, labels: DataFrame, bits: int) -> DataFrame:
-    """docs joined to (doc_id, toxic): one plan at every size.  Only rows that
-    may have a label, by the bitmap, go into the join."""
+    """docs joined to (doc_id, toxic).  Only rows that may have a label, by the
+    bitmap, go into the join; whether that is a broadcast of few labels or a
+    shuffle is Spark's choice by its size threshold."""
     return _possible(docs, labels, bits).join(labels, "doc_id")
 
 
