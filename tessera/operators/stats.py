@@ -123,14 +123,14 @@ def signed_rank_stats(df: DataFrame, x: str | Column, y: str | Column, digits: i
     d = df.select(F.round(xc - yc, digits).alias("d")).where((F.col("d") != 0) & F.col("d").isNotNull())
     hist = d.groupBy(F.abs("d").alias("absd")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("n_pos"))
     ranked = midranks(hist, "absd", "n", "midrank")
+    n = F.col("n").cast("decimal(13,0)")  # cubes of more than 10^6 rows do not fit a long
     agg = ranked.agg(
         F.sum("n").alias("n"), F.sum(F.col("midrank") * F.col("n_pos")).alias("v"),
-        F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("ties"),
+        F.sum(n * n * n - n).cast("double").alias("ties"),
     )
-    n = F.col("n")
     return agg.select(
-        "n", "v", (n * (n + 1) / 4.0).alias("mean_v"),
-        (n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0).alias("var_v"),
+        "n", "v", ((n * (n + 1)).cast("double") / 4.0).alias("mean_v"),
+        ((n * (n + 1) * (2 * n + 1)).cast("double") / 24.0 - F.col("ties") / 48.0).alias("var_v"),
     )
 
 

@@ -7,6 +7,8 @@ from statistics import NormalDist
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessera.operators import quantiles as Q
 from tessera.operators import stats as ST
 
@@ -62,3 +64,12 @@ def test_p_values(spark):
     grid = np.linspace(abs(t), 60, 400_001)
     density = np.exp(math.lgamma(40) - math.lgamma(39.5)) / math.sqrt(79 * math.pi) * (1 + grid**2 / 79) ** -40.0
     assert paired["p_value"] == pytest.approx(2 * float(((density[1:] + density[:-1]) / 2 * np.diff(grid)).sum()), rel=1e-6)
+
+
+def test_signed_rank_of_many_rows(spark):
+    # 3 million pairs: n (n + 1) (2 n + 1) is beyond a long
+    n, d = 3_000_000, spark.range(3_000_000).select((F.col("id") % 2 * 2 - 1).cast("double").alias("a"), F.lit(0.0).alias("b"))
+    row = ST.signed_rank_stats(d, "a", "b").first()
+    var = n * (n + 1) * (2 * n + 1) / 24 - (n**3 - n) / 48
+    assert (row["n"], row["v"], row["mean_v"]) == (n, n / 2 * (n + 1) / 2, n * (n + 1) / 4)
+    assert row["var_v"] == pytest.approx(var, rel=1e-14)
