@@ -73,3 +73,4 @@ def test_signed_rank_of_many_rows(spark):
     var = n * (n + 1) * (2 * n + 1) / 24 - (n**3 - n) / 48
     assert (row["n"], row["v"], row["mean_v"]) == (n, n / 2 * (n + 1) / 2, n * (n + 1) / 4)
     assert row["var_v"] == pytest.approx(var, rel=1e-14)
+    assert ST.signed_rank_test(row)["z"] == 0.0
