@@ -91,3 +91,12 @@ def test_registered_index_recall(spark):
     from tessera.plans.registry import entries
     rows = entries()["retrieve_index_recall"].fn(spark, "/root/testdata/sf0.01").collect()
     assert sum(r.n_found for r in rows) >= 0.9 * sum(r.n_exact for r in rows)
+
+
+def test_threshold_keeps_every_match_from_0_3(spark, sf_dir):
+    from tessera.plans.registry import entries
+
+    sf = sf_dir.replace("sf0.001", "sf0.1")  # some of whose best matches lie between 0.3 and 0.36
+    best = {tuple(r) for r in entries()["retrieve_topk"].fn(spark, sf).collect() if r.score >= 0.3}
+    got = {tuple(r) for r in entries()["retrieve_threshold"].fn(spark, sf).collect()}
+    assert got == best and min(r[2] for r in got) < 0.36
