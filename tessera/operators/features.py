@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.scan import global_row_number
 from tessera.session import scratch_path
@@ -250,20 +251,39 @@ def hash_rank_select(df: DataFrame, group: str | None, ids: Sequence[str], seed:
     hist = hist.withColumn("__q", F.least(q.cast("long"), F.col("__n_group")))
     wc = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = hist.withColumn("__cum", F.sum("__nb").over(wc)).withColumn("__before", F.col("__cum") - F.col("__nb"))
-    # per bucket: all in, none in, or the boundary bucket with `__need` rows
-    plan = hist.select(
-        "__g", "__b",
-        F.when(F.col("__cum") <= F.col("__q"), F.lit("all"))
-        .when(F.col("__before") >= F.col("__q"), F.lit("none"))
-        .otherwise(F.lit("part")).alias("__mode"),
-        (F.col("__q") - F.col("__before")).alias("__need"),
-    )
-    j = base.join(plan, ["__g", "__b"])
+    # below a group's boundary bucket all rows are in, above it none; of the
+    # boundary bucket the first `__need` are
+    inside = F.col("__cum") <= F.col("__q")
+    cut = hist.groupBy("__g").agg(F.min(F.when(~inside, F.struct("__b", (F.col("__q") - F.col("__before")).alias("__need")))).alias("__cut"))
+    cut = cut.select(F.col("__g").alias("__gc"), F.col("__cut.__b").alias("__at"), F.col("__cut.__need").alias("__need"))
+    at, need, key = F.col("__at"), F.col("__need"), F.struct("__h", *ids)
     wb = Window.partitionBy("__g", "__b").orderBy("__h", *ids)
-    part = j.where(F.col("__mode") == "part").withColumn("__r", F.row_number().over(wb))
-    part = part.withColumn(out, F.col("__r") <= F.col("__need")).drop("__r")
-    rest = j.where(F.col("__mode") != "part").withColumn(out, F.col("__mode") == "all")
-    return part.unionByName(rest).drop("__h", "__g", "__b", "__mode", "__need")
+    spark, rows = df.sparkSession, cut.limit(_FEW_GROUPS + 1).collect()
+    if len(rows) <= _FEW_GROUPS:
+        # one row per group: the last row that is in, so that rows are flagged where they are read
+        few = F.broadcast(spark.createDataFrame(rows, cut.schema))
+        ranked = base.join(few, F.col("__g").eqNullSafe(F.col("__gc"))).where(F.col("__b") == at).select(
+            "__g", key.alias("__key"), need.alias("__need"), F.row_number().over(wb).alias("__r"), F.rank().over(wb).alias("__k"))
+        last = ranked.groupBy("__g").agg(F.max(F.when(F.col("__r") <= F.col("__need"), F.col("__key"))).alias("__last"),
+                                         F.bool_or((F.col("__r") > F.col("__need")) & (F.col("__k") <= F.col("__need"))).alias("__tie"))
+        found = {r["__g"]: r for r in last.collect()}
+        if not any(r["__tie"] for r in found.values()):
+            schema = T.StructType(cut.schema.fields[:2] + [last.schema["__last"]])
+            ends = [(r["__gc"], r["__at"], found[r["__gc"]]["__last"] if r["__gc"] in found else None) for r in rows]
+            j = base.join(F.broadcast(spark.createDataFrame(ends, schema)), F.col("__g").eqNullSafe(F.col("__gc")))
+            flag = at.isNull() | (F.col("__b") < at) | ((F.col("__b") == at) & F.col("__last").isNotNull() & (key <= F.col("__last")))
+            return j.withColumn(out, flag).drop("__h", "__g", "__b", "__gc", "__at", "__last")
+        cut = few
+    # many groups, or rows alike in all ids at a boundary: number them
+    j = base.join(cut, F.col("__g").eqNullSafe(F.col("__gc")))
+    open_ = at.isNotNull() & (F.col("__b") == at)
+    part = j.where(open_).withColumn("__r", F.row_number().over(wb))
+    part = part.withColumn(out, F.col("__r") <= need).drop("__r")
+    rest = j.where(~open_).withColumn(out, at.isNull() | (F.col("__b") < at))
+    return part.unionByName(rest).drop("__h", "__g", "__b", "__gc", "__at", "__need")
+
+
+_FEW_GROUPS = 10_000  # boundaries of so many groups pass through the driver
 
 
 def class_quota_fraction(frac: float) -> Column:

@@ -1,8 +1,8 @@
 """Tree models and model evaluation (M*).
 
 Impurity and information gain are SQL aggregates (one job for all features).
-Models are Spark ML estimators; sweeps and cross-validation reuse one cached
-training frame and fit settings in parallel.
+Models are Spark ML estimators, fitted on rows counted per cell of their
+binned features; sweeps and cross-validation reuse one cached table of cells.
 """
 
 from __future__ import annotations
@@ -99,9 +99,63 @@ def assemble(features: Sequence[str], out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep")
 
 
-def decision_tree(max_depth: int = 5, min_leaf: int = 200, seed: int = 42, label: str = "label") -> DecisionTreeClassifier:
-    return DecisionTreeClassifier(labelCol=label, featuresCol="features", maxDepth=max_depth,
-                                  minInstancesPerNode=min_leaf, seed=seed, impurity="gini")
+def decision_tree(max_depth: int = 5, min_leaf: int = 200, seed: int = 42, label: str = "label",
+                  rows: float | None = None) -> DecisionTreeClassifier:
+    """With ``rows``, the sum of the weights, for rows of weight ``WEIGHT``."""
+    tree = DecisionTreeClassifier(labelCol=label, featuresCol="features", maxDepth=max_depth, seed=seed, impurity="gini")
+    return tree.setParams(minInstancesPerNode=min_leaf) if rows is None else tree.setParams(**_least(min_leaf, rows, max_depth))
+
+
+# ------------------------------------------------------------------ weighted cells
+WEIGHT = "weight"
+_AS_THEY_ARE = 64  # distinct values up to which a feature is not cut into bins
+_BINS = 32  # as many as the trees tell apart
+
+
+def _least(min_leaf: int, rows: float, max_depth: int) -> dict:
+    """Parameters of a tree of weighted rows whose leaves hold ``min_leaf``
+    rows: Spark counts weighted rows once each, so the least weight stands for
+    their number (half a row off whole numbers, so that rounding cannot tell)."""
+    if 2 * min_leaf > rows:
+        max_depth = 0  # no split leaves enough on both sides
+    return {"weightCol": WEIGHT, "minInstancesPerNode": 1, "maxDepth": max_depth,
+            "minWeightFractionPerNode": (min_leaf - 0.5) / rows if max_depth and min_leaf > 0 else 0.0}
+
+
+def weighted_cells(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """The rows counted per distinct (features, keep): ``WEIGHT`` rows each,
+    with the assembled ``features``.
+
+    Trees look at a feature through 32 bins at most.  A feature of more than
+    ``_AS_THEY_ARE`` values is first cut at its quantiles into as many, so the
+    cells are bounded by the bins whatever the rows, and a fit, which reads its
+    rows at every level of every tree, reads the table once.  Cut features are
+    replaced by the number of their bin; nulls stay null.
+    """
+    v = [F.col(f).cast("double") for f in features]
+    n = df.agg(*[F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(v)]).first()
+    many = [i for i in range(len(v)) if n[i] > _AS_THEY_ARE]
+    if many:
+        steps = [k / _BINS for k in range(1, _BINS)]
+        ends = df.agg(*[F.percentile_approx(v[i], steps, 10_000).alias(f"e{i}") for i in many]).first()
+        for i in many:
+            above = [(v[i] > F.lit(e)).cast("int") for e in sorted(set(ends[f"e{i}"]))]
+            v[i] = sum(above[1:], above[0]).cast("double")
+    cells = df.select(*[c.alias(f) for c, f in zip(v, features)], *keep).groupBy(*features, *keep).agg(
+        F.count(F.lit(1)).cast("double").alias(WEIGHT))
+    return assemble(features).transform(cells)
+
+
+def held(cells: DataFrame) -> DataFrame:
+    """``cells`` in memory and in few partitions: fitting runs a job for every
+    level of every tree, and small tables gain nothing from many tasks."""
+    cells = cells.persist()
+    return cells.coalesce(1 + cells.count() // 100_000)
+
+
+def weight_of(df: DataFrame) -> float:
+    """Number of rows: of weighted ones, the sum of their weights."""
+    return float(df.agg(F.sum(WEIGHT)).first()[0] or 0.0) if WEIGHT in df.columns else float(df.count())
 
 
 @dataclass
@@ -123,7 +177,7 @@ class BoostedOneVsRest:
 
 
 def _binary(df: DataFrame, cls: float, label: str) -> DataFrame:
-    return df.select("features", (F.col(label) == cls).cast("double").alias(label))
+    return df.select("features", (F.col(label) == cls).cast("double").alias(label), *[c for c in (WEIGHT,) if c in df.columns])
 
 
 def boost_until(train: DataFrame, valid: DataFrame, patience: int, first: int = 8, tol: float = 1e-4, label: str = "label", **params):
@@ -150,15 +204,23 @@ def boost_until(train: DataFrame, valid: DataFrame, patience: int, first: int =
 def boosted_multiclass(train: DataFrame, valid: DataFrame, classes: Sequence[float], patience: int = 10, step: float = 0.1,
                        max_depth: int = 5, min_leaf: int = 10, min_gain: float = 0.0, subsample: float = 1.0,
                        feature_subset: str = "all", seed: int = 42, label: str = "label"):
-    """One-vs-rest boosted trees on assembled rows (features, label), each
-    class stopped by ``patience`` on the validation rows.  Returns the model
+    """One-vs-rest boosted trees on assembled rows (features, label) or
+    ``weighted_cells``, each class stopped by ``patience`` on the validation
+    rows.  Returns the model
     and the curve rows (class, split, iteration, log loss)."""
-    models, curve = [], []
-    for c in classes:
-        m, on_train, on_valid = boost_until(
-            _binary(train, c, label), _binary(valid, c, label), patience, label=label, stepSize=step, maxDepth=max_depth,
-            minInstancesPerNode=min_leaf, minInfoGain=min_gain, subsamplingRate=subsample, featureSubsetStrategy=feature_subset, seed=seed,
+    leaf = {"minInstancesPerNode": min_leaf, "maxDepth": max_depth}
+    if WEIGHT in train.columns:
+        leaf = _least(min_leaf, weight_of(train), max_depth)
+    def fit(c):
+        return boost_until(
+            _binary(train, c, label), _binary(valid, c, label), patience, label=label, stepSize=step,
+            minInfoGain=min_gain, subsamplingRate=subsample, featureSubsetStrategy=feature_subset, seed=seed, **leaf,
         )
+
+    models, curve = [], []
+    with ThreadPool(max(1, min(len(classes), 4))) as pool:  # the classes' trees know nothing of each other
+        fitted = pool.map(fit, classes)
+    for c, (m, on_train, on_valid) in zip(classes, fitted):
         models.append(m)
         for name, losses in (("train", on_train), ("validation", on_valid)):
             curve += [(int(c), name, k, float(x)) for k, x in enumerate(losses, start=1)]
@@ -175,30 +237,33 @@ def feature_importance_rows(model, features: Sequence[str]) -> list[tuple[str, f
     return sorted(rows, key=lambda r: (-r[1], r[0]))
 
 
+def _metric(name: str, pred: DataFrame, label: str) -> float:
+    ev = MulticlassClassificationEvaluator(labelCol=label, metricName=name)
+    return (ev.setWeightCol(WEIGHT) if WEIGHT in pred.columns else ev).evaluate(pred)
+
+
 def evaluate(pred: DataFrame, label: str = "label") -> dict:
-    acc = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy").evaluate(pred)
-    f1 = MulticlassClassificationEvaluator(labelCol=label, metricName="weightedFMeasure").evaluate(pred)
-    return {"accuracy": acc, "weighted_f1": f1}
+    return {"accuracy": _metric("accuracy", pred, label), "weighted_f1": _metric("weightedFMeasure", pred, label)}
 
 
 def param_sweep(train: DataFrame, valid: DataFrame, features: Sequence[str], param: str, values: Sequence,
                 base: dict | None = None, label: str = "label") -> list[tuple]:
-    """One-at-a-time sweep of a tree parameter: (param, value, train_acc, valid_acc)."""
-    asm = assemble(features)
-    tr = asm.transform(train).select("features", label).cache()
-    va = asm.transform(valid).select("features", label).cache()
-    ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
+    """One-at-a-time sweep of a tree parameter: (param, value, train_acc,
+    valid_acc).  Rows are counted per cell once for all settings."""
+    both = train.select(*features, label, F.lit(True).alias("__fit")).unionByName(valid.select(*features, label, F.lit(False).alias("__fit")))
+    stored = weighted_cells(both, features, [label, "__fit"])
+    cells = held(stored)
     rows = []
     try:
+        tr, va = cells.where("__fit"), cells.where("NOT __fit")
+        n = weight_of(tr)
         for v in values:
-            kw = dict(base or {})
-            kw[param] = v
-            est = DecisionTreeClassifier(labelCol=label, featuresCol="features", seed=42, **kw)
-            m = est.fit(tr)
-            rows.append((param, float(v), ev.evaluate(m.transform(tr)), ev.evaluate(m.transform(va))))
+            kw = {"maxDepth": 5, "minInstancesPerNode": 1} | (base or {}) | {param: v}
+            kw |= _least(kw["minInstancesPerNode"], n, kw["maxDepth"])
+            m = DecisionTreeClassifier(labelCol=label, featuresCol="features", seed=42, **kw).fit(tr)
+            rows.append((param, float(v), _metric("accuracy", m.transform(tr), label), _metric("accuracy", m.transform(va), label)))
     finally:
-        tr.unpersist()
-        va.unpersist()
+        stored.unpersist()
     return rows
 
 
@@ -252,12 +317,15 @@ def grid_search_cv(folded: DataFrame, features: Sequence[str], depths: Sequence[
     greatest depth is fitted per (min leaf, fold), and all depths are read from
     it.  Returns rows (max_depth, min_leaf, mean accuracy over folds)."""
     spark = folded.sparkSession
-    data = assemble(features).transform(folded).select("features", label, fold_col, *features).persist()
+    stored = weighted_cells(folded, features, [label, fold_col])
+    data = held(stored)
     try:
+        size = {r[fold_col]: r.n for r in data.groupBy(fold_col).agg(F.sum(WEIGHT).alias("n")).collect()}
+
         def fit(job):
             leaf, fold = job
-            est = decision_tree(max(depths), leaf, label=label)
-            return tree_arrays(est.fit(data.where(F.col(fold_col) != fold).select("features", label)))
+            est = decision_tree(max(depths), leaf, label=label, rows=sum(size.values()) - size.get(fold, 0.0))
+            return tree_arrays(est.fit(data.where(F.col(fold_col) != fold).select("features", label, WEIGHT)))
 
         jobs = [(leaf, fold) for leaf in leaves for fold in range(num_folds)]
         with ThreadPool(parallelism) as pool:  # trees of a few hundred nodes each
@@ -267,18 +335,18 @@ def grid_search_cv(folded: DataFrame, features: Sequence[str], depths: Sequence[
         def right(batches):
             for b in batches:
                 x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns])
-                y, fold = b.column(label).to_numpy(zero_copy_only=False), b.column(fold_col).to_numpy(zero_copy_only=False)
+                y, fold, w = (b.column(c).to_numpy(zero_copy_only=False) for c in (label, fold_col, WEIGHT))
                 rows = []
                 for (leaf, k), tree in trees.value.items():
                     here = fold == k
                     for depth, p in predict_depths(tree, x[here], depths).items():
-                        rows.append((depth, leaf, k, int((p == y[here]).sum()), int(here.sum())))
+                        rows.append((depth, leaf, k, int(w[here][p == y[here]].sum()), int(w[here].sum())))
                 names = ["max_depth", "min_leaf", "fold", "hits", "n"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
-        hits = data.select(label, fold_col, *columns).mapInArrow(right, "max_depth long, min_leaf long, fold long, hits long, n long")
+        hits = data.select(label, fold_col, WEIGHT, *columns).mapInArrow(right, "max_depth long, min_leaf long, fold long, hits long, n long")
         per_fold = hits.groupBy("max_depth", "min_leaf", "fold").agg((F.sum("hits") / F.sum("n")).alias("a"))
         rows = per_fold.groupBy("max_depth", "min_leaf").agg(F.avg("a").alias("a")).collect()
         return sorted((int(r["max_depth"]), int(r["min_leaf"]), float(r["a"])) for r in rows)
     finally:
-        data.unpersist()
+        stored.unpersist()

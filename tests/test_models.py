@@ -58,3 +58,24 @@ def test_grid_search(spark, sf_dir):
     got = entries()["grid_search_cv"].fn(spark, sf_dir).collect()
     assert len({(r.max_depth, r.min_leaf) for r in got}) == len(got) == 66
     assert all(0 < r.cv_accuracy < 1 for r in got)
+
+
+def test_cells_fit_as_their_rows(spark, rows):
+    from tessera.operators import features as FE
+
+    cells = M.weighted_cells(rows.select("label", *MP._FEATURES), MP._FEATURES, ["label"])
+    n = M.weight_of(cells)
+    assert n == rows.count() and cells.count() < n
+    for leaf in (200, 2000, 4000):
+        by_cell = M.decision_tree(3, leaf, rows=n).fit(cells)
+        seen = by_cell.transform(rows).select("rawPrediction").distinct().count()
+        least = min(r["count"] for r in by_cell.transform(rows).groupBy("rawPrediction").count().collect())
+        assert least >= leaf and (seen > 1 or leaf > 2000)
+    # many values: bins bound the cells
+    wide = spark.range(20_000).select((F.col("id") / 7).alias("x"), (F.col("id") % 3).alias("label"))
+    assert M.weighted_cells(wide, ["x"], ["label"]).count() <= 32 * 3
+    # a split flags rows where they are read, ties at the boundary included
+    sel = FE.hash_rank_select(wide, "label", ["x"], seed=1, quota=10)
+    assert "Exchange hashpartitioning" not in sel._jdf.queryExecution().executedPlan().toString()
+    same = spark.range(100).select(F.lit(1).alias("x"), F.lit(None).cast("int").alias("g"))
+    assert FE.hash_rank_select(same, "g", ["x"], seed=1, quota=30).where("selected").count() == 30
