@@ -6,7 +6,6 @@ from statistics import NormalDist
 
 import numpy as np
 import pytest
-
 from pyspark.sql import functions as F
 
 from tessera.operators import quantiles as Q
