@@ -88,3 +88,33 @@ def test_rounds_do_not_shuffle_edges(spark):
         assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
     finally:
         b.drop()
+
+
+def test_rounds_do_not_sort_and_routes_join_each_row_once(spark):
+    """Edges and distances are probed, not sorted, in a round; routes to some
+    targets take only the nodes on the way, hop by hop."""
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    plans, add = [], G._Bucketed.add
+
+    def seen(self, df, **options):
+        plans.append(plan(df))
+        add(self, df, **options)
+
+    edges = _graph(6)
+    G._Bucketed.add = seen
+    try:
+        dist = G.shortest_paths(spark.createDataFrame(edges, "src long, dst long, weight int"), spark.createDataFrame([(0,), (60,)], "id long"))
+    finally:
+        G._Bucketed.add = add
+    rounds = [p for p in plans if "FileScan" in p and "Join" in p]
+    assert len(rounds) > 16 and all("SortMergeJoin" not in p and p.count("ShuffledHashJoin") == 2 for p in rounds)
+    ends = spark.createDataFrame([(76,), (3,), (777,)], "id long")
+    every = {(r.source, r.target): (r.total, r.nodes, r.costs) for r in G.paths_to(dist).collect()}
+    some = {(r.source, r.target): (r.total, r.nodes, r.costs) for r in G.paths_to(dist, ends).collect()}
+    assert some and some == {k: v for k, v in every.items() if k[1] in (76, 3)}
+    ones = dist.select("node").distinct().selectExpr("node", "1 AS value")
+    sums = {(r.source, r.target): r.path_sum for r in G.path_sums(dist, ones, ends).collect()}
+    assert sums == {k: len(v[1]) for k, v in some.items()}
+    assert G.paths_to(dist.limit(0), ends).count() == G.paths_to(dist.limit(0)).count() == 0
