@@ -79,24 +79,21 @@ def transit_edges(stops: DataFrame, stations: DataFrame, travel: DataFrame) -> D
     def node(line, station):
         return F.concat_ws(" ", line.cast("string"), station.cast("string"))
 
-    zero = F.lit(0).cast("long")
+    def both(df, there, back):
+        """Two edges of every row."""
+        ends = [F.struct(a.alias("src"), b.alias("dst"), w.cast("long").alias("weight")) for a, b, w in (there, back)]
+        return df.select(F.inline(F.array(*ends)))
+
+    zero = F.lit(0)
     st = stops.select("line", "station").distinct()
-    board = st.select(F.concat(F.lit("depart "), F.col("station").cast("string")).alias("src"),
-                      node(F.col("line"), F.col("station")).alias("dst"), zero.alias("weight"))
-    alight = st.select(node(F.col("line"), F.col("station")).alias("src"),
-                       F.concat(F.lit("arrive "), F.col("station").cast("string")).alias("dst"), zero.alias("weight"))
-    links = R.transfer_links(st, stations)
-    hub = F.concat(F.lit("transfer "), F.col("station").cast("string"))
-    xin = links.select(node(F.col("line"), F.col("station")).alias("src"), hub.alias("dst"),
-                       F.col("transfer_time").cast("long").alias("weight"))
-    xout = links.select(hub.alias("src"), node(F.col("line"), F.col("station")).alias("dst"), zero.alias("weight"))
+    here, name = node(F.col("line"), F.col("station")), F.col("station").cast("string")
+    doors = both(st, (F.concat(F.lit("depart "), name), here, zero), (here, F.concat(F.lit("arrive "), name), zero))
+    hub = F.concat(F.lit("transfer "), name)
+    changes = both(R.transfer_links(st, stations), (here, hub, F.col("transfer_time")), (hub, here, zero))
     seg = R.successor_join(stops).where(F.col("from_station") != F.col("to_station")).select(
         "line", F.col("from_station").alias("a"), F.col("to_station").alias("b"))
-    segw = R.undirected_join(seg, travel)
-    fwd = segw.select(node(F.col("line"), F.col("a")).alias("src"), node(F.col("line"), F.col("b")).alias("dst"),
-                      F.col("travel_time").cast("long").alias("weight"))
-    bwd = fwd.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    return board.unionByName(alight).unionByName(xin).unionByName(xout).unionByName(fwd).unionByName(bwd)
+    a, b, time = node(F.col("line"), F.col("a")), node(F.col("line"), F.col("b")), F.col("travel_time")
+    return doors.unionByName(changes).unionByName(both(R.undirected_join(seg, travel), (a, b, time), (b, a, time)))
 
 
 # ------------------------------------------------------------------ shortest paths

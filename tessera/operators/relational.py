@@ -131,10 +131,15 @@ def transfer_links(stops: DataFrame, stations: DataFrame, station="station", lin
 
 
 def successor_join(stops: DataFrame, line="line", seq="seq", station="station") -> DataFrame:
-    """Next stop on the same line: equi join on (line, seq + 1)."""
-    a = stops.select(F.col(line).alias("line"), F.col(seq).alias("from_seq"), F.col(station).alias("from_station"))
-    b = stops.select(F.col(line).alias("line"), (F.col(seq) - 1).alias("from_seq"), F.col(station).alias("to_station"))
-    return a.join(b, ["line", "from_seq"])
+    """Next stop on the same line: every pair of its stops at seq and seq + 1,
+    as an equi join on (line, seq + 1) gives them, from a window over the line,
+    so that stops dealt by their line are not dealt again."""
+    known = stops.where(F.col(line).isNotNull() & F.col(seq).isNotNull())
+    after = Window.partitionBy(line).orderBy(seq).rangeBetween(1, 1)
+    pairs = known.select(
+        F.col(line).alias("line"), F.col(seq).alias("from_seq"), F.col(station).alias("from_station"),
+        F.collect_list(F.struct(F.col(station).alias("to_station"))).over(after).alias("__next"))
+    return pairs.select("line", "from_seq", "from_station", F.inline("__next"))
 
 
 def successor_lead(stops: DataFrame, line="line", seq="seq", station="station") -> DataFrame:
