@@ -14,11 +14,11 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.scan import running_sums
@@ -185,10 +185,10 @@ def boost_until(train: DataFrame, valid: DataFrame, patience: int, first: int =
     loss is the lowest (to within ``tol``), once ``patience`` further ones have
     not lowered it by more.
 
-    The number of trees is doubled until that holds (the first trees of a
-    longer run are those of a shorter one, the seed being the same), then the
-    model is fitted with the best number.  Returns (model, losses on train,
-    losses on valid) by iteration.
+    The number of trees is doubled until that holds; the first trees of a
+    longer run are those of a shorter one, the seed being the same, so the
+    model is the last run cut off at the best number, not a further fit.
+    Returns (model, losses on train, losses on valid) by iteration.
     """
     gbt = GBTClassifier(featuresCol="features", labelCol=label, **params)
     n = first
@@ -197,10 +197,21 @@ def boost_until(train: DataFrame, valid: DataFrame, patience: int, first: int =
         loss = model.evaluateEachIteration(valid)
         best = next(k for k, x in enumerate(loss, start=1) if x <= min(loss) + tol)
         if best + patience <= len(loss):
-            return gbt.copy({gbt.maxIter: best}).fit(train), model.evaluateEachIteration(train), loss
+            return first_trees(model, best), model.evaluateEachIteration(train)[:best], loss
         n = max(2 * n, best + patience)
 
 
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The boosted model of the first ``n`` trees alone."""
+    old, sc = model._java_obj, SparkSession.active().sparkContext
+    trees = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = sc._gateway.new_array(sc._jvm.double, n)
+    for k in range(n):
+        trees[k], weights[k] = old.trees()[k], old.treeWeights()[k]
+    new = GBTClassificationModel(sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"{model.uid}_{n}", trees, weights))
+    return model._copyValues(new)
+
+
 def boosted_multiclass(train: DataFrame, valid: DataFrame, classes: Sequence[float], patience: int = 10, step: float = 0.1,
                        max_depth: int = 5, min_leaf: int = 10, min_gain: float = 0.0, subsample: float = 1.0,
                        feature_subset: str = "all", seed: int = 42, label: str = "label"):

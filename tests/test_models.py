@@ -79,3 +79,20 @@ def test_cells_fit_as_their_rows(spark, rows):
     assert "Exchange hashpartitioning" not in sel._jdf.queryExecution().executedPlan().toString()
     same = spark.range(100).select(F.lit(1).alias("x"), F.lit(None).cast("int").alias("g"))
     assert FE.hash_rank_select(same, "g", ["x"], seed=1, quota=30).where("selected").count() == 30
+
+
+def test_cut_boosting_is_not_fitted_again(spark, monkeypatch):
+    """The best number of trees is cut from the last run, and predicts as a fit of that many."""
+    rows = spark.range(900).select(((F.col("id") * 37) % 101).cast("double").alias("x"), ((F.col("id") * 37) % 101 > 50).cast("double").alias("y"),
+                                   (F.col("id") % 3).alias("part"))
+    d = M.assemble(["x"]).transform(rows.select("x", F.col("y").alias("label"), "part"))
+    fits, fit = [], M.GBTClassifier._fit
+    monkeypatch.setattr(M.GBTClassifier, "_fit", lambda self, df: fits.append(self.getMaxIter()) or fit(self, df))
+    params = {"stepSize": 0.9, "maxDepth": 1, "seed": 3}
+    model, on_train, on_valid = M.boost_until(d.where("part > 0"), d.where("part = 0"), patience=2, first=2, tol=1e-2, **params)
+    n = model.getNumTrees
+    assert fits == sorted(set(fits)) and len(on_train) == n < len(on_valid) == fits[-1]
+    again = fit(M.GBTClassifier(maxIter=n, **params), d.where("part > 0"))
+    assert [r.probability for r in model.transform(d).select("probability").collect()] == [
+        r.probability for r in again.transform(d).select("probability").collect()]
+    assert on_train == again.evaluateEachIteration(d.where("part > 0"))
