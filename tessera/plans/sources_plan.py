@@ -181,10 +181,10 @@ def next_bid_stream(spark, sf_dir):
     files shuffled in time and two that close the log, one file a trigger; the
     watermark's delay covers the log's whole span."""
     ev = tables(spark, sf_dir).events
-    thr = ev.agg(F.count(F.lit(1)) / F.countDistinct("user_id") / F.lit(10.0)).first()[0]
+    n, thr = ev.agg(F.count(F.lit(1)), F.count(F.lit(1)) / F.countDistinct("user_id") / F.lit(10.0)).first()
     src = scratch_path(spark, "events-replay")
     BS.write_replay_files(ev, src, 4)
     out = BS.run_bidder_stream(spark, src, ev.schema, float(thr), scratch_path(spark, "bids-sink"),
-                               scratch_path(spark, "bids-ckpt"), "60 days")
+                               scratch_path(spark, "bids-ckpt"), "60 days", shards=max(64, n // 5_000))
     return out.select("event_type", "user_id", "event_id", "ts", "draws", "wins", F.round("cost", 6).alias("cost"),
                       F.round("cost_seen", 6).alias("cost_seen"), "clicks", "bid", "next_bid")
