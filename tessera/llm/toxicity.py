@@ -29,7 +29,8 @@ from tessera.llm.common import held_out, only, slices
 from tessera.session import scratch_path
 
 _WORD = re.compile(r"[^\W\d_]+")
-_BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
+# a run of white space behind .!? or with a line's end in it; the search stops at white space alone
+_BREAK = re.compile(r"\s(?:(?<=[.!?]\s)\s*|(?<=\n)\s*|[^\S\n]*\n\s*)")
 
 
 @dataclass(frozen=True)
@@ -67,9 +68,10 @@ def sentences(text: str) -> list[tuple[int, int]]:
     space, or with the line."""
     out, start = [], 0
     for m in _BREAK.finditer(text):
-        if text[start:m.start()].strip():
-            out.append((start, m.start()))
-        start = m.end()
+        end, after = m.span()
+        if end > start:  # a break takes its white space whole, so what lies between two is not blank
+            out.append((start, end))
+        start = after
     if text[start:].strip():
         out.append((start, len(text)))
     return out
@@ -79,8 +81,22 @@ def _sentence_words(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
+def _words(docs: DataFrame) -> DataFrame:
+    """docs with the distinct words of each text, joined by a space, in its
+    place: all that the features need, and fewer bytes to shuffle."""
+
+    def run(batches):
+        for part in slices(batches, "text"):
+            words = [" ".join(_sentence_words(t)) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words, pa.string())], ["doc_id", "words"])
+
+    doc_id = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, words string")
+
+
 def _feature_counts(labelled: DataFrame, prefixes: tuple[int, ...], limit: int = 500_000) -> DataFrame:
-    """(feature, n0, n1): documents of either label that hold it."""
+    """(feature, n0, n1): documents of either label that hold it, from their
+    distinct ``words``."""
 
     def run(batches):
         counts: dict[str, list[int]] = {}
@@ -91,9 +107,9 @@ def _feature_counts(labelled: DataFrame, prefixes: tuple[int, ...], limit: int =
                 ["feature", "n0", "n1"],
             )
 
-        for part in slices(batches, "text"):
-            for text, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
-                found = {f for w in _sentence_words(text) for f in word_features(w, prefixes)}
+        for part in slices(batches, "words"):
+            for words, y in zip(part.column("words").to_pylist(), part.column("toxic").to_pylist()):
+                found = {f for w in words.split() for f in word_features(w, prefixes)}
                 for f in found:
                     counts.setdefault(f, [0, 0])[y] += 1
                 if len(counts) > limit:
@@ -101,7 +117,7 @@ def _feature_counts(labelled: DataFrame, prefixes: tuple[int, ...], limit: int =
                     counts.clear()
         yield out()
 
-    return labelled.select("text", "toxic").mapInArrow(run, "feature string, n0 long, n1 long").groupBy("feature").agg(
+    return labelled.select("words", "toxic").mapInArrow(run, "feature string, n0 long, n1 long").groupBy("feature").agg(
         F.sum("n0").alias("n0"), F.sum("n1").alias("n1")
     )
 
@@ -204,7 +220,8 @@ def train(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> Model
     # copies of a text are one example
     one = named.groupBy("h").agg(F.min(F.struct("doc_id", "toxic")).alias("r")).select("r.doc_id", "r.toxic")
     one = _table(one, "toxicity-examples")
-    labelled = _attach(only(docs, "doc_id", "text").filter(F.col("text").isNotNull()), one, t.bitmap_bits)
+    texts = only(docs, "doc_id", "text").filter(F.col("text").isNotNull())
+    labelled = _words(_possible(texts, one, t.bitmap_bits)).join(one, "doc_id")
     totals = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return Model(prefixes=t.prefixes)
@@ -240,6 +257,23 @@ class Scorer:
 
     def __init__(self, model: Model, limit: int = 300_000):
         self.model, self.limit, self.known = model, limit, {}
+        starts = {f[:-1] for f in model.weights if f.endswith("-")}
+        self.starts = [(n, {s for s in starts if len(s) == n}) for n in model.prefixes]
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Notes which of the chunks hold a word that tells.  The words with a
+        feature are found in all chunks at once; only chunks with one are weighed."""
+        words = set(_WORD.findall(" ".join(chunks).lower()))
+        found = words.intersection(self.model.weights)
+        for n, some in self.starts:
+            if not some.isdisjoint([w[:n] for w in words]):
+                found.update(w for w in words if w[:n] in some)
+        self.known.update(dict.fromkeys(chunks, False))
+        if found:
+            for c in chunks:
+                here = _sentence_words(c)
+                if not found.isdisjoint(here):
+                    self.known[c] = any(map(self._word, here))
 
     def _word(self, word: str) -> float:
         return sum(self.model.weights.get(f, 0.0) for f in word_features(word, self.model.prefixes))
@@ -255,14 +289,16 @@ class Scorer:
             self.known = {}
         known, quiet, at_fault = self.known, 0, []
         log_clean, bare = 0.0, -math.log1p(math.exp(self.model.bias))
-        chunks = text.split()
-        for c in set(chunks).difference(known):
-            known[c] = any(map(self._word, _sentence_words(c)))
-        if not any(map(known.__getitem__, chunks)):
+        chunks = set(text.split())
+        new = chunks.difference(known)
+        if new:
+            self._learn(new)
+        telling = {c for c in chunks if known[c]}
+        if not telling:
             quiet = len(sentences(text))
         else:
             for a, b in sentences(text):
-                if not any(map(known.__getitem__, text[a:b].split())):
+                if telling.isdisjoint(text[a:b].split()):
                     quiet += 1
                     continue
                 p = self.sentence(text[a:b])

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -169,3 +170,28 @@ def test_rows_left_are_those_not_predicted(spark):
     assert len(left) == sum(r.score < 0.7 for r in scored) < len(scored)
     assert [tuple(r) for r in left if r.doc_id == -2] == [(-2, "word1 word2.", 0.0, "c", [2])]
     assert {r.doc_id for r in left} >= {None, -1} and m.without_toxic(d.limit(0), lab).isEmpty()
+
+
+def test_only_telling_words_are_weighed(monkeypatch):
+    """Words without a feature cost one look at all of a text's words; breaks are as defined."""
+    model = m.Model({"vile": 9.0, "gri-": 5.0, "nice": 4.0, "nic-": -4.0}, -4.0, (3, 5))
+    asked, word = [], m.Scorer._word
+    monkeypatch.setattr(m.Scorer, "_word", lambda self, w: asked.append(w) or word(self, w))
+    r = random.Random(4)
+    for plain in (True, False):
+        pool = [f"w{c}x" for c in "abcdefgh"] + ["ΣΑΣ", "9", "--"] + ([] if plain else ["Vile,", "grimmer", "nice", "x-vile's"])
+        for _ in range(300):
+            text = "".join(r.choice(pool) + r.choice([" ", ". ", "! \n", "\n \n", "\t", "  "]) for _ in range(r.randrange(30)))
+            text = r.choice(["", " ", "\n", "\x1c."]) + text
+            spans, start = [], 0
+            for b in re.finditer(r"(?<=[.!?])\s+|\s*\n\s*", text):
+                spans.append((start, b.start()))
+                start = b.end()
+            spans = [(a, b) for a, b in [*spans, (start, len(text))] if text[a:b].strip()]
+            assert m.sentences(text) == spans
+            ps = [1 / (1 + math.exp(4.0 - sum(word(m.Scorer(model), w) for w in m._sentence_words(text[a:b])))) for a, b in spans]
+            want = 1 - math.prod(1 - p for p in ps)
+            score, at_fault = m.Scorer(model).text(text)
+            assert score == pytest.approx(want, abs=1e-9)
+            assert [(a, b) for a, b, _ in at_fault] == [s for s, p in zip(spans, ps) if p >= 0.5]
+        assert bool(asked) != plain
