@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.scan import running_sums
+from tessera.session import scratch_path
 
 
 def _log2(x: Column) -> Column:
@@ -153,6 +154,14 @@ def held(cells: DataFrame) -> DataFrame:
     return cells.coalesce(1 + cells.count() // 100_000)
 
 
+def written(cells: DataFrame) -> DataFrame:
+    """``cells`` as a table in the shared folder: what reads them plans and runs
+    none of the steps that made them."""
+    path = scratch_path(cells.sparkSession, "cells")
+    cells.write.parquet(path)
+    return cells.sparkSession.read.schema(cells.schema).parquet(path)
+
+
 def weight_of(df: DataFrame) -> float:
     """Number of rows: of weighted ones, the sum of their weights."""
     return float(df.agg(F.sum(WEIGHT)).first()[0] or 0.0) if WEIGHT in df.columns else float(df.count())
@@ -280,23 +289,27 @@ def param_sweep(train: DataFrame, valid: DataFrame, features: Sequence[str], par
 
 def tree_arrays(model) -> dict[str, np.ndarray]:
     """A fitted tree of continuous splits as arrays: feature (-1 at a leaf),
-    threshold, left, right and the prediction of every node, inner ones too."""
+    threshold, left, right and the prediction of every node, inner ones too.
+    Splits and leaves come in one text; each inner node is asked only for its
+    prediction, as a call to the JVM costs more than a job's share of it."""
     feature, threshold, left, right, value = [], [], [], [], []
+    lines = iter([x for x in map(str.split, model.toDebugString.splitlines()[1:]) if x and x[0] != "Else"])
 
     def visit(node) -> int:
-        k = len(feature)
-        inner = node.getClass().getSimpleName() == "InternalNode"
-        feature.append(node.split().featureIndex() if inner else -1)
-        threshold.append(node.split().threshold() if inner else 0.0)
-        value.append(node.prediction())
+        k, line = len(feature), next(lines)  # If (feature 1 <= 0.5), or Predict: 2.0
+        inner = line[0] == "If"
+        here = node() if inner else None
+        feature.append(int(line[2]) if inner else -1)
+        threshold.append(float(line[4].rstrip(")")) if inner else 0.0)
+        value.append(here.prediction() if inner else float(line[1]))
         left.append(-1)
         right.append(-1)
         if inner:
-            left[k] = visit(node.leftChild())
-            right[k] = visit(node.rightChild())
+            left[k] = visit(here.leftChild)
+            right[k] = visit(here.rightChild)
         return k
 
-    visit(model._java_obj.rootNode())
+    visit(model._java_obj.rootNode)
     return {"feature": np.array(feature), "threshold": np.array(threshold), "left": np.array(left), "right": np.array(right), "value": np.array(value)}
 
 
@@ -322,21 +335,36 @@ def stratified_folds(df: DataFrame, label: str, ids: Sequence[str], num_folds: i
     return ranked.withColumn(out, F.pmod("__rank", F.lit(num_folds)).cast("int")).drop("__mixed", "__rank")
 
 
+def _fold(k: int) -> str:
+    return f"__fold{k}"
+
+
+def fold_cells(folded: DataFrame, features: Sequence[str], label: str, fold_col: str, num_folds: int) -> DataFrame:
+    """``weighted_cells`` of the rows with a fold, and beside the ``WEIGHT`` of
+    a cell's rows that of its rows in each fold."""
+    cells = weighted_cells(folded, features, [label, fold_col]).where(F.col(fold_col).isNotNull())
+    per_fold = [F.sum(F.when(F.col(fold_col) == k, F.col(WEIGHT)).otherwise(0.0)).alias(_fold(k)) for k in range(num_folds)]
+    return assemble(features).transform(cells.groupBy(*features, label).agg(F.sum(WEIGHT).alias(WEIGHT), *per_fold))
+
+
 def grid_search_cv(folded: DataFrame, features: Sequence[str], depths: Sequence[int], leaves: Sequence[int],
                    fold_col: str, label: str = "label", num_folds: int = 5, parallelism: int = 4):
     """Cross-validated accuracy of every (max depth, min leaf): one tree of the
     greatest depth is fitted per (min leaf, fold), and all depths are read from
-    it.  Returns rows (max_depth, min_leaf, mean accuracy over folds)."""
+    it.  The folds' rows are counted side by side in one row per cell, so a fit
+    reads every cell once, not once per fold.  Returns rows (max_depth,
+    min_leaf, mean accuracy over folds)."""
     spark = folded.sparkSession
-    stored = weighted_cells(folded, features, [label, fold_col])
+    stored = written(fold_cells(folded, features, label, fold_col, num_folds))
     data = held(stored)
     try:
-        size = {r[fold_col]: r.n for r in data.groupBy(fold_col).agg(F.sum(WEIGHT).alias("n")).collect()}
+        whole, *size = data.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in (WEIGHT, *map(_fold, range(num_folds)))]).first()
 
         def fit(job):
             leaf, fold = job
-            est = decision_tree(max(depths), leaf, label=label, rows=sum(size.values()) - size.get(fold, 0.0))
-            return tree_arrays(est.fit(data.where(F.col(fold_col) != fold).select("features", label, WEIGHT)))
+            est = decision_tree(max(depths), leaf, label=label, rows=whole - size[fold])
+            rows = data.select("features", label, (F.col(WEIGHT) - F.col(_fold(fold))).alias(WEIGHT))
+            return tree_arrays(est.fit(rows.where(F.col(WEIGHT) > 0)))
 
         jobs = [(leaf, fold) for leaf in leaves for fold in range(num_folds)]
         with ThreadPool(parallelism) as pool:  # trees of a few hundred nodes each
@@ -346,16 +374,17 @@ def grid_search_cv(folded: DataFrame, features: Sequence[str], depths: Sequence[
         def right(batches):
             for b in batches:
                 x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns])
-                y, fold, w = (b.column(c).to_numpy(zero_copy_only=False) for c in (label, fold_col, WEIGHT))
+                y, *folds = (b.column(c).to_numpy(zero_copy_only=False) for c in (label, *map(_fold, range(num_folds))))
                 rows = []
                 for (leaf, k), tree in trees.value.items():
-                    here = fold == k
+                    here = folds[k] > 0
+                    w = folds[k][here]
                     for depth, p in predict_depths(tree, x[here], depths).items():
-                        rows.append((depth, leaf, k, int(w[here][p == y[here]].sum()), int(w[here].sum())))
+                        rows.append((depth, leaf, k, int(w[p == y[here]].sum()), int(w.sum())))
                 names = ["max_depth", "min_leaf", "fold", "hits", "n"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
-        hits = data.select(label, fold_col, WEIGHT, *columns).mapInArrow(right, "max_depth long, min_leaf long, fold long, hits long, n long")
+        hits = data.select(label, *map(_fold, range(num_folds)), *columns).mapInArrow(right, "max_depth long, min_leaf long, fold long, hits long, n long")
         per_fold = hits.groupBy("max_depth", "min_leaf", "fold").agg((F.sum("hits") / F.sum("n")).alias("a"))
         rows = per_fold.groupBy("max_depth", "min_leaf").agg(F.avg("a").alias("a")).collect()
         return sorted((int(r["max_depth"]), int(r["min_leaf"]), float(r["a"])) for r in rows)

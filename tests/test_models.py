@@ -60,6 +60,24 @@ def test_grid_search(spark, sf_dir):
     assert all(0 < r.cv_accuracy < 1 for r in got)
 
 
+def test_folds_are_counted_side_by_side(spark, rows):
+    folded = rows.select("label", *MP._FEATURES, F.expr("CASE WHEN l_orderkey % 7 < 5 THEN l_orderkey % 7 END").cast("int").alias("fold"))
+    cells = M.fold_cells(folded, MP._FEATURES, "label", "fold", 5)
+    # one row per cell whatever the folds: a fit reads no more
+    assert cells.count() == folded.where("fold IS NOT NULL").select("label", *MP._FEATURES).distinct().count()
+    got = cells.agg(F.sum(M.WEIGHT), *[F.sum(M._fold(k)) for k in range(5)]).first()
+    size = {r.fold: r["count"] for r in folded.groupBy("fold").count().collect()}
+    assert list(got) == [sum(size[k] for k in range(5)), *[size[k] for k in range(5)]]
+
+
+def test_tree_as_arrays(rows):
+    model = M.decision_tree(4, 40).fit(rows)
+    tree, root = M.tree_arrays(model), model._java_obj.rootNode()
+    assert len(tree["value"]) == model.numNodes and (tree["feature"] >= 0).sum() * 2 + 1 == model.numNodes
+    for node, k in ((root, 0), (root.leftChild(), tree["left"][0]), (root.rightChild(), tree["right"][0])):
+        assert (node.split().featureIndex(), node.split().threshold(), node.prediction()) == (tree["feature"][k], tree["threshold"][k], tree["value"][k])
+
+
 def test_cells_fit_as_their_rows(spark, rows):
     from tessera.operators import features as FE
 
