@@ -2,19 +2,20 @@
 
 * Words are 64-bit hashes; a word's id is its place among the sorted hashes of
   the training corpus.
-* The key of an n-gram is the place of its first n - 1 words among the level
-  below and the id of its last word in one 64-bit number, run through an
-  invertible mixing: exact, and spread evenly whatever the words, so a frequent
-  word's n-grams lie in all segments and no task gets a hot key.  A text begins
-  behind one start, which only begins n-grams.
-* Tasks count keys in large pieces of text before the shuffle, level by level;
-  each segment is then sorted and written as arrays (keys, counts) to the
-  shared folder.  Workers memory-map them; nothing of the model passes the
-  driver but a dozen totals a level.
+* The key of an n-gram is the places of its first and of its last n - 1 words
+  among the level below (a word's: its id) in one number of as few bits as they
+  need (64 at most), run through an invertible mixing: exact, and spread evenly
+  whatever the words, so a frequent word's n-grams lie in all segments and no
+  task gets a hot key.  A text begins behind one start, which only begins n-grams.
+* Tasks count keys in large pieces of text before the shuffle, level by level,
+  and send each segment a row of its sorted keys' steps and their counts; each
+  segment is then merged and written as arrays (keys, counts) to the shared
+  folder.  Workers memory-map them; nothing of the model passes the driver but
+  a dozen totals a level.
 * From the highest level down, every n-gram adds to the continuation count of
   its last n - 1 words and to the followers (their sum, and how many count one,
-  two and more) of its first n - 1.  These are summed per segment, aggregated
-  by place and written as arrays as well.
+  two and more) of its first n - 1.  These are summed per segment, sent in a row
+  per block of places, added up there and written as rows of bytes.
 
 P(w | u) = max(a(u w) - D(a), 0) / a(u .) + g(u) P(w | u without its first
 word); a is the count at the highest level and for n-grams behind the start,
@@ -25,16 +26,17 @@ values a level, for counts 1, 2 and more.
 
 from __future__ import annotations
 
-from collections import Counter
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.arrays import Segments, batch, map_array, segment_writer, write_array
+from tessera.llm.arrays import Keys, Rows, batch, from_steps, packed, steps, unpacked, write_rows
 from tessera.llm.common import held_out, only, slices, utf8
 from tessera.session import scratch_path
 
@@ -42,29 +44,37 @@ END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds white space
 _ODD1, _ODD2 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
+def mix(x: np.ndarray, bits: int = 64) -> np.ndarray:
+    """A bijection of numbers of so many bits: xor-shifts and odd factors."""
+    x, half, mask = x.view(np.uint64), np.uint64(bits // 2 + 1), np.uint64((1 << bits) - 1)
+    x = ((x ^ (x >> half)) * np.uint64(_ODD1)) & mask
+    x = ((x ^ (x >> half)) * np.uint64(_ODD2)) & mask
+    return (x ^ (x >> half)).view(np.int64)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers: xor-shifts and odd factors."""
-    x = x.view(np.uint64)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(_ODD1)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(_ODD2)
-    return (x ^ (x >> np.uint64(33))).view(np.int64)
+def unmix(x: np.ndarray, bits: int = 64) -> np.ndarray:
+    """Inverse of mix."""
+    x, half, mask = x.view(np.uint64), np.uint64(bits // 2 + 1), np.uint64((1 << bits) - 1)
+    x = ((x ^ (x >> half)) * np.uint64(pow(_ODD2, -1, 1 << 64))) & mask
+    x = ((x ^ (x >> half)) * np.uint64(pow(_ODD1, -1, 1 << 64))) & mask
+    return (x ^ (x >> half)).view(np.int64)
 
 
-def unmix(x: np.ndarray) -> np.ndarray:
-    """Inverse of mix."""
-    x = x.view(np.uint64)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(pow(_ODD2, -1, 1 << 64))
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(pow(_ODD1, -1, 1 << 64))
-    return (x ^ (x >> np.uint64(33))).view(np.int64)
+def tokens(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """A-Z lower-cased words of UTF-8 texts in a row, without the ends, and the
+    number of each text's."""
+    if texts.offset:
+        texts = pa.concat_arrays([texts])
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.binary()).view(pa.string())))
+    words, text = lists.flatten(), pc.list_parent_indices(lists)
+    real = pc.greater(pc.binary_length(words), 0)  # white space at an end splits off an empty one
+    return words.filter(real).dictionary_encode(), np.bincount(text.filter(real).to_numpy(zero_copy_only=False), minlength=len(texts))
 
 
-def tokens(data: bytes) -> list[bytes]:
-    """A-Z lower-cased words of UTF-8 text, without the end."""
-    return data.lower().split()
+def _hashes(words: pa.DictionaryArray) -> np.ndarray:
+    """Hashes of the distinct words."""
+    distinct = words.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -77,6 +87,7 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 BLOCK = 1 << 20
+SLICE = 4 << 20  # bytes of text at once
 
 
 @dataclass(frozen=True)
@@ -102,111 +113,88 @@ def _name(n: int) -> str:
 
 
 class Words:
-    """Ids of words by the memory-mapped vocabulary; ids of recent words are
-    kept up to ``limit``.  Unknown words are -1."""
-
-    def __init__(self, folder: str, bits: int, limit: int = 200_000):
-        self.table, self.limit, self.known = Segments(folder, "word", bits, np.int64), limit, {}
-        place, _ = self.table.find(np.array([_signed(END)], np.int64))
-        self.end = int(place[0])
-        self.size = int(self.table.offsets[-1])
-
-    def ids(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Ids of all texts' words in a row."""
-        if len(self.known) > self.limit:
-            self.known = {}
-        new = set()
-        for t in texts:
-            new.update(t)
-        new = list(new.difference(self.known))
-        if new:
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)).view(np.int64)
-            order = np.argsort(h)
-            place = np.empty(len(new), np.int64)
-            place[order] = self.table.find(h[order])[0]
-            self.known.update(zip(new, place.tolist()))
-        get = self.known.__getitem__
-        return np.fromiter((i for t in texts for i in map(get, t)), np.int64, sum(map(len, texts)))
-
-    def sequence(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of every text's words and its end in a row, place of every
-        text's first, tokens per text)."""
-        n = np.array([len(t) + 1 for t in texts], np.int64)
+    """Ids of words by the memory-mapped vocabulary; unknown words are -1."""
+
+    def __init__(self, m: Model):
+        self.table = Keys(m.folder, _name(1), m.bits[0], 64)
+        self.end = [int(x[0]) for x in self.table.find(np.array([END], np.uint64))]
+
+    def sequence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids and training counts of every text's words and its end in a row,
+        place of every text's first, tokens per text)."""
+        words, n = tokens(texts)
+        h, at = _hashes(words), words.indices.to_numpy()
+        order = np.argsort(h)
+        n = n.astype(np.int64) + 1
         ends = np.cumsum(n)
-        word = np.full(int(n.sum()), self.end, np.int64)
-        inner = np.ones(len(word), bool)
+        inner = np.ones(int(n.sum()), bool)
         inner[ends - 1] = False
-        word[inner] = self.ids(texts)
-        return word, ends - n, n
+        out = []
+        for found, end in zip(self.table.find(h[order]), self.end):
+            x = np.empty(len(h), np.int64)
+            x[order] = found
+            out.append(np.full(len(inner), end, np.int64))
+            out[-1][inner] = x[at]
+        return *out, ends - n, n
+
+
+def _after(x: np.ndarray, starts: np.ndarray, first) -> np.ndarray:
+    """Of every token what x holds for the one before; at a text's first, first."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[starts] = first
+    return out
 
 
 class Grams:
     """The n-grams of levels 2 to ``top`` by their memory-mapped segments."""
 
     def __init__(self, m: Model, top: int):
-        self.shift = (m.words + 1).bit_length()  # word ids and the start's, which is the vocabulary size
-        self.words = m.words
-        self.levels = {n: Segments(m.folder, _name(n), m.bits[n - 1], np.uint32) for n in range(2, top + 1)}
-
-    def keys(self, prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
-        if len(prefix) and int(prefix.max()) >> (64 - self.shift):
-            raise ValueError("places and word ids do not fit 64 bits")
-        return mix((prefix.view(np.uint64) << np.uint64(self.shift)) | word.view(np.uint64))
-
-    def parts(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the first words, id of the last) of keys."""
-        x = unmix(keys).view(np.uint64)
-        return (x >> np.uint64(self.shift)).view(np.int64), (x & np.uint64((1 << self.shift) - 1)).view(np.int64)
-
-    def find(self, n: int, prefix: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place or -1, count or 0) of n-grams; each distinct one is looked up
-        once.  Places and ids of -1 are unknown."""
-        place, count = np.full(len(word), -1, np.int64), np.zeros(len(word), np.int64)
-        here = np.flatnonzero((prefix >= 0) & (word >= 0))
-        keys, back = np.unique(self.keys(prefix[here], word[here]), return_inverse=True)
-        at, c = self.levels[n].find(keys)
-        place[here], count[here] = at[back], c[back]
-        return place, count
-
-    def chain(self, n: int, word: np.ndarray, starts: np.ndarray):
-        """For levels 2 to n: (place of the words before every token, place and
-        count with the token)."""
-        out, place = [], word
-        for k in range(2, n + 1):
-            prefix = np.empty_like(word)
-            prefix[1:] = place[:-1]
-            prefix[starts] = self.words if k == 2 else -1  # one start: nothing stands before it
-            place, count = self.find(k, prefix, word)
-            out.append((prefix, place, count))
-        return out
+        self.m = m
+        self.half = {n: max(8, m.grams[n - 2].bit_length()) for n in range(2, len(m.grams) + 2)}
+        self.levels = {n: Keys(m.folder, _name(n), m.bits[n - 1], 2 * self.half[n]) for n in range(2, top + 1)}
 
-    def rest(self, n: int, prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Place of the last n - 1 words of n-grams, given by their parts."""
-        if n == 2:
-            return word
-        level = self.levels[n - 1]
-        segment = np.searchsorted(level.offsets, prefix, side="right") - 1
-        keys = np.empty(len(prefix), np.int64)
-        order = np.argsort(segment, kind="stable")
-        ends = np.searchsorted(segment[order], np.arange(len(level.keys)), side="right")
-        a = 0
-        for i, e in enumerate(ends):
-            if e > a:
-                keys[order[a:e]] = level.keys[i][prefix[order[a:e]] - level.offsets[i]]
-            a = e
-        return self.find(n - 1, self.rest(n - 1, *self.parts(keys)), word)[0]
+    def keys(self, n: int, prefix: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Keys of n-grams by the places of their first and last n - 1 words."""
+        half = self.half[n]
+        if half > 32:
+            raise ValueError("two places do not fit 64 bits")
+        return mix((prefix.view(np.uint64) << np.uint64(half)) | rest.view(np.uint64), 2 * half).view(np.uint64)
+
+    def parts(self, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the first, of the last n - 1 words) of keys."""
+        half = np.uint64(self.half[n])
+        x = unmix(keys, 2 * self.half[n]).view(np.uint64)
+        return (x >> half).view(np.int64), (x & ((np.uint64(1) << half) - np.uint64(1))).view(np.int64)
+
+    def pairs(self, n: int, place: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens whose n-gram can be known, its key), given the place of the
+        last n - 1 words at every token (-1: unknown)."""
+        prefix = _after(place, starts, self.m.words if n == 2 else -1)  # one start: nothing stands before it
+        here = np.flatnonzero((prefix >= 0) & (place >= 0))
+        return here, self.keys(n, prefix[here], place[here])
+
+    def step(self, n: int, place: np.ndarray, starts: np.ndarray):
+        """(tokens, for each the number of its n-gram among the distinct ones,
+        their places, their counts); each distinct one is looked up once."""
+        here, keys = self.pairs(n, place, starts)
+        keys, back = np.unique(keys, return_inverse=True)
+        return here, back, *self.levels[n].find(keys)
+
+
+FIGURES = ("cont", "total", "n1", "n2", "n3")
 
 
 class Figures:
-    """An array of figures by place, in memory-mapped blocks."""
+    """Rows of figures by place, in memory-mapped blocks."""
 
-    def __init__(self, m: Model, kind: str, n: int, dtype):
+    def __init__(self, m: Model, n: int):
         self.size = m.block
-        self.blocks = [map_array(m.folder, f"{kind}{n}-{i}", dtype) for i in range((m.grams[n - 1] + m.block - 1) // m.block)]
+        self.blocks = [Rows(m.folder, f"figures{n}-{i}", len(FIGURES)) for i in range((m.grams[n - 1] + m.block - 1) // m.block)]
 
     def __getitem__(self, places: np.ndarray) -> np.ndarray:
-        """Values of places (-1: 0)."""
-        out, number = np.zeros(len(places)), places // self.size
+        """Rows of places (-1: 0)."""
+        out, number = np.zeros((len(places), len(FIGURES)), np.int64), places // self.size
         for k in np.unique(number[places >= 0]).tolist():
             if len(self.blocks[k]):
                 here = np.flatnonzero(number == k)
@@ -218,63 +206,75 @@ def _bits(rows: int, per_segment: int = 2_000_000) -> int:
     return max(0, int(np.ceil(np.log2(max(rows, 1) / per_segment))))
 
 
-def _sorted_segments(df: DataFrame, bits: int) -> DataFrame:
-    """Rows (key, value) summed by key and sorted within segments, in one
-    shuffle: the rows come summed from large pieces of the corpus already."""
-    part = F.shiftright("key", 64 - bits) + (1 << bits >> 1) if bits else F.lit(0)
-    return (
-        df.withColumn("part", part.cast("int")).repartition(1 << bits, "part").groupBy("part", "key").agg(F.sum("value").alias("value"))
-        .sortWithinPartitions("part", "key")
-    )
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), utf8(F.col("text")).alias("text"))
 
 
-def _count_words(train: DataFrame, limit: int = 200_000) -> DataFrame:
-    def run(batches):
-        counts: Counter = Counter()
+def _pieces(number: np.ndarray):
+    """(number, start, end) of the runs of sorted numbers."""
+    cuts = np.flatnonzero(np.diff(number, prepend=number[:1] - 1 if len(number) else []))
+    return zip(number[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(number)])
+
+
+def _by_part(keys: np.ndarray, counts: np.ndarray, rest: int):
+    """A row of keys and counts for every segment among the sorted keys."""
+    for i, a, e in _pieces((keys >> np.uint64(rest)).astype(np.int64)):
+        yield batch(part=pa.array([i], pa.int32()), keys=[steps(keys[a:e] & np.uint64((1 << rest) - 1))], counts=[packed(counts[a:e])])
 
-        def out():
-            keys = np.fromiter(map(xxhash.xxh3_64_intdigest, counts), np.uint64, len(counts)).view(np.int64)
-            return batch(key=pa.array(keys), value=pa.array(list(counts.values()), pa.int64()))
 
-        docs = 0
-        for part in slices(batches, "text", 2 << 20):
-            for data in part.column("text").to_pylist():
-                counts.update(tokens(data))
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in order, their sums)."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    return keys[first], np.add.reduceat(counts, first)
+
+
+_COUNTED = "part int, keys binary, counts binary"
+
+
+def _count_words(train: DataFrame, m: Model, limit: int = 1_000_000) -> DataFrame:
+    """Rows of sorted hashes and counts of words by segment."""
+    rest = 64 - m.bits[0]
+
+    def run(batches):
+        held, size, docs = [], 0, 0
+        for part in slices(batches, "text", SLICE):
+            words, _ = tokens(part.column("text"))
+            held.append((_hashes(words), np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))))
+            size += len(held[-1][0])
             docs += part.num_rows
-            if len(counts) > limit:
-                yield out()
-                counts.clear()
-        if counts:
-            yield out()
+            if size > limit:
+                held = [_summed(*map(np.concatenate, zip(*held)))]
+                size = len(held[0][0])
+                if 2 * size > limit:
+                    yield from _by_part(*held[0], rest)
+                    held, size = [], 0
         if docs:
-            yield batch(key=pa.array([_signed(END)], pa.int64()), value=pa.array([docs], pa.int64()))
+            held.append((np.array([END], np.uint64), np.array([docs])))
+            yield from _by_part(*_summed(*map(np.concatenate, zip(*held))), rest)
 
-    return train.select("text").mapInArrow(run, "key long, value long")
+    return train.select("text").mapInArrow(run, _COUNTED)
 
 
 def _count_grams(train: DataFrame, m: Model, n: int, limit: int = 3_000_000) -> DataFrame:
-    """Keys and counts of level n; the levels below are written."""
+    """Rows of sorted keys and counts of level n by segment; the levels below
+    are written."""
 
     def run(batches):
-        words, grams, held, size = Words(m.folder, m.bits[0]), Grams(m, n - 1), [], 0
+        words, grams, held, size = Words(m), Grams(m, n - 1), [], 0
+        rest = 2 * grams.half[n] - m.bits[n - 1]
 
         def out():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            for a in range(0, len(keys), 100_000):
-                yield batch(key=pa.array(keys[a:a + 100_000]), value=pa.array(counts[a:a + 100_000].astype(np.int64)))
-
-        for part in slices(batches, "text", 2 << 20):
-            word, starts, _ = words.sequence([tokens(d) for d in part.column("text").to_pylist()])
-            below = grams.chain(n - 1, word, starts)
-            prefix = np.empty_like(word)
-            prefix[1:] = (below[-1][1] if below else word)[:-1]
-            prefix[starts] = m.words if n == 2 else -1
-            here = prefix >= 0
-            held.append(grams.keys(prefix[here], word[here]))
+            return _by_part(*np.unique(np.concatenate(held), return_counts=True), rest)
+
+        for part in slices(batches, "text", SLICE):
+            place, _, starts, _ = words.sequence(part.column("text"))
+            for k in range(2, n):
+                here, back, at, _ = grams.step(k, place, starts)
+                place = np.full(len(place), -1, np.int64)
+                place[here] = at[back]
+            held.append(grams.pairs(n, place, starts)[1])
             size += len(held[-1])
             if size > limit:
                 yield from out()
@@ -282,26 +282,57 @@ def _count_grams(train: DataFrame, m: Model, n: int, limit: int = 3_000_000) ->
         if held:
             yield from out()
 
-    return train.select("text").mapInArrow(run, "key long, value long")
+    return train.select("text").mapInArrow(run, _COUNTED)
+
+
+def _by_number(df: DataFrame, number: str, n: int, merge, schema: str) -> DataFrame:
+    """What merge(number, rows) gives for all rows of each number below n."""
+
+    def run(batches):
+        now, rows = None, []
+        for b in batches:
+            for row in b.to_pylist():
+                if rows and row[number] != now:
+                    yield merge(now, rows)
+                    rows = []
+                now = row[number]
+                rows.append(row)
+        if rows:
+            yield merge(now, rows)
+
+    return df.repartition(n, number).sortWithinPartitions(number).mapInArrow(run, schema)
+
+
+def _write_keys(counted: DataFrame, m: Model, n: int) -> list[int]:
+    """Writes the segments of level n; gives how many keys it has and the sum
+    of their counts."""
+    folder, bits = m.folder, m.bits[n - 1]
+    rest = (64 if n == 1 else 2 * Grams(m, 1).half[n]) - bits
+
+    def merge(part, rows):
+        keys, counts = _summed(*(np.concatenate([f(r[c]) for r in rows]) for f, c in ((from_steps, "keys"), (unpacked, "counts"))))
+        Keys.write(folder, _name(n), part, rest, keys, counts.astype(np.int64))
+        return batch(n=[len(keys)], total=[int(counts.sum())])
+
+    return _sums(_by_number(counted, "part", 1 << bits, merge, "n long, total long"), "n", "total")
 
 
 def _by_segment(spark: SparkSession, m: Model, n: int, describe, schema: str) -> DataFrame:
-    """What describe(grams, keys, a) gives for every segment of level n, a
+    """What describe(grams, keys, a) yields for every segment of level n, a
     being the counts that the level's probabilities use."""
 
     def run(batches):
         grams = Grams(m, n)
-        level = grams.levels[n]
-        cont = Figures(m, "cont", n, np.uint32) if n < m.order else None
+        cont = Figures(m, n) if n < m.order else None
         for b in batches:
             for i in b.column("id").to_pylist():
-                keys, a = np.array(level.keys[i]), np.array(level.values[i], np.int64)
+                keys, a = grams.levels[n].segment(i)
                 if cont is not None:
                     # only what begins with the start has no word before it
-                    c = cont[np.arange(len(keys)) + level.offsets[i]].astype(np.int64)
+                    c = cont[np.arange(len(keys)) + grams.levels[n].offsets[i]][:, 0]
                     a = np.where(c > 0, c, a)
                 if len(keys):
-                    yield describe(grams, keys, a)
+                    yield from describe(grams, keys, a)
 
     parts = 1 << m.bits[n - 1]
     return spark.range(0, parts, 1, parts).mapInArrow(run, schema)
@@ -316,57 +347,46 @@ def _sums(df: DataFrame, *names: str) -> list[int]:
     return [row[c] or 0 for c in names]
 
 
-def _write_figures(spark: SparkSession, m: Model, n: int, d: tuple[float, float, float]) -> list[int]:
-    """Figures of level n - 1 out of level n, whose discounts are d.  Gives how
-    many of its continuation counts are 1, 2, 3, 4 and above 2, and their sum."""
+def _write_figures(spark: SparkSession, m: Model, n: int) -> list[int]:
+    """Figures of level n - 1 out of level n.  Gives how many of its
+    continuation counts are 1, 2, 3, 4 and above 2, and their sum."""
 
     def figures(grams, keys, a):
-        prefix, word = grams.parts(keys)
-        rest = grams.rest(n, prefix, word)
+        prefix, rest = grams.parts(n, keys)
         ids, at = np.unique(np.concatenate([prefix, rest]), return_inverse=True)
         before, behind = at[:len(prefix)], at[len(prefix):]
         count = lambda x, **k: np.bincount(x, minlength=len(ids), **k).astype(np.int64)
-        return batch(place=ids, cont=count(behind), total=count(before, weights=a), n1=count(before[a == 1]), n2=count(before[a == 2]), n3=count(before[a > 2]))
-
-    names = ("cont", "total", "n1", "n2", "n3")
-    seen = _by_segment(spark, m, n, figures, "place long, " + ", ".join(f"{c} long" for c in names)).groupBy("place").agg(
-        *[F.sum(c).alias(c) for c in names]
-    )
-    whole = np.int64 if n == 2 else np.uint32  # counts of n-grams above words are held in 32 bits
-
-    def by_place(batches):
-        now, ids, rows = None, [], []
+        f = np.stack([count(behind), count(before, weights=a), count(before[a == 1]), count(before[a == 2]), count(before[a > 2])])
+        for k, i, e in _pieces(ids // m.block):
+            yield batch(block=[k], places=[steps(ids[i:e] % m.block)], figures=[packed(f[:, i:e].ravel())])
+
+    def merge(block, rows):
+        f = np.zeros((len(FIGURES), min(m.block, m.grams[n - 2] - block * m.block)), np.int64)
+        for r in rows:
+            places = from_steps(r["places"]).astype(np.int64)
+            f[:, places] += unpacked(r["figures"]).astype(np.int64).reshape(len(FIGURES), -1)
+        write_rows(m.folder, f"figures{n - 1}-{block}", f.T)
+        return batch(**_of_counts(f[0]), more=[int((f[0] > 2).sum())], pairs=[int(f[0].sum())])
+
+    seen = _by_segment(spark, m, n, figures, "block long, places binary, figures binary")
+    out = ("n1", "n2", "n3", "n4", "more", "pairs")
+    return _sums(_by_number(seen, "block", m.grams[n - 2] // m.block + 1, merge, ", ".join(f"{c} long" for c in out)), *out)
 
-        def done():
-            at, f = np.concatenate(ids), np.concatenate(rows, axis=1)
-            size = min(m.block, m.grams[n - 2] - now * m.block)
-            for kind, x, dtype in (("cont", f[0], whole), ("total", f[1], whole), ("rest", d[0] * f[2] + d[1] * f[3] + d[2] * f[4], float)):
-                out = np.zeros(size, dtype)
-                out[at] = x
-                write_array(m.folder, f"{kind}{n - 1}-{now}", out)
-            return batch(**_of_counts(f[0]), more=[int((f[0] > 2).sum())], pairs=[int(f[0].sum())])
 
-        for b in batches:
-            k = b.column("block").to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
-            data = np.array([b.column(x).to_numpy() for x in names], float)
-            place = b.column("place").to_numpy()
-            for a, e in zip(cuts[:-1], cuts[1:]):
-                if e == a:
-                    continue
-                if now is not None and k[a] != now:
-                    yield done()
-                    ids, rows = [], []
-                now = int(k[a])
-                ids.append(place[a:e] % m.block)
-                rows.append(data[:, a:e])
-        if now is not None:
-            yield done()
-
-    blocks = seen.withColumn("block", F.expr(f"place div {m.block}"))
-    out = ("n1", "n2", "n3", "n4", "more", "pairs")
-    return _sums(blocks.repartition(m.grams[n - 2] // m.block + 1, "block").sortWithinPartitions("block").mapInArrow(
-        by_place, ", ".join(f"{c} long" for c in out)), *out)
+@contextmanager
+def _dropping_shuffles(spark: SparkSession):
+    """What a query has shuffled goes when it ends: a level's arrays are
+    written by then, and nothing reads its counts again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def fit(spark: SparkSession, train: DataFrame, order: int = 2) -> Model:
@@ -374,28 +394,24 @@ def fit(spark: SparkSession, train: DataFrame, order: int = 2) -> Model:
     empty; every text ends with an end token) and write its arrays."""
     if order < 2:
         raise ValueError("order must be 2 or more")
+    with _dropping_shuffles(spark):
+        return _fit(spark, _texts(train), order)
+
+
+def _fit(spark: SparkSession, train: DataFrame, order: int) -> Model:
     folder = scratch_path(spark, "kneser-ney")
-    train = _texts(train)
     # the vocabulary has about as many segments as a shuffle has partitions
     word_bits = int(np.ceil(np.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))))
-
-    def describe(part, keys, values):
-        return batch(n=[len(keys)], total=[int(values.sum())])
-
-    def written(counts, n, bits):
-        return _sums(_sorted_segments(counts, bits).mapInArrow(
-            segment_writer(folder, _name(n), np.int64 if n == 1 else np.uint32, describe), "n long, total long"), "n", "total")
-
-    words, n_tokens = written(_count_words(train), 1, word_bits)
-    m = Model(folder, order, (word_bits,), words, n_tokens, train.count(), (words + 1,), BLOCK)
+    m = Model(folder, order, (word_bits,), 0, 0, train.count(), (), BLOCK)
+    words, n_tokens = _write_keys(_count_words(train, m), m, 1)
+    m = replace(m, words=words, tokens=n_tokens, grams=(words + 1,))
     for n in range(2, order + 1):
-        bits = _bits(n_tokens, 2_000_000)
-        size, _ = written(_count_grams(train, m, n), n, bits)
-        m = replace(m, bits=(*m.bits, bits), grams=(*m.grams, size))
+        m = replace(m, bits=(*m.bits, _bits(n_tokens, 2_000_000)))
+        m = replace(m, grams=(*m.grams, _write_keys(_count_grams(train, m, n), m, n)[0]))
     d, rest = [], 1.0
     for n in range(order, 1, -1):
-        d.insert(0, discounts(_sums(_by_segment(spark, m, n, lambda _, keys, a: batch(**_of_counts(a)), "n1 long, n2 long, n3 long, n4 long"), "n1", "n2", "n3", "n4")))
-        *ns, more, pairs = _write_figures(spark, m, n, d[0])
+        d.insert(0, discounts(_sums(_by_segment(spark, m, n, lambda _, keys, a: [batch(**_of_counts(a))], "n1 long, n2 long, n3 long, n4 long"), "n1", "n2", "n3", "n4")))
+        *ns, more, pairs = _write_figures(spark, m, n)
     d.insert(0, discounts(ns))
     if pairs:
         rest = sum(x * k for x, k in zip(d[0], (ns[0], ns[1], more))) / pairs
@@ -406,44 +422,44 @@ class Scorer:
     """Probabilities by a model's memory-mapped arrays."""
 
     def __init__(self, m: Model):
-        self.m, self.words, self.grams = m, Words(m.folder, m.bits[0]), Grams(m, m.order)
-        kinds = lambda kind, dtype: {n: Figures(m, kind, n, np.int64 if n == 1 else dtype) for n in range(1, m.order)}
-        self.cont, self.total = kinds("cont", np.uint32), kinds("total", np.uint32)
-        self.rest = {n: Figures(m, "rest", n, float) for n in range(1, m.order)}
-
-    def _counts(self, ids: np.ndarray) -> np.ndarray:
-        """Training count of ids (-1: 0)."""
-        out = np.zeros(len(ids))
-        t = self.words.table
-        segment = np.searchsorted(t.offsets, ids, side="right") - 1
-        for k, v in enumerate(t.values):
-            here = (segment == k) & (ids >= 0)
-            if here.any():
-                out[here] = v[ids[here] - t.offsets[k]]
-        return out
+        self.m, self.words, self.grams = m, Words(m), Grams(m, m.order)
+        self.figures = {n: Figures(m, n) for n in range(1, m.order)}
 
     @staticmethod
     def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
         return np.select([c == 0, c == 1, c == 2], [0.0, d[0], d[1]], d[2])
 
-    def batch(self, texts: list[bytes]):
+    def _followers(self, k: int, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of the followers' counts, what is taken off them) by figures of level k."""
+        d = self.m.d[k]
+        return f[:, 1].astype(float), d[0] * f[:, 2] + d[1] * f[:, 3] + d[2] * f[:, 4]
+
+    def batch(self, texts: pa.Array):
         """(tokens, known, base log10, model log10) of each text."""
         m = self.m
-        w, starts, n = self.words.sequence([tokens(t) for t in texts])
+        w, cw, starts, n = self.words.sequence(texts)
         ids, back = np.unique(w, return_inverse=True)
-        cw, cont = self._counts(ids)[back], self.cont[1][ids][back]
-        p = np.full(len(w), m.word_rest / (m.words + 1))
+        f = self.figures[1][ids]
+        p = np.full(len(ids), m.word_rest / (m.words + 1))
         if m.grams[1]:
-            p += np.maximum(cont - self._discount(cont, m.d[0]), 0) / m.grams[1]
-        for k, (prefix, place, count) in enumerate(self.grams.chain(m.order, w, starts), 2):
-            a = count.astype(float)
-            if k < m.order:
-                c = self.cont[k][place]
-                a = np.where(c > 0, c, a)
-            total = self.total[k - 1][prefix]
+            p += np.maximum(f[:, 0] - self._discount(f[:, 0], m.d[0]), 0) / m.grams[1]
+        p = p[back]
+        place, (total, rest) = w, (x[back] for x in self._followers(1, f))
+        first = [x[0] for x in self._followers(1, self.figures[1][np.array([m.words])])]
+        for k in range(2, m.order + 1):
+            here, back, at, count = self.grams.step(k, place, starts)
+            total, rest = (_after(x, starts, y) for x, y in zip((total, rest), first))
+            f = self.figures[k][at] if k < m.order else None
+            a = count if f is None else np.where(f[:, 0] > 0, f[:, 0], count)
+            seen = np.zeros(len(w))
+            seen[here] = np.maximum(a - self._discount(a, m.d[k - 1]), 0)[back]
             with np.errstate(divide="ignore", invalid="ignore"):
-                higher = np.maximum(a - self._discount(a, m.d[k - 1]), 0) / total + self.rest[k - 1][prefix] / total * p
-            p = np.where(total > 0, higher, p)
+                p = np.where(total > 0, (seen + rest * p) / total, p)
+            if f is not None:
+                place, total, rest, first = np.full(len(w), -1, np.int64), np.zeros(len(w)), np.zeros(len(w)), (0.0, 0.0)
+                place[here] = at[back]
+                for x, y in zip((total, rest), self._followers(k, f)):
+                    x[here] = y[back]
         score = np.log10(p)
         base = np.log10((cw + 0.5) / (m.tokens + 0.5 * (m.words + 1)))
         sums = [np.add.reduceat(x, starts) if len(n) else np.zeros(0) for x in ((cw > 0).astype(np.int64), base, score)]
@@ -459,8 +475,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         scorer = Scorer(model)
-        for part in slices(batches, "text", 2 << 20):
-            n, known, base, own = scorer.batch(part.column("text").to_pylist())
+        for part in slices(batches, "text", SLICE):
+            n, known, base, own = scorer.batch(part.column("text"))
             yield batch(doc_id=part.column("doc_id"), n_tokens=n, n_known=known, base_score=base, score=own)
 
     return _texts(docs).mapInArrow(run, SCHEMA)

@@ -165,3 +165,58 @@ def test_higher_probabilities_sum_to_one():
     _, p, words, followers = _brute_of(_mixed_rows(), 3)
     for u in list(followers)[:200]:
         assert sum(p(w, u) for w in words) + p(b"unseen word", u) == pytest.approx(1)
+
+
+def test_packed_numbers():
+    for x in ([], [0], [1, 255, 256, 2**40, 2**64 - 1], [7] * 5):
+        assert arrays.unpacked(arrays.packed(np.array(x, np.uint64))).tolist() == x
+        assert arrays.from_steps(arrays.steps(np.array(x, np.uint64))).tolist() == x
+    # near numbers take a byte or two each
+    assert len(arrays.steps(np.arange(10**12, 10**12 + 10**5, 100, dtype=np.uint64)[1:] - np.uint64(10**12))) < 1100
+
+
+def test_rows_of_bytes_hold_any_count(tmp_path):
+    rows = np.array([[0, 1], [254, 3], [255, 0], [2, 10**12], [5, 6]], np.int64)
+    arrays.write_rows(str(tmp_path), "x", rows)
+    got = arrays.Rows(str(tmp_path), "x", 2)
+    assert got[np.array([3, 0, 2, 1, 4])].tolist() == rows[[3, 0, 2, 1, 4]].tolist() and got[:].tolist() == rows.tolist()
+
+
+@pytest.mark.parametrize("bits, width", [(0, 64), (2, 64), (1, 16), (3, 40), (2, 50)])
+def test_keys_are_found(tmp_path, bits, width):
+    r = np.random.default_rng(width)
+    # runs of neighbours: alike in their high bits
+    keys = np.unique((r.integers(0, 1 << (width - 3), 300).astype(np.uint64)[:, None] * np.uint64(5) + np.arange(4, dtype=np.uint64)) & np.uint64((1 << width) - 1))
+    here = r.random(len(keys)) < 0.5
+    kept, rest = keys[here], width - bits
+    counts = np.arange(len(kept)) % 400 + 1
+    for i in range(1 << bits):
+        mine = (kept >> np.uint64(rest)) == i if rest < 64 else np.ones(len(kept), bool)
+        if mine.any():
+            arrays.Keys.write(str(tmp_path), "k", i, rest, kept[mine] & np.uint64((1 << rest) - 1), counts[mine])
+    table = arrays.Keys(str(tmp_path), "k", bits, width)
+    place, count = table.find(keys)
+    assert place[here].tolist() == list(range(len(kept))) and (place[~here] == -1).all()
+    assert count[here].tolist() == counts.tolist() and not count[~here].any()
+    assert np.concatenate([table.segment(i)[0] for i in range(1 << bits)]).tolist() == kept.tolist()
+
+
+@pytest.mark.parametrize("bits", [16, 34, 48, 62])
+def test_mixing_keeps_to_its_bits(bits):
+    x = np.unique(np.random.default_rng(bits).integers(0, 1 << bits, 5000))
+    y = m.mix(x, bits)
+    assert m.unmix(y, bits).tolist() == x.tolist() and 0 <= y.min() and y.max() < 1 << bits
+
+
+def test_model_takes_few_bytes_and_restores_settings(spark):
+    from pathlib import Path
+
+    r = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in r.integers(0, 3000, 300))) for i in range(200)], "doc_id long, text string")
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    model = m.fit(spark, docs, order=3)
+    assert spark.conf.get(name, None) == before
+    folder = Path(arrays._local(model.folder))
+    # before: 12 bytes an n-gram and 16 for the figures of those below the highest level
+    assert sum(f.stat().st_size for f in folder.iterdir()) < 12 * sum(model.grams)
