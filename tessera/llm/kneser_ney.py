@@ -28,6 +28,8 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +96,8 @@ SLICE = 4 << 20  # bytes of text at once
 class Model:
     """Where the arrays lie, and the totals.  bits: of the segment numbers of
     each level, words first; grams: n-grams of each level (words with the
-    start); d: discounts of each level; block: places an array of figures holds."""
+    start); d: discounts of each level; block: places an array of figures holds
+    at most."""
 
     folder: str
     order: int
@@ -185,12 +188,19 @@ class Grams:
 FIGURES = ("cont", "total", "n1", "n2", "n3")
 
 
+def _block(m: Model, n: int) -> int:
+    """Places in a block of figures of level n: an eighth as many blocks as the
+    level above has segments or more, so that what one task adds up does not
+    grow with the corpus when its words are all known."""
+    return max(1, min(m.block, -(-m.grams[n - 1] // max(1, 1 << m.bits[n] >> 3))))
+
+
 class Figures:
     """Rows of figures by place, in memory-mapped blocks."""
 
     def __init__(self, m: Model, n: int):
-        self.size = m.block
-        self.blocks = [Rows(m.folder, f"figures{n}-{i}", len(FIGURES)) for i in range((m.grams[n - 1] + m.block - 1) // m.block)]
+        self.size = _block(m, n)
+        self.blocks = [Rows(m.folder, f"figures{n}-{i}", len(FIGURES)) for i in range(-(-m.grams[n - 1] // self.size))]
 
     def __getitem__(self, places: np.ndarray) -> np.ndarray:
         """Rows of places (-1: 0)."""
@@ -286,19 +296,13 @@ def _count_grams(train: DataFrame, m: Model, n: int, limit: int = 3_000_000) ->
 
 
 def _by_number(df: DataFrame, number: str, n: int, merge, schema: str) -> DataFrame:
-    """What merge(number, rows) gives for all rows of each number below n."""
+    """What merge(number, rows) gives for the rows of each number below n, which
+    it reads one after the other."""
 
     def run(batches):
-        now, rows = None, []
-        for b in batches:
-            for row in b.to_pylist():
-                if rows and row[number] != now:
-                    yield merge(now, rows)
-                    rows = []
-                now = row[number]
-                rows.append(row)
-        if rows:
-            yield merge(now, rows)
+        rows = (row for b in batches for row in b.to_pylist())
+        for k, own in groupby(rows, itemgetter(number)):
+            yield merge(k, own)
 
     return df.repartition(n, number).sortWithinPartitions(number).mapInArrow(run, schema)
 
@@ -310,7 +314,8 @@ def _write_keys(counted: DataFrame, m: Model, n: int) -> list[int]:
     rest = (64 if n == 1 else 2 * Grams(m, 1).half[n]) - bits
 
     def merge(part, rows):
-        keys, counts = _summed(*(np.concatenate([f(r[c]) for r in rows]) for f, c in ((from_steps, "keys"), (unpacked, "counts"))))
+        keys, counts = zip(*((from_steps(r["keys"]), unpacked(r["counts"])) for r in rows))
+        keys, counts = _summed(np.concatenate(keys), np.concatenate(counts))
         Keys.write(folder, _name(n), part, rest, keys, counts.astype(np.int64))
         return batch(n=[len(keys)], total=[int(counts.sum())])
 
@@ -350,6 +355,7 @@ def _sums(df: DataFrame, *names: str) -> list[int]:
 def _write_figures(spark: SparkSession, m: Model, n: int) -> list[int]:
     """Figures of level n - 1 out of level n.  Gives how many of its
     continuation counts are 1, 2, 3, 4 and above 2, and their sum."""
+    size = _block(m, n - 1)
 
     def figures(grams, keys, a):
         prefix, rest = grams.parts(n, keys)
@@ -357,11 +363,11 @@ def _write_figures(spark: SparkSession, m: Model, n: int) -> list[int]:
         before, behind = at[:len(prefix)], at[len(prefix):]
         count = lambda x, **k: np.bincount(x, minlength=len(ids), **k).astype(np.int64)
         f = np.stack([count(behind), count(before, weights=a), count(before[a == 1]), count(before[a == 2]), count(before[a > 2])])
-        for k, i, e in _pieces(ids // m.block):
-            yield batch(block=[k], places=[steps(ids[i:e] % m.block)], figures=[packed(f[:, i:e].ravel())])
+        for k, i, e in _pieces(ids // size):
+            yield batch(block=[k], places=[steps(ids[i:e] % size)], figures=[packed(f[:, i:e].ravel())])
 
     def merge(block, rows):
-        f = np.zeros((len(FIGURES), min(m.block, m.grams[n - 2] - block * m.block)), np.int64)
+        f = np.zeros((len(FIGURES), min(size, m.grams[n - 2] - block * size)), np.int64)
         for r in rows:
             places = from_steps(r["places"]).astype(np.int64)
             f[:, places] += unpacked(r["figures"]).astype(np.int64).reshape(len(FIGURES), -1)
@@ -370,7 +376,7 @@ def _write_figures(spark: SparkSession, m: Model, n: int) -> list[int]:
 
     seen = _by_segment(spark, m, n, figures, "block long, places binary, figures binary")
     out = ("n1", "n2", "n3", "n4", "more", "pairs")
-    return _sums(_by_number(seen, "block", m.grams[n - 2] // m.block + 1, merge, ", ".join(f"{c} long" for c in out)), *out)
+    return _sums(_by_number(seen, "block", m.grams[n - 2] // size + 1, merge, ", ".join(f"{c} long" for c in out)), *out)
 
 
 @contextmanager

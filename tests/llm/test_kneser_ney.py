@@ -220,3 +220,15 @@ def test_model_takes_few_bytes_and_restores_settings(spark):
     folder = Path(arrays._local(model.folder))
     # before: 12 bytes an n-gram and 16 for the figures of those below the highest level
     assert sum(f.stat().st_size for f in folder.iterdir()) < 12 * sum(model.grams)
+
+
+def test_blocks_of_words_grow_in_number_with_the_corpus():
+    of = lambda bits: m.Model("", 3, (4, bits, bits), 999_999, 0, 0, (1_000_000, 9_000_000), m.BLOCK)
+    assert m._block(of(2), 1) == 1_000_000 and m._block(of(12), 1) == -(-1_000_000 // 512)
+    assert m._block(of(4), 2) == m.BLOCK
+
+
+def test_nothing_to_learn_from_at_higher_orders(spark):
+    held = next(d for d in range(99) if zlib.crc32(str(d).encode()) % 5 == 1)
+    rows = [(held, "some words of a text")]
+    _same(m.language_model(spark.createDataFrame(rows, "doc_id long, text string"), order=3).collect(), _brute(rows)[0])  # all words alike at any order
